@@ -92,13 +92,11 @@ def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: b
     ``receipts``: message_id, campaign_id (0/NULL = unknown), channel (''/NULL
     = unknown), status, code, reason, received_at, seq.  Looked up against
     the merged subscriber table on message_id (left join)."""
-    sub = subscribers.select(
-        "message_id", F.col("campaign_id").alias("s_campaign_id"), F.col("channel").alias("s_channel"),
-        F.col("recipient").alias("s_recipient"), F.col("primary_key").alias("s_primary_key"),
-        F.col("version_id").alias("s_version_id"), F.col("contact_id").alias("s_contact_id"),
-        F.col("attributes").alias("s_attributes"), F.col("queue_id").alias("s_queue_id"),
-        F.col("message_size").alias("s_message_size"), F.col("drop_reason").alias("s_drop_reason"),
-        F.col("total_open").alias("s_total_open"), F.col("total_click").alias("s_total_click"))
+    have = set(subscribers.columns)
+    carried = ("campaign_id", "channel", "recipient", "primary_key", "version_id", "contact_id", "attributes",
+               "queue_id", "message_size", "drop_reason", "total_open", "total_click")
+    sub = subscribers.select("message_id", *[
+        (F.col(c) if c in have else F.lit(None)).alias(f"s_{c}") for c in carried])
     r = receipts.join(sub, "message_id", "left")
     given_campaign = F.when(F.coalesce(F.col("campaign_id"), F.lit(0)) != 0, F.col("campaign_id"))
     known = F.col("s_campaign_id").isNotNull()
