@@ -41,8 +41,9 @@ def canonical_contacts(src: DataFrame, account_id: int, now: _dt.datetime,
         if name == "account_id":
             c = F.lit(int(account_id)).cast("bigint")
         elif name == "primary_key":
+            # the parsed id (not its raw text such as ' 7 ' or '7.0') is the last fallback
             c = F.coalesce(_src(cols, "primary_key").cast("string"), _src(cols, "email").cast("string"),
-                           _src(cols, "id").cast("string"))
+                           safe_int(_src(cols, "id"), "bigint").cast("string"))
         elif name == "domain":
             c = email_domain(_src(cols, "email"), _src(cols, "domain").cast("string"))
         elif kind == "timestamp":

@@ -276,7 +276,9 @@ class MergeSpec:
 
 CONTACT_SPEC = MergeSpec(key=("account_id", "id"), partition_by=("account_id",),
                          payload=tuple(CONTACT.fieldNames()))
-CAMPAIGN_SUB_SPEC = MergeSpec(key=("campaign_id", "message_id"), partition_by=("campaign_id",),
+# exact (_ts, _seq) ties between receipts: the higher status, then code, wins
+CAMPAIGN_SUB_SPEC = MergeSpec(key=("campaign_id", "message_id"), order=("_ts", "_seq", "status", "dlr_code"),
+                              partition_by=("campaign_id",),
                               payload=tuple(CAMPAIGN_SUB.fieldNames()))
 CAMPAIGN_SPEC = MergeSpec(key=("account_id", "id"), partition_by=("account_id",),
                           payload=tuple(CAMPAIGN.fieldNames()))

@@ -77,3 +77,12 @@ def scan_lake(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     """External lake with Hive partitions (``account_id=...``): explicit schema,
     partition pruning on ``account_id``."""
     return table_or_empty(spark, path, schema)
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Project ``df`` onto ``schema``: same-named columns cast to the target
+    type, missing columns as typed NULLs, extra columns dropped."""
+    from pyspark.sql import functions as F
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
+                       .alias(f.name) for f in schema.fields])

@@ -9,6 +9,11 @@ def write_parquet(df: DataFrame, path: str, mode: str = "append", partition_by=(
                   max_records_per_file: int | None = None) -> None:
     """``mode='append'`` adds files; ``mode='overwrite'`` replaces only the
     partitions present in ``df`` (dynamic partition overwrite)."""
+    if partition_by:
+        # group rows by partition value before writing (one file per value
+        # per task otherwise: tasks x values small files); REBALANCE lets AQE
+        # split a hot value over several tasks and merge tiny ones
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).option("compression", "zstd")
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")

@@ -49,7 +49,7 @@ def run_receipt_stream(spark: SparkSession, wh: Warehouse, source_dir: str, chec
     """Receipt files -> subscriber deltas, dlr events, api logs (X1/X2)."""
     stream = spark.readStream.schema(RECEIPT_SCHEMA).parquet(source_dir)
     if watermark:
-        stream = stream.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(["message_id", "seq"])
+        stream = stream.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(RECEIPT_SCHEMA.fieldNames())
     stats = {"batches": 0}
 
     def batch(df: DataFrame, batch_id: int):
@@ -71,10 +71,10 @@ def run_receipt_stream(spark: SparkSession, wh: Warehouse, source_dir: str, chec
 
 def run_dedup_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                      watermark: str = "30 days") -> None:
-    """Duplicate receipts (same message_id and seq) dropped within a watermark (X3)."""
+    """Receipts delivered more than once (same content) dropped within a watermark (X3)."""
     stream = spark.readStream.schema(RECEIPT_SCHEMA).parquet(source_dir) \
                   .withWatermark("received_at", watermark) \
-                  .dropDuplicatesWithinWatermark(["message_id", "seq"])
+                  .dropDuplicatesWithinWatermark(RECEIPT_SCHEMA.fieldNames())
     q = stream.writeStream.format("parquet").option("path", sink_dir) \
               .option("checkpointLocation", checkpoint).outputMode("append") \
               .trigger(availableNow=True).start()
