@@ -156,3 +156,25 @@ def whitelist_columns(columns, catalog_names,
     if "id" not in safe:
         safe.insert(0, "id")
     return safe
+
+
+def list_contacts(df: DataFrame, catalog_names, q: str = "", limit: int = 25, after_id: int = 0,
+                  offset: int = 0, columns=None, by=("account_id",)) -> DataFrame:
+    """Contact list: whitelisted columns (``id`` always), search, keyset page
+    by id (offset only when there is no cursor), ``has_more`` and
+    ``next_after`` per account."""
+    if limit <= 0:
+        limit = 25
+    limit = min(limit, 100)
+    cols = whitelist_columns(columns, catalog_names)
+    src = search_contacts(df, q)
+    if after_id and after_id > 0:
+        return keyset_page(src.select(*dict.fromkeys(list(by) + cols)), "id", after_id, limit, by=list(by))
+    by = list(by)
+    w = Window.partitionBy(*by).orderBy(F.col("id").asc_nulls_last())
+    ranked = src.select(*dict.fromkeys(by + cols)).withColumn("_rn", F.row_number().over(w)) \
+                .filter(F.col("_rn") <= offset + limit + 1)
+    g = Window.partitionBy(*by)
+    out = ranked.withColumn("has_more", F.max("_rn").over(g) > F.lit(offset + limit)) \
+                .filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit))
+    return out.withColumn("next_after", F.max("id").over(g)).drop("_rn")

@@ -384,3 +384,36 @@ def q_list_campaigns(spark, sf_dir):
     latest = merge_latest(campaign_changes_df(spark, sf_dir), ("account_id", "id"))
     out = newest_first(latest, "id", limit=5, by="account_id")
     return out.select("account_id", "id", "status", F.col("page_rank").cast("bigint"))
+
+
+# -- T3: offset page of subscribers per campaign, by contact then message -----------------------------------------------
+@register("list_subscribers", f"""WITH {CAMPAIGN_SUB_SQL},
+r AS (SELECT campaign_id, contact_id, message_id, CAST(status AS INTEGER) AS status,
+             ROW_NUMBER() OVER (PARTITION BY campaign_id ORDER BY contact_id, message_id) AS rn
+      FROM campaign_sub WHERE status = 3)
+SELECT campaign_id, contact_id, message_id, status, rn - 10 AS page_rank FROM r WHERE rn > 10 AND rn <= 60""")
+def q_list_subscribers(spark, sf_dir):
+    sub = merge_latest(campaign_sub_df(spark, sf_dir), ("campaign_id", "message_id"))
+    f = search_subscribers(sub, "", 3)
+    out = page(f, "contact_id", "ASC", limit=50, offset=10, by="campaign_id", tie="message_id")
+    return out.select("campaign_id", "contact_id", "message_id", F.col("status").cast("int"),
+                      F.col("page_rank").cast("bigint"))
+
+
+# -- P11 + T2 + F36: the contact list (whitelisted columns, search, page with has_more) -----------------------------
+@register("list_contacts", f"""WITH {WH_CONTACT_SQL},
+m AS (SELECT * FROM wh_contact WHERE
+        CAST(email AS VARCHAR) ILIKE '%0_%' OR CAST(first_name AS VARCHAR) ILIKE '%0_%' OR CAST(last_name AS VARCHAR) ILIKE '%0_%'
+        OR CAST(COALESCE(company, '') AS VARCHAR) ILIKE '%0_%' OR CAST(COALESCE(city, '') AS VARCHAR) ILIKE '%0_%'),
+r AS (SELECT account_id, id, email, city, ROW_NUMBER() OVER (PARTITION BY account_id ORDER BY id) AS rn FROM m),
+f AS (SELECT * FROM r WHERE rn <= 5 + 20 + 1),
+g AS (SELECT account_id, max(rn) > 25 AS has_more FROM f GROUP BY account_id)
+SELECT f.account_id, f.id, f.email, f.city, CAST(g.has_more AS INTEGER) AS has_more,
+       max(f.id) OVER (PARTITION BY f.account_id) AS next_after
+FROM f JOIN g USING (account_id) WHERE f.rn > 5 AND f.rn <= 25""")
+def q_list_contacts(spark, sf_dir):
+    from cohorta.operators.paging import list_contacts
+    from cohorta.schema import CONTACT
+    out = list_contacts(wh_contact_df(spark, sf_dir), CONTACT.fieldNames(), q="0_", limit=20, offset=5,
+                        columns=["email", "city", "not_a_column"])
+    return out.select("account_id", "id", "email", "city", F.col("has_more").cast("int"), "next_after")
