@@ -86,12 +86,15 @@ def launch_queue(contacts: DataFrame, campaigns: DataFrame, segment_trees: dict,
     return queue_rows(joined, F.col("_campaign_id"), F.col("_channel"), now)
 
 
-def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: bool = False):
+def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: bool = False,
+                   materialize=None):
     """Delivery receipts -> (subscriber deltas, dlr events, api-log rows, rejects).
 
     ``receipts``: message_id, campaign_id (0/NULL = unknown), channel (''/NULL
     = unknown), status, code, reason, received_at, seq.  Looked up against
-    the merged subscriber table on message_id (left join)."""
+    the merged subscriber table on message_id (left join).  ``materialize``
+    (e.g. ``lambda d: d.checkpoint()``) is applied to the joined frame so a
+    job writing all four outputs runs the lookup join once."""
     have = set(subscribers.columns)
     carried = ("campaign_id", "channel", "recipient", "primary_key", "version_id", "contact_id", "attributes",
                "queue_id", "message_size", "drop_reason", "total_open", "total_click")
@@ -107,6 +110,8 @@ def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: b
         "_recipient": F.coalesce(F.col("s_recipient"), F.lit("")),
         "_ok": known | given_campaign.isNotNull(),
     })
+    if materialize is not None:
+        r = materialize(r)
     ok = r.filter(F.col("_ok"))
     rejects = r.filter(~F.col("_ok")).select("message_id", "status", "code", "reason", "received_at",
                                              F.lit("message_id not found").alias("error"))

@@ -15,6 +15,8 @@ Order of work (safe against a lost executor or a crash at any step):
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,11 @@ from cohorta.sources.warehouse import DELTA_DATE, TABLES, Warehouse
 from cohorta.sources.writers import delete_path, list_files
 
 
+def _part_value(path: str, col: str) -> int | None:
+    m = re.search(rf"/{re.escape(col)}=(-?\d+)(/|$)", path)
+    return int(m.group(1)) if m else None
+
+
 def compact(wh: Warehouse, table: str, part_values: list[int] | None = None) -> dict:
     """Compact ``table`` (contact / campaign_sub / campaign); ``part_values``
     restricts it to some accounts or campaigns (all when None)."""
@@ -61,8 +68,11 @@ def compact(wh: Warehouse, table: str, part_values: list[int] | None = None) ->
     # small follow-up aggregates reuse it instead of re-reading the deltas
     merged = merged.checkpoint(eager=True)
 
-    touched = {r[0] for r in rows.select(pcol).distinct().collect()}  # one value per partition
-    kept = {r[0] for r in merged.select(pcol).distinct().collect()}
+    # partitions touched come from the listed file paths (no extra scan);
+    # partitions kept from the checkpointed result (one small aggregate)
+    snap_files = [f for d in part_dirs(snap_root) for f in list_files(spark, d)]
+    touched = {v for v in (_part_value(f, pcol) for f in delta_files + snap_files) if v is not None}
+    kept = {int(r[0]) for r in merged.select(pcol).distinct().collect() if r[0] is not None}
     written = merged.count()
     if written:
         wh.write_snapshot(table, merged)

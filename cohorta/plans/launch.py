@@ -40,7 +40,9 @@ def launch_campaigns(wh: Warehouse, campaigns: DataFrame, segment_trees: dict, n
     comp = FilterCompiler(S.Catalog(S.CONTACT), {f.name: f.dataType for f in contacts.schema.fields})
     queue = launch_queue(contacts, campaigns, segment_trees, comp, now)
     if only_new:
-        queued = wh.campaign_sub().select("campaign_id", "message_id")
+        # campaign ids are metadata-sized; the filter prunes campaign_sub partitions
+        ids = [int(r[0]) for r in campaigns.select("id").distinct().collect()]
+        queued = wh.table("campaign_sub", F.col("campaign_id").isin(ids)).select("campaign_id", "message_id")
         queue = queue.join(queued, ["campaign_id", "message_id"], "left_anti")
     day = now.date()
     wh.write_delta("campaign_sub", queue, day)
@@ -58,8 +60,9 @@ def launch_campaigns(wh: Warehouse, campaigns: DataFrame, segment_trees: dict, n
 
 def apply_receipt_batch(wh: Warehouse, receipts: DataFrame, carry_forward: bool = False) -> DataFrame:
     """Batch receipt ingest: three sinks; returns the rejected receipts."""
-    sub_delta, events, logs, rejects = apply_receipts(receipts, wh.campaign_sub(), carry_forward)
-    sub_delta = sub_delta.checkpoint(eager=True)  # one lookup join feeds three sinks
+    # one lookup join (checkpointed in the shared folder) feeds all sinks
+    sub_delta, events, logs, rejects = apply_receipts(receipts, wh.subscribers_for(receipts), carry_forward,
+                                                      materialize=lambda d: d.checkpoint(eager=True))
     wh.write_delta("campaign_sub", sub_delta, _dt.date.today())
     wh.append("dlr_event", events)
     wh.append("api_logs", logs)

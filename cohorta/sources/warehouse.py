@@ -99,6 +99,19 @@ class Warehouse:
         kf = F.col("account_id") == F.lit(int(account_id)) if account_id is not None else None
         return self.table("campaign", kf)
 
+    def subscribers_for(self, message_ids: DataFrame, max_broadcast_rows: int = 5_000_000) -> DataFrame:
+        """Merged subscriber rows for a set of message ids only.
+
+        ``message_id`` is part of the merge key, so whole keys can be
+        selected *before* the merge: the change rows are semi-joined with the
+        (size-checked, broadcast) id set, and only those keys are ranked and
+        shuffled, instead of merging the whole subscriber table per batch."""
+        ids = message_ids.select("message_id").distinct()
+        if ids.limit(max_broadcast_rows + 1).count() > max_broadcast_rows:
+            return self.campaign_sub()
+        rows = self.changes("campaign_sub").join(F.broadcast(ids), "message_id", "left_semi")
+        return merge_with_spec(rows, TABLES["campaign_sub"].spec)
+
     # -- append tables -----------------------------------------------------------
     def append_table(self, table: str) -> DataFrame:
         schema, _ = APPEND_TABLES[table]

@@ -53,10 +53,11 @@ def run_receipt_stream(spark: SparkSession, wh: Warehouse, source_dir: str, chec
     stats = {"batches": 0}
 
     def batch(df: DataFrame, batch_id: int):
-        subs = subscribers if subscribers is not None else wh.campaign_sub()
+        subs = subscribers if subscribers is not None else wh.subscribers_for(df)
 
         def work():
-            sub_delta, events, logs, _rejects = apply_receipts(df, subs)
+            sub_delta, events, logs, _rejects = apply_receipts(
+                df, subs, materialize=lambda d: d.checkpoint(eager=True))
             wh.write_delta("campaign_sub", sub_delta, _dt.date.today())
             wh.append("dlr_event", events)
             wh.append("api_logs", logs)
