@@ -113,7 +113,7 @@ def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: b
     if materialize is not None:
         r = materialize(r)
     ok = r.filter(F.col("_ok"))
-    rejects = r.filter(~F.col("_ok")).select("message_id", "status", "code", "reason", "received_at",
+    rejects = r.filter(~F.col("_ok")).select("message_id", "status", "code", "reason", "received_at", "seq",
                                              F.lit("message_id not found").alias("error"))
     ts = F.col("received_at").cast("timestamp")
     keep = (lambda c, d: F.coalesce(F.col(c), d)) if carry_forward else (lambda c, d: d)

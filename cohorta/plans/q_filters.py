@@ -236,10 +236,6 @@ FROM contact c WHERE is_deleted = 0""")(_block_q("flags"))
 
 # -- A2: segment statistics per account -----------------------------------------------------------------------
 T_SEGMENT = AND(leaf("eq", "f30", "BUILDING"), OR(leaf("is_null", "f6"), leaf("not_in", "f6", values=["ASIA", "EUROPE"])))
-_STAT_SQL = """
-  CAST(SUM(CASE WHEN email_status = {c} THEN 1 ELSE 0 END) AS BIGINT)"""
-
-
 def _status_sql() -> str:
     names = ["email_active", "email_unsubscribed", "email_bounced", "email_marked_spam",
              "email_manually_suppressed", "email_unconfirmed"]

@@ -267,10 +267,8 @@ SELECT r.message_id, r.seq FROM receipts r LEFT JOIN campaign_sub s USING (messa
 WHERE s.campaign_id IS NULL AND COALESCE(r.campaign_id, 0) = 0""")
 def q_receipt_rejects(spark, sf_dir):
     sub = merge_latest(campaign_sub_df(spark, sf_dir), ("campaign_id", "message_id"))
-    r = receipts_df(spark, sf_dir)
-    # carry the receipt sequence through the reject output for a stable key
-    rejects = apply_receipts(r.withColumn("code", F.col("seq").cast("string")), sub)[3]
-    return rejects.select("message_id", F.col("code").cast("bigint").alias("seq"))
+    rejects = apply_receipts(receipts_df(spark, sf_dir), sub)[3]
+    return rejects.select("message_id", "seq")
 
 
 # -- K6 / F38: api-log list (latest state per message, newest first) ----------------------------------------------------
