@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from cohorta import schema as S
 from cohorta.operators.campaigns import apply_receipts
-from cohorta.operators.merge import merge_latest
 from cohorta.operators.paging import filter_logs
 from cohorta.plans.compaction import compact
 from cohorta.plans.derived import (AS_OF, BLOCK_SQL, CAMPAIGN_SUB_SQL, LAKE_CONTACT_SQL, RECEIPTS_SQL,
                                    block_file_df, campaign_sub_df, lake_contact_df, receipts_df, tables)
-from cohorta.plans.importer import canonical_activity, import_activity, import_contacts, import_subscribers
+from cohorta.plans.importer import import_activity, import_contacts, import_subscribers
 from cohorta.plans.registry import register
 from cohorta.session import scratch_dir
 from cohorta.sources.readers import conform, scan_lake
