@@ -22,6 +22,10 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # partitioned writes cost per file, not per byte: let AQE keep several
+    # tasks for a small rebalanced output instead of one task writing every
+    # partition value serially (large shuffles are unaffected)
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 
