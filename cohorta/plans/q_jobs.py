@@ -373,3 +373,40 @@ def q_stream_activity(spark, sf_dir):
     wh = Warehouse(spark, f"{root}/wh")
     run_activity_stream(spark, wh, f"{root}/in", raw.schema, f"{root}/checkpoint", "2024-02-01", AS_OF)
     return _activity_out(wh.append_table("campaign_activity"))
+
+
+# -- M2: contact compaction (full-row upserts and deletes from order activity) ---------------------------------------------
+def contact_changes_df(spark, sf_dir):
+    orders, customer = tables(spark, sf_dir, "orders", "customer")
+    j = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    rows = j.select(
+        F.col("c_nationkey").cast("bigint").alias("account_id"), F.col("o_custkey").alias("id"),
+        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+         .cast("tinyint").alias("email_status"),
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit("@orders.test")).alias("email"),
+        F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"), "delete")
+         .otherwise("upsert").alias("_op"),
+        F.col("o_orderdate").cast("timestamp").alias("_ts"), F.col("o_orderkey").alias("_seq"))
+    return conform(rows, S.with_change_columns(S.CONTACT))
+
+
+@register("compact_contacts", f"""{WITH_CONTACT},
+snap AS (SELECT CAST(account_id AS BIGINT) AS account_id, id, CAST(email_status AS INTEGER) AS email_status, email,
+                'upsert' AS _op, TIMESTAMP '1990-01-01 00:00:00' AS _ts, id AS _seq FROM contact),
+delta AS (SELECT CAST(c_nationkey AS BIGINT) AS account_id, o_custkey AS id,
+                 CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS email_status,
+                 'o' || CAST(o_orderkey AS VARCHAR) || '@orders.test' AS email,
+                 CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 'delete' ELSE 'upsert' END AS _op,
+                 o_orderdate AS _ts, o_orderkey AS _seq
+          FROM orders JOIN customer ON o_custkey = c_custkey),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY account_id, id ORDER BY _ts DESC, _seq DESC) AS rn
+           FROM (SELECT * FROM snap UNION ALL SELECT * FROM delta))
+SELECT account_id, id, email_status, email FROM ranked WHERE rn = 1 AND _op <> 'delete'""")
+def q_compact_contacts(spark, sf_dir):
+    wh = Warehouse(spark, scratch_dir(spark, "compact-contacts"))
+    snap = lake_contact_df(spark, sf_dir).withColumns(
+        {"_op": F.lit("upsert"), "_ts": F.lit(_dt.datetime(1990, 1, 1)), "_seq": F.col("id")})
+    wh.write_snapshot("contact", conform(snap, S.with_change_columns(S.CONTACT)))
+    wh.write_delta("contact", contact_changes_df(spark, sf_dir), _dt.date(2024, 1, 5))
+    compact(wh, "contact")
+    return wh.contact().select("account_id", "id", F.col("email_status").cast("int"), "email")
