@@ -140,7 +140,7 @@ def main():
     for name, fn in queries.items():
         fn()  # warm-up (JIT, file listing cache)
         best = None
-        for _ in range(2):
+        for _ in range(3):
             t = time.time()
             fn()
             d = time.time() - t

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000  # identifiers + flags: tens of MB at most
 _KEY = "_blk_key"
 _KEY_NULL = "_blk_key_null"
 

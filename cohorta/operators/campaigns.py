@@ -15,14 +15,13 @@ def evaluate_segments(df: DataFrame, compiled: dict[str, Column], by=("account_i
     """Count every saved segment in one scan -> (by..., segment_id, cnt).
 
     One conditional count per segment is a single partial/final aggregate;
-    the wide row is then unpivoted (``stack``) into one row per segment."""
+    the wide row (one per group) is then turned into one row per segment."""
     by = list(by)
     ids = list(compiled)
     wide = df.groupBy(*by).agg(*[F.count_if(compiled[s]).alias(f"_s{i}") for i, s in enumerate(ids)])
-    return wide.unpivot(by, [f"_s{i}" for i in range(len(ids))], "_slot", "cnt") \
-               .withColumn("segment_id", F.element_at(F.array(*[F.lit(s) for s in ids]),
-                                                      F.substring("_slot", 3, 10).cast("int") + 1)) \
-               .select(*by, "segment_id", "cnt")
+    pairs = F.array(*[F.struct(F.lit(s).alias("segment_id"), F.col(f"_s{i}").alias("cnt"))
+                      for i, s in enumerate(ids)])
+    return wide.select(*by, F.inline(pairs))
 
 
 def segment_membership(df: DataFrame, compiled: dict[str, Column], keep=("account_id", "id")) -> DataFrame:

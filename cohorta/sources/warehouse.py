@@ -99,7 +99,7 @@ class Warehouse:
         kf = F.col("account_id") == F.lit(int(account_id)) if account_id is not None else None
         return self.table("campaign", kf)
 
-    def subscribers_for(self, message_ids: DataFrame, max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    def subscribers_for(self, message_ids: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
         """Merged subscriber rows for a set of message ids only.
 
         ``message_id`` is part of the merge key, so whole keys can be
