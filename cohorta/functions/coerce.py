@@ -19,19 +19,43 @@ _INT_RANGE = {
 }
 
 
+# Numeric text forms accepted besides plain decimals —
+# digit groups joined by single underscores (1_000, 1_000.5, 1e1_0), and
+# unsigned hexadecimal / binary literals (0x1F, 0b101), without spaces.
+_DIGIT_GROUPS = r"^[+-]?[0-9]+(_[0-9]+)*(\.[0-9]+(_[0-9]+)*)?([eE][+-]?[0-9]+(_[0-9]+)*)?$"
+_HEX = r"^0[xX][0-9a-fA-F]+(_[0-9a-fA-F]+)*$"
+_BIN = r"^0[bB][01]+(_[01]+)*$"
+
+
+def numeric_text(c: Column) -> Column:
+    """Trimmed text with valid digit-group underscores removed."""
+    s = F.trim(c.cast("string"))
+    return F.when(s.rlike(_DIGIT_GROUPS), F.regexp_replace(s, "_", "")).otherwise(s)
+
+
+def _radix_literal(c: Column) -> Column:
+    raw = c.cast("string")
+    digits = F.regexp_replace(F.substring(raw, 3, 1 << 20), "_", "")
+    return (F.when(raw.rlike(_HEX), F.conv(digits, 16, 10))
+             .when(raw.rlike(_BIN), F.conv(digits, 2, 10))).try_cast("bigint")
+
+
 def safe_int(c: Column, kind: str = "bigint") -> Column:
     """Text/number -> integer type, rounding decimals half away from zero.
 
-    ``'12.50'`` -> 13, ``'1e3'`` -> 1000, ``'300'`` as tinyint -> NULL.
-    The exact bigint parse runs first so ids above 2**53 keep every digit.
+    ``'12.50'`` -> 13, ``'1e3'`` -> 1000, ``'300'`` as tinyint -> NULL,
+    ``'1_000'`` -> 1000, ``'0x1F'`` -> 31.  The exact bigint parse runs first
+    so ids above 2**53 keep every digit.
     """
-    s = F.trim(c.cast("string"))
+    s = numeric_text(c)
     exact = s.try_cast("bigint")
+    # plain decimals round exactly (HALF_UP on DECIMAL); exponent forms via DOUBLE
+    dec = F.round(s.try_cast("decimal(38,18)"), 0).try_cast("bigint")
     dbl = s.try_cast("double")
     lo, hi = _INT_RANGE[kind]
-    rounded = F.when(dbl.isNotNull() & ~F.isnan(dbl) & (F.abs(dbl) < F.lit(9.2e18)),
-                     F.round(dbl).cast("bigint"))
-    v = F.coalesce(exact, rounded)
+    rounded = F.when(dbl.isNotNull() & ~F.isnan(dbl) & (F.abs(dbl) < F.lit(9.223372036854775807e18)),
+                     F.round(dbl).try_cast("bigint"))
+    v = F.coalesce(exact, dec, rounded, _radix_literal(c))
     return F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v).cast(spark_type(kind))
 
 
@@ -56,7 +80,7 @@ def safe_cast(c: Column, kind: str) -> Column:
     if kind == "varchar":
         return c.cast("string")
     if kind == "double":
-        return F.trim(c.cast("string")).try_cast("double")
+        return numeric_text(c).try_cast("double")
     if kind == "date":
         return F.trim(c.cast("string")).try_cast("date")
     return c.try_cast(spark_type(kind))
