@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohorta.schema import spark_type
 
@@ -25,6 +24,13 @@ _INT_RANGE = {
 _DIGIT_GROUPS = r"^[+-]?[0-9]+(_[0-9]+)*(\.[0-9]+(_[0-9]+)*)?([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 _HEX = r"^0[xX][0-9a-fA-F]+(_[0-9a-fA-F]+)*$"
 _BIN = r"^0[bB][01]+(_[01]+)*$"
+# A whole date, and a whole date with an optional time of day.
+# Spark's parser also takes '2020', '2020-05' and '10:30'; those are no dates here.
+FULL_DATE = r"^[0-9]{1,6}-[0-9]{1,2}-[0-9]{1,2}$"
+FULL_TIMESTAMP = (r"^[0-9]{1,6}-[0-9]{1,2}-[0-9]{1,2}"
+                  r"([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]+)?)?( ?(Z|[+-][0-9]{1,2}(:?[0-9]{2})?))?)?$")
+#: Last second of the year 9999: a larger epoch is no timestamp.
+MAX_EPOCH = 253402300799
 
 
 def numeric_text(c: Column) -> Column:
@@ -34,10 +40,28 @@ def numeric_text(c: Column) -> Column:
 
 
 def _radix_literal(c: Column) -> Column:
+    """Hexadecimal or binary literal that fits a bigint, else NULL."""
     raw = c.cast("string")
-    digits = F.regexp_replace(F.substring(raw, 3, 1 << 20), "_", "")
-    return (F.when(raw.rlike(_HEX), F.conv(digits, 16, 10))
-             .when(raw.rlike(_BIN), F.conv(digits, 2, 10))).try_cast("bigint")
+    # leading zeros carry no value; what is left must fit 63 bits, or conv would overflow
+    digits = F.regexp_replace(F.regexp_replace(raw, "_", ""), "^0[xXbB]0*", "")
+    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
+    n = F.length(digits)
+    hex_fits = raw.rlike(_HEX) & ((n < 16) | ((n == 16) & (F.substring(digits, 1, 1) < "8")))
+    bin_fits = raw.rlike(_BIN) & (n <= 63)
+    return (F.when(hex_fits, F.conv(F.when(hex_fits, digits), 16, 10))
+             .when(bin_fits, F.conv(F.when(bin_fits, digits), 2, 10))).try_cast("bigint")
+
+
+def date_text(c: Column) -> Column:
+    """Date of a whole date text, else NULL."""
+    s = F.trim(c.cast("string"))
+    return F.when(s.rlike(FULL_DATE), s).try_cast("date")
+
+
+def timestamp_text(c: Column) -> Column:
+    """Timestamp of a whole date with an optional time of day, else NULL."""
+    s = F.trim(c.cast("string"))
+    return F.try_to_timestamp(F.when(s.rlike(FULL_TIMESTAMP), s))
 
 
 def safe_int(c: Column, kind: str = "bigint") -> Column:
@@ -66,9 +90,9 @@ def epoch_or_timestamp(c: Column) -> Column:
     s = F.trim(c.cast("string"))
     digits = s.rlike(r"^-?\d+$")
     as_long = s.try_cast("bigint")
-    from_epoch = F.when(as_long > F.lit(100000), F.timestamp_seconds(as_long))
-    from_text = F.try_to_timestamp(s)
-    return F.when(digits, from_epoch).otherwise(from_text)
+    valid = (as_long > F.lit(100000)) & (as_long <= F.lit(MAX_EPOCH))
+    from_epoch = F.timestamp_seconds(F.when(valid, as_long))
+    return F.when(digits, from_epoch).otherwise(timestamp_text(s))
 
 
 def safe_cast(c: Column, kind: str) -> Column:
@@ -82,7 +106,7 @@ def safe_cast(c: Column, kind: str) -> Column:
     if kind == "double":
         return numeric_text(c).try_cast("double")
     if kind == "date":
-        return F.trim(c.cast("string")).try_cast("date")
+        return date_text(c)
     return c.try_cast(spark_type(kind))
 
 
@@ -102,7 +126,3 @@ def email_domain(email: Column, domain: Column | None = None) -> Column:
 def like_escape(text: str) -> str:
     """Escape ``\\ % _`` so a value matches literally inside ILIKE."""
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-
-
-def as_bigint_type(dt: T.DataType) -> bool:
-    return isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohorta.operators import blocks as B
 from cohorta.operators.filters import FilterCompiler, FilterError, flat_values_tree
 from cohorta.operators.paging import page, resolve_select
-from cohorta.operators.rules import RuleLowering, block_id_sets, is_rule_shape
+from cohorta.operators.rules import block_id_sets, is_rule_shape, rules_to_tree
 from cohorta.operators.stats import campaign_stats, scope
 from cohorta.schema import Catalog
 
@@ -26,14 +26,13 @@ def to_tree(spec, catalog: Catalog, segment_defs=None, block_match_field: str =
         return flat_values_tree(spec["values"])
     if isinstance(spec, list):
         if spec and not is_rule_shape(spec):
-            raise FilterError("product filter must be a list of AND-groups")
-        return RuleLowering(catalog, segment_defs, block_match_field).to_tree(spec)
+            raise FilterError("a filter list must hold rules or groups of rules")
+        return rules_to_tree(spec, catalog, segment_defs, block_match_field)
     return spec
 
 
 def prepare(df: DataFrame, trees: list[dict], catalog: Catalog, blocks: DataFrame | None = None,
-            block_match_field: str = "f2", as_of_epoch: int | None = None,
-            max_broadcast_rows: int | None = None, strict_dates: bool = False):
+            block_match_field: str = "f2", as_of_epoch: int | None = None, strict_dates: bool = False):
     """Returns (frame with block flags, compiler)."""
     sets = []
     for t in trees:
@@ -43,7 +42,7 @@ def prepare(df: DataFrame, trees: list[dict], catalog: Catalog, blocks: DataFram
     if sets:
         if blocks is None:
             raise FilterError("block file rules need block data (blocks=...)")
-        df = B.add_block_flags(df, blocks, sets, block_match_field, max_broadcast_rows)
+        df = B.add_block_flags(df, blocks, sets, block_match_field)
     comp = FilterCompiler(catalog, {f.name: f.dataType for f in df.schema.fields},
                           as_of_epoch=as_of_epoch, strict_dates=strict_dates,
                           block_flag=B.flag_name if sets or blocks is not None else None)
@@ -52,14 +51,14 @@ def prepare(df: DataFrame, trees: list[dict], catalog: Catalog, blocks: DataFram
 
 def audience(df: DataFrame, spec, catalog: Catalog, *, segment_defs=None, blocks=None,
              block_match_field: str = "f2", as_of_epoch: int | None = None,
-             account_id: int | None = None, deleted: str = "strict",
-             max_broadcast_rows: int | None = None) -> DataFrame:
+             account_id: int | None = None, deleted: str = "strict") -> DataFrame:
     """Rows in scope for which the filter is TRUE (flag columns dropped)."""
     tree = to_tree(spec, catalog, segment_defs, block_match_field)
+    if account_id is None and isinstance(spec, dict) and "op" not in spec:
+        account_id = (spec.get("values") or {}).get("account_id")    # flat values may name their account
     base = scope(df, account_id, deleted)
     cols = base.columns
-    fdf, comp = prepare(base, [tree], catalog, blocks, block_match_field, as_of_epoch,
-                        max_broadcast_rows)
+    fdf, comp = prepare(base, [tree], catalog, blocks, block_match_field, as_of_epoch)
     return fdf.filter(comp.compile(tree)).select(*cols)
 
 
@@ -96,15 +95,13 @@ def parse_query(df: DataFrame, request: dict, catalog: Catalog, blocks: DataFram
 
 def campaign_report(df: DataFrame, include, exclude, catalog: Catalog, *, segment_defs=None,
                     blocks=None, block_match_field: str = "f2", as_of_epoch: int | None = None,
-                    account_id: int | None = None, by=(), deleted: str = "strict",
-                    max_broadcast_rows: int | None = None) -> DataFrame:
+                    account_id: int | None = None, by=(), deleted: str = "strict") -> DataFrame:
     """Campaign statistics for include / exclude rules (one pass, one flag join)."""
     inc = to_tree(include, catalog, segment_defs, block_match_field)
     exc = to_tree(exclude, catalog, segment_defs, block_match_field) if exclude else None
     base = scope(df, account_id, deleted)
     trees = [inc] + ([exc] if exc else [])
-    fdf, comp = prepare(base, trees, catalog, blocks, block_match_field, as_of_epoch,
-                        max_broadcast_rows)
+    fdf, comp = prepare(base, trees, catalog, blocks, block_match_field, as_of_epoch)
     inc_c: Column = comp.compile(inc)
     exc_c = comp.compile(exc) if exc else None
     return campaign_stats(fdf, inc_c, exc_c, by=by)

@@ -5,21 +5,21 @@ per block file.  A contact is "in" a set of block files when its match
 column (default ``f2``) equals an identifier of one of them (SQL EXISTS).
 
 Plan shape:
-* the block side is reduced to one row per identifier before any join
+* the block side is reduced to one row per identifier before the join
   (``groupBy`` with map-side partial aggregation, so duplicate identifiers
-  never multiply contact rows);
-* it is broadcast only after a row count proves it small; otherwise a
-  shuffle join is used (AQE may still split skewed partitions);
-* contact rows with a NULL match key never match; they are routed by a
-  deterministic per-row salt instead of all hashing to one reducer.
+  never multiply contact rows) and is built once;
+* nothing is run while the plan is made: the adaptive planner broadcasts the
+  reduced side when its measured bytes allow and shuffles otherwise, splitting
+  hot keys;
+* contact rows with a NULL match key never match; they are spread by a hash
+  of the row key instead of all going to one reducer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000  # identifiers + flags: tens of MB at most
 _KEY = "_blk_key"
 _KEY_NULL = "_blk_key_null"
 
@@ -36,58 +36,39 @@ def block_keys(blocks: DataFrame, id_sets: list[tuple[int, ...]]) -> DataFrame:
     return b.groupBy(F.col("unique_identifier").alias(_KEY)).agg(*aggs)
 
 
-def _small_enough(keys: DataFrame, max_rows: int | None) -> bool:
-    if max_rows is None:
-        max_rows = DEFAULT_MAX_BROADCAST_ROWS
-    if max_rows <= 0:
-        return False
-    # size check: count at most max_rows + 1 rows of the reduced key table
-    return keys.limit(max_rows + 1).count() <= max_rows
-
-
-def _salted_probe(df: DataFrame, match_field: str) -> DataFrame:
-    """Join keys for the contact side: (is_null, key or per-row salt)."""
-    salt = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
+def _probe(df: DataFrame, match_field: str) -> DataFrame:
+    """Join keys of the contact side: (is_null, key or hash of the row key)."""
+    row_key = [c for c in ("account_id", "id") if c in df.columns] or df.columns[:1]
+    spread = F.xxhash64(*[F.col(c) for c in row_key]).cast("string")
     m = F.col(match_field).cast("string")
-    return df.withColumns({_KEY_NULL: m.isNull(), _KEY: F.coalesce(m, salt)})
+    return df.withColumns({_KEY_NULL: m.isNull(), _KEY: F.coalesce(m, spread)})
 
 
-def _join(df: DataFrame, keys: DataFrame, match_field: str, how: str,
-          max_broadcast_rows: int | None) -> DataFrame:
+def _join(df: DataFrame, keys: DataFrame, match_field: str, how: str) -> DataFrame:
     keys = keys.withColumn(_KEY_NULL, F.lit(False))
-    if _small_enough(keys, max_broadcast_rows):
-        probe = df.withColumns({_KEY_NULL: F.lit(False), _KEY: F.col(match_field).cast("string")})
-        out = probe.join(F.broadcast(keys), [_KEY_NULL, _KEY], how)
-    else:
-        out = _salted_probe(df, match_field).join(keys, [_KEY_NULL, _KEY], how)
-    return out.drop(_KEY, _KEY_NULL)
+    return _probe(df, match_field).join(keys, [_KEY_NULL, _KEY], how).drop(_KEY, _KEY_NULL)
 
 
 def add_block_flags(df: DataFrame, blocks: DataFrame, id_sets: list[tuple[int, ...]],
-                    match_field: str = "f2", max_broadcast_rows: int | None = None) -> DataFrame:
+                    match_field: str = "f2") -> DataFrame:
     """Add one non-NULL boolean column per id set (``flag_name(ids)``)."""
     if not id_sets:
         return df
     keys = block_keys(blocks, id_sets)
-    out = _join(df, keys, match_field, "left", max_broadcast_rows)
+    out = _join(df, keys, match_field, "left")
     return out.withColumns({flag_name(s): F.coalesce(F.col(flag_name(s)), F.lit(False))
                             for s in id_sets})
 
 
-def block_semi(df: DataFrame, blocks: DataFrame, ids, match_field: str = "f2",
-               max_broadcast_rows: int | None = None) -> DataFrame:
+def block_semi(df: DataFrame, blocks: DataFrame, ids, match_field: str = "f2") -> DataFrame:
     """Rows whose match key is listed in any of the block files (EXISTS)."""
     keys = block_keys(blocks, [tuple(sorted(set(ids)))]).select(_KEY)
-    return _join(df, keys, match_field, "left_semi", max_broadcast_rows)
+    return _join(df, keys, match_field, "left_semi")
 
 
-def block_anti(df: DataFrame, blocks: DataFrame, ids, match_field: str = "f2",
-               max_broadcast_rows: int | None = None) -> DataFrame:
+def block_anti(df: DataFrame, blocks: DataFrame, ids, match_field: str = "f2") -> DataFrame:
     """Rows whose match key is in none of the block files (NOT EXISTS);
     rows with a NULL key are kept."""
     keys = block_keys(blocks, [tuple(sorted(set(ids)))]).select(_KEY)
-    return _join(df, keys, match_field, "left_anti", max_broadcast_rows)
-
+    return _join(df, keys, match_field, "left_anti")
 
-def block_flag_column(ids) -> Column:
-    return F.col(flag_name(ids))

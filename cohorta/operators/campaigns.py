@@ -11,23 +11,37 @@ from pyspark.sql import functions as F
 from cohorta.operators.filters import FilterCompiler
 
 
-def evaluate_segments(df: DataFrame, compiled: dict[str, Column], by=("account_id",)) -> DataFrame:
+def _owned(condition: Column, owner, account: str = "account_id") -> Column:
+    """A segment's predicate, false outside the account it belongs to."""
+    return condition if owner is None else (F.col(account) == F.lit(owner)) & condition
+
+
+def evaluate_segments(df: DataFrame, compiled: dict[str, Column], by=("account_id",),
+                      owners: dict[str, int] | None = None) -> DataFrame:
     """Count every saved segment in one scan -> (by..., segment_id, cnt).
 
     One conditional count per segment is a single partial/final aggregate;
-    the wide row (one per group) is then turned into one row per segment."""
-    by = list(by)
+    the wide row (one per group) is then turned into one row per segment.
+    ``owners`` (segment -> account) keeps each segment to its own account."""
+    by, owners = list(by), owners or {}
     ids = list(compiled)
-    wide = df.groupBy(*by).agg(*[F.count_if(compiled[s]).alias(f"_s{i}") for i, s in enumerate(ids)])
-    pairs = F.array(*[F.struct(F.lit(s).alias("segment_id"), F.col(f"_s{i}").alias("cnt"))
+    wide = df.groupBy(*by).agg(*[F.count_if(_owned(compiled[s], owners.get(s))).alias(f"_s{i}")
+                                 for i, s in enumerate(ids)])
+    pairs = F.array(*[F.struct(F.lit(s).alias("segment_id"), F.col(f"_s{i}").alias("cnt"),
+                               F.lit(owners.get(s)).cast("bigint").alias("_owner"))
                       for i, s in enumerate(ids)])
-    return wide.select(*by, F.inline(pairs))
+    out = wide.select(*by, F.inline(pairs))
+    if owners:
+        out = out.filter(F.col("_owner").isNull() | (F.col("_owner") == F.col("account_id")))
+    return out.drop("_owner")
 
 
-def segment_membership(df: DataFrame, compiled: dict[str, Column], keep=("account_id", "id")) -> DataFrame:
+def segment_membership(df: DataFrame, compiled: dict[str, Column], keep=("account_id", "id"),
+                       owners: dict[str, int] | None = None) -> DataFrame:
     """One row per (contact, matching segment): explode of the ids whose
     predicate is TRUE (rows matching nothing produce no output)."""
-    hits = F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in compiled.items()]))
+    owners = owners or {}
+    hits = F.array_compact(F.array(*[F.when(_owned(c, owners.get(s)), F.lit(s)) for s, c in compiled.items()]))
     return df.select(*keep, F.explode(hits).alias("segment_id"))
 
 
@@ -65,33 +79,50 @@ def queue_rows(audience: DataFrame, campaign_id: Column, channel: Column, now) -
 
 
 def launch_queue(contacts: DataFrame, campaigns: DataFrame, segment_trees: dict, compiler: FilterCompiler,
-                 now, deleted_coalesce: bool = True, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                 now, deleted_coalesce: bool = True, owners: dict[str, int] | None = None) -> DataFrame:
     """Queue rows for many campaigns in one scan of the contacts.
 
     ``campaigns``: (id, account_id, channel, segment_id).  Each contact is
-    tagged with the saved segments it matches (``segment_membership``),
-    then joined to the campaigns on (account_id, segment_id).  The campaign
-    list is broadcast only after a bounded count proves it small."""
+    tagged with the saved segments of its account that it matches
+    (``segment_membership``), then joined to the campaigns on (account_id,
+    segment_id); Spark picks the join by the measured size of the campaigns."""
     c = contacts
     if deleted_coalesce:
         c = c.filter(F.coalesce(F.col("is_deleted"), F.lit(0)) == 0)
     compiled = {str(k): compiler.compile(t) for k, t in segment_trees.items()}
     cols = ["account_id", "id", "primary_key", "email", "mobile"]
-    members = segment_membership(c, compiled, keep=cols)
+    members = segment_membership(c, compiled, keep=cols, owners=owners)
     camp = campaigns.select(F.col("id").alias("_campaign_id"), F.col("account_id").cast(members.schema["account_id"].dataType).alias("account_id"),
                             F.col("channel").alias("_channel"), F.col("segment_id").cast("string").alias("segment_id"))
-    small = camp.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    joined = members.join(F.broadcast(camp) if small else camp, ["account_id", "segment_id"])
+    joined = members.join(camp, ["account_id", "segment_id"])
     return queue_rows(joined, F.col("_campaign_id"), F.col("_channel"), now)
 
 
+def match_receipts(receipts: DataFrame, sub: DataFrame) -> DataFrame:
+    """Each receipt once, with the subscriber row (``s_`` columns) it means, if any.
+
+    A receipt that names its campaign means the row of that campaign; one that
+    names none means the row of its message id in the lowest campaign.
+    Receipts without a message id match nothing and take no part in the join."""
+    bare = F.coalesce(F.col("campaign_id"), F.lit(0)) == 0
+    usable = F.coalesce(F.col("message_id"), F.lit("")) != ""
+    cols = [c for c in sub.columns if c != "message_id"]
+    named = (receipts.filter(usable & ~bare)
+             .join(sub.withColumn("campaign_id", F.col("s_campaign_id")), ["message_id", "campaign_id"], "left"))
+    one = sub.groupBy("message_id").agg(F.min_by(F.struct(*cols), F.col("s_campaign_id")).alias("_s"))
+    unnamed = receipts.filter(usable & bare).join(one, "message_id", "left").select(
+        *receipts.columns, *[F.col(f"_s.{c}").alias(c) for c in cols])
+    neither = receipts.filter(~usable).select("*", *[F.lit(None).cast(sub.schema[c].dataType).alias(c) for c in cols])
+    return named.select(*receipts.columns, *cols).unionByName(unnamed).unionByName(neither)
+
+
 def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: bool = False,
                    materialize=None):
     """Delivery receipts -> (subscriber deltas, dlr events, api-log rows, rejects).
 
     ``receipts``: message_id, campaign_id (0/NULL = unknown), channel (''/NULL
     = unknown), status, code, reason, received_at, seq.  Looked up against
-    the merged subscriber table on message_id (left join).  ``materialize``
+    the merged subscriber table by ``match_receipts``.  ``materialize``
     (e.g. ``lambda d: d.checkpoint()``) is applied to the joined frame so a
     job writing all four outputs runs the lookup join once."""
     have = set(subscribers.columns)
@@ -99,7 +130,7 @@ def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: b
                "queue_id", "message_size", "drop_reason", "total_open", "total_click")
     sub = subscribers.select("message_id", *[
         (F.col(c) if c in have else F.lit(None)).alias(f"s_{c}") for c in carried])
-    r = receipts.join(sub, "message_id", "left")
+    r = match_receipts(receipts, sub)
     given_campaign = F.when(F.coalesce(F.col("campaign_id"), F.lit(0)) != 0, F.col("campaign_id"))
     known = F.col("s_campaign_id").isNotNull()
     r = r.withColumns({
@@ -107,13 +138,18 @@ def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: b
         "_channel": F.coalesce(F.when(F.col("channel") != "", F.col("channel")), F.col("s_channel"),
                                F.coalesce(F.col("channel"), F.lit(""))),
         "_recipient": F.coalesce(F.col("s_recipient"), F.lit("")),
-        "_ok": known | given_campaign.isNotNull(),
+        "_ok": (known | given_campaign.isNotNull()) & (F.coalesce(F.col("message_id"), F.lit("")) != ""),
     })
     if materialize is not None:
         r = materialize(r)
     ok = r.filter(F.col("_ok"))
-    rejects = r.filter(~F.col("_ok")).select("message_id", "status", "code", "reason", "received_at", "seq",
-                                             F.lit("message_id not found").alias("error"))
+    rejects = r.filter(~F.col("_ok")).select(
+        "message_id", F.col("campaign_id").cast("bigint").alias("campaign_id"), F.col("status").cast("int").alias("status"),
+        F.col("code").cast("string").alias("code"), F.col("reason").cast("string").alias("reason"),
+        F.col("received_at").cast("timestamp").alias("received_at"), F.col("seq").cast("bigint").alias("seq"),
+        F.when(F.coalesce(F.col("message_id"), F.lit("")) == "", F.lit("no message_id"))
+         .otherwise(F.lit("message_id not found")).alias("error"),
+        F.to_date(F.col("received_at").cast("timestamp")).alias("dt"))
     ts = F.col("received_at").cast("timestamp")
     keep = (lambda c, d: F.coalesce(F.col(c), d)) if carry_forward else (lambda c, d: d)
     sub_delta = ok.select(

@@ -14,20 +14,29 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Largest page and projection unless the caller names another; asking for more raises.
 MAX_LIMIT = 10000
+MAX_KEYSET = 100
 MAX_SELECT = 40
 
 
+def _checked(limit: int, most: int, default: int | None = None) -> int:
+    if default is not None and limit <= 0:
+        return default
+    if limit < 0 or limit > most:
+        raise ValueError(f"limit must be 0..{most}")
+    return limit
+
+
 def _sort(col: str, desc: bool) -> Column:
     return F.col(col).desc_nulls_last() if desc else F.col(col).asc_nulls_last()
 
 
 def page(df: DataFrame, order_by: str, order_dir: str = "ASC", limit: int = 25, offset: int = 0,
-         by=None, tie: str | None = None) -> DataFrame:
+         by=None, tie: str | None = None, max_limit: int = MAX_LIMIT) -> DataFrame:
     """``ORDER BY order_by [tie] LIMIT limit OFFSET offset`` — per ``by`` group
     when given (one page per account), else one global page."""
-    if limit < 0 or limit > MAX_LIMIT:
-        raise ValueError(f"limit must be 0..{MAX_LIMIT}")
+    limit = _checked(limit, max_limit)
     d = str(order_dir).upper()
     if d not in ("ASC", "DESC"):
         raise ValueError("order_dir must be ASC or DESC")
@@ -42,12 +51,11 @@ def page(df: DataFrame, order_by: str, order_dir: str = "ASC", limit: int = 25,
                  .withColumn("page_rank", F.col("_rn") - offset).drop("_rn")
 
 
-def keyset_page(df: DataFrame, key: str = "id", after: int = 0, limit: int = 25, by=None) -> DataFrame:
+def keyset_page(df: DataFrame, key: str = "id", after: int = 0, limit: int = 25, by=None,
+                max_limit: int = MAX_KEYSET) -> DataFrame:
     """``key > after ORDER BY key LIMIT limit+1``: returns ``limit`` rows plus
-    ``has_more`` and ``next_after`` per group (limit clamped to 1..100)."""
-    if limit <= 0:
-        limit = 25
-    limit = min(limit, 100)
+    ``has_more`` and ``next_after`` per group (0 means 25; above ``max_limit`` raises)."""
+    limit = _checked(limit, max_limit, 25)
     src = df.filter(F.col(key) > F.lit(after)) if after and after > 0 else df
     by = [] if not by else ([by] if isinstance(by, str) else list(by))
     w = Window.partitionBy(*by).orderBy(F.col(key).asc_nulls_last()) if by else \
@@ -73,13 +81,11 @@ def newest_first(df: DataFrame, col: str, limit: int | None = None, tie: str | N
     return page(df, col, "DESC", limit, 0, by=by, tie=tie)
 
 
-def lookup(df: DataFrame, keys: DataFrame, on, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys`` (many point lookups as one semi
-    join).  The key set is broadcast only after a bounded count proves it small."""
+def lookup(df: DataFrame, keys: DataFrame, on) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys``: many point lookups as one semi join,
+    broadcast or shuffled by the measured size of the keys."""
     on = [on] if isinstance(on, str) else list(on)
-    k = keys.select(*on).distinct()
-    small = k.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    return df.join(F.broadcast(k) if small else k, on, "left_semi")
+    return df.join(keys.select(*on).distinct(), on, "left_semi")
 
 
 def _like_any(cols: list[Column], q: str) -> Column:
@@ -127,14 +133,15 @@ def filter_logs(df: DataFrame, dt: str = "", channel_id: int = 0, status: int |
 
 
 def resolve_select(select, catalog_names, default=("id", "account_id", "primary_key", "email",
-                                                    "mobile", "email_status", "domain")) -> list[str]:
-    """Validated projection: at most 40 known columns, default 7."""
+                                                    "mobile", "email_status", "domain"),
+                   max_select: int = MAX_SELECT) -> list[str]:
+    """Validated projection: at most ``max_select`` known columns, default 7."""
     if select in (None, "*", ""):
         return list(default)
     if not isinstance(select, (list, tuple)):
         raise ValueError("select must be a list of column names")
-    if len(select) > MAX_SELECT:
-        raise ValueError(f"select supports at most {MAX_SELECT} columns")
+    if len(select) > max_select:
+        raise ValueError(f"select supports at most {max_select} columns")
     out = []
     for c in select:
         if str(c) not in catalog_names:
@@ -159,17 +166,16 @@ def whitelist_columns(columns, catalog_names,
 
 
 def list_contacts(df: DataFrame, catalog_names, q: str = "", limit: int = 25, after_id: int = 0,
-                  offset: int = 0, columns=None, by=("account_id",)) -> DataFrame:
+                  offset: int = 0, columns=None, by=("account_id",), max_limit: int = MAX_KEYSET) -> DataFrame:
     """Contact list: whitelisted columns (``id`` always), search, keyset page
     by id (offset only when there is no cursor), ``has_more`` and
     ``next_after`` per account."""
-    if limit <= 0:
-        limit = 25
-    limit = min(limit, 100)
+    limit = _checked(limit, max_limit, 25)
     cols = whitelist_columns(columns, catalog_names)
     src = search_contacts(df, q)
     if after_id and after_id > 0:
-        return keyset_page(src.select(*dict.fromkeys(list(by) + cols)), "id", after_id, limit, by=list(by))
+        return keyset_page(src.select(*dict.fromkeys(list(by) + cols)), "id", after_id, limit, by=list(by),
+                           max_limit=max_limit)
     by = list(by)
     w = Window.partitionBy(*by).orderBy(F.col("id").asc_nulls_last())
     ranked = src.select(*dict.fromkeys(by + cols)).withColumn("_rn", F.row_number().over(w)) \
@@ -178,3 +184,8 @@ def list_contacts(df: DataFrame, catalog_names, q: str = "", limit: int = 25, af
     out = ranked.withColumn("has_more", F.max("_rn").over(g) > F.lit(offset + limit)) \
                 .filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit))
     return out.withColumn("next_after", F.max("id").over(g)).drop("_rn")
+
+
+def list_segments(segments: DataFrame, limit: int | None = None, by=("account_id",)) -> DataFrame:
+    """Saved segments, newest update first (per account when limited)."""
+    return newest_first(segments, "updated_at", limit, tie="id", by=list(by) if limit is not None else None)

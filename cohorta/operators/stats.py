@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohorta.functions.coerce import blank_to_null
 
@@ -115,14 +116,28 @@ def distinct_count(df: DataFrame, col: str, name: str | None = None) -> DataFram
 def assign_ids(new: DataFrame, existing: DataFrame, by: str = "account_id", id_col: str = "id",
                order=("created_at", "name")) -> DataFrame:
     """Give a batch of new rows ids ``max(existing id) + 1, + 2, ...`` per account
-    (1 when the account has none).  The per-account max is one aggregate;
-    numbering inside the batch is a window over the new rows only."""
-    maxes = existing.groupBy(by).agg(F.max(id_col).alias("_max_id"))
-    w = Window.partitionBy(by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    numbered = new.withColumn("_n", F.row_number().over(w))
-    out = numbered.join(maxes, by, "left")
-    return out.withColumn(id_col, F.coalesce(F.col("_max_id"), F.lit(0)) + F.col("_n")) \
-              .drop("_n", "_max_id")
+    (1 when the account has none).
+
+    The batch is dealt out by ranges of (account, order) and written once; rows
+    are numbered inside their range and the ranges of an account by a sum over
+    their counts, so an account of any size is numbered by many tasks."""
+    spark = new.sparkSession
+    keys = [F.col(by).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
+    from cohorta.session import scratch_dir
+    path = scratch_dir(spark, "assign-ids")
+    new.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    ranged = spark.read.schema(T.StructType([*new.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path)
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(by, "_range").agg(F.count("*").alias("_rows")) \
+        .select(F.col(by).alias("_by"), F.col("_range").alias("_r"),
+                F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    maxes = existing.groupBy(F.col(by).alias("_of")).agg(F.max(id_col).alias("_max_id"))
+    inside = Window.partitionBy(by, "_range").orderBy(*keys[1:])
+    out = (ranged.withColumn("_n", F.row_number().over(inside))
+           .join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+           .join(maxes, F.col(by).eqNullSafe(F.col("_of")), "left"))
+    return out.withColumn(id_col, F.coalesce(F.col("_max_id"), F.lit(0)) + F.col("_before") + F.col("_n")) \
+              .drop("_n", "_max_id", "_range", "_by", "_r", "_before", "_of")
 
 
 def preview(df: DataFrame, n: int = 20, order: str = "id", by=("account_id",),

@@ -1,86 +1,73 @@
 """Compaction: fold deltas into the snapshot, partition by partition.
 
-Order of work (safe against a lost executor or a crash at any step):
-1. list the delta files that exist now (only these are folded in);
-2. read snapshot ∪ those files, merge (latest row wins, tombstones drop),
-   keeping the change columns;
-3. write the result with dynamic partition overwrite — only partitions in
-   the result are replaced; the commit protocol stages files, so reading
-   the partition being replaced is safe and a failed job leaves the old one;
-4. remove snapshot partitions whose keys were all deleted (dynamic
-   overwrite would leave them untouched and resurrect deleted rows);
-5. delete the listed delta files.  A reader between 3 and 5 sees rows
-   twice, which the merge folds away: never a loss.
+1. List the files of the touched partitions (those with deltas; all with
+   ``full``).  Only these are folded in and only these are removed.
+2. Merge them.  The winners, tombstones included, are added to the snapshot
+   as new files in one committed job.
+3. Remove the listed files, in any order.
+
+Between the steps, and after a crash at any point, the table holds the
+winners beside some of the rows they beat, which the merge folds away: no row
+is lost and no deleted row comes back, because its tombstone stays.  A
+tombstone goes when it is the only row left of its key, that is at the next
+compaction of the partition.
 """
 
 from __future__ import annotations
 
-import re
-
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohorta import schema as S
-from cohorta.operators.merge import merge_with_spec, union_by_name
-from cohorta.sources.readers import empty_table, has_parquet
-from cohorta.sources.warehouse import DELTA_DATE, TABLES, Warehouse
-from cohorta.sources.writers import delete_path, list_files
-
-
-def _part_value(path: str, col: str) -> int | None:
-    m = re.search(rf"/{re.escape(col)}=(-?\d+)(/|$)", path)
-    return int(m.group(1)) if m else None
+from cohorta.operators.merge import TIE, union_by_name
+from cohorta.session import scratch_dir
+from cohorta.sources.warehouse import FILE, TABLES, Warehouse
+from cohorta.sources.writers import delete_files, observed
 
 
-def compact(wh: Warehouse, table: str, part_values: list[int] | None = None) -> dict:
-    """Compact ``table`` (contact / campaign_sub / campaign); ``part_values``
-    restricts it to some accounts or campaigns (all when None)."""
-    spark = wh.spark
-    t = TABLES[table]
-    pcol = t.spec.partition_by[0]
-    full = S.with_change_columns(t.schema)
-    delta_root = wh.path(table, "delta")
-    snap_root = wh.path(table, "snapshot")
+def _listed(wh: Warehouse, table: str, part_values: list[int] | None, full: bool) -> DataFrame | None:
+    """Stored rows of the touched partitions with their files."""
+    column = TABLES[table].spec.partition_by[0]
+    delta, snapshot = wh.files(table, "delta"), wh.files(table, "snapshot")
+    if delta is not None:
+        delta = delta.drop("delta_date").withColumn("_delta", F.lit(True))
+    if snapshot is not None:
+        snapshot = snapshot.withColumn("_delta", F.lit(False))
+        if not full:
+            if delta is None:
+                return None
+            snapshot = snapshot.join(delta.select(column).distinct(), column, "left_semi")
+    parts = [p for p in (snapshot, delta) if p is not None]
+    if not parts:
+        return None
+    rows = union_by_name(*parts)
+    return rows if part_values is None else rows.filter(F.col(column).isin([int(v) for v in part_values]))
 
-    def part_dirs(root):
-        if part_values is None:
-            return [root]
-        return [f"{root}/{pcol}={int(v)}" for v in part_values]
 
-    delta_files = [f for d in part_dirs(delta_root) for f in list_files(spark, d)]
-    snap_present = any(has_parquet(spark, d) for d in part_dirs(snap_root))
-    if not delta_files and not snap_present:
-        return {"rows_written": 0, "deltas_removed": 0, "partitions_removed": 0}
+def compact(wh: Warehouse, table: str, part_values: list[int] | None = None, full: bool = False,
+            remove=delete_files) -> dict:
+    """Compact ``table`` (contact / campaign_sub / campaign).
 
-    parts = []
-    if snap_present:
-        snap = spark.read.schema(full).parquet(snap_root)
-        if part_values is not None:
-            snap = snap.filter(F.col(pcol).isin([int(v) for v in part_values]))
-        parts.append(snap)
-    if delta_files:
-        dschema = T.StructType(full.fields + [DELTA_DATE])
-        delta = spark.read.schema(dschema).option("basePath", delta_root).parquet(*delta_files)
-        parts.append(delta.drop("delta_date"))
-    rows = union_by_name(*parts) if parts else empty_table(spark, full)
-    merged = merge_with_spec(rows, t.spec, keep_change_columns=True)
-    # cut lineage on the shared checkpoint folder: the write and the two
-    # small follow-up aggregates reuse it instead of re-reading the deltas
-    merged = merged.checkpoint(eager=True)
+    ``part_values`` restricts it to some accounts or campaigns; ``full`` also
+    rewrites partitions without deltas.  Returns rows_written (live rows),
+    tombstones_kept and files_removed."""
+    spec = TABLES[table].spec
+    rows = _listed(wh, table, part_values, full)
+    if rows is None:
+        return {"rows_written": 0, "tombstones_kept": 0, "files_removed": 0}
+    names = scratch_dir(wh.spark, "compacted")
+    rows.select(F.col(FILE).alias("path")).distinct().write.mode("overwrite").parquet(names)
 
-    # partitions touched come from the listed file paths (no extra scan);
-    # partitions kept from the checkpointed result (one small aggregate)
-    snap_files = [f for d in part_dirs(snap_root) for f in list_files(spark, d)]
-    touched = {v for v in (_part_value(f, pcol) for f in delta_files + snap_files) if v is not None}
-    kept = {int(r[0]) for r in merged.select(pcol).distinct().collect() if r[0] is not None}
-    written = merged.count()
-    if written:
-        wh.write_snapshot(table, merged)
-    removed = 0
-    for v in sorted(touched - kept):
-        if v is not None and delete_path(spark, f"{snap_root}/{pcol}={v}"):
-            removed += 1
-    for f in delta_files:
-        delete_path(spark, f, recursive=False)
-    return {"rows_written": int(written), "deltas_removed": len(delta_files),
-            "partitions_removed": removed}
+    order = [F.col(c).desc_nulls_last() for c in (*spec.order, TIE)]
+    window = Window.partitionBy(*spec.key).orderBy(*order)
+    winners = rows.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1")
+    dead = F.coalesce(F.col("_op"), F.lit("upsert" if spec.null_op_is_upsert else "delete")) == "delete"
+    alone = rows.select(*spec.key, dead.alias("_dead")).groupBy(*spec.key) \
+        .agg(F.count("*").alias("_n"), F.max("_dead").alias("_dead")).filter("_n = 1 and _dead").select(*spec.key)
+    out = winners.join(alone, list(spec.key), "left_anti")
+    seen = Observation(f"compact_{table}")
+    out = out.observe(seen, F.count_if(~dead).alias("live"), F.count_if(dead).alias("dead"))
+    wh.add_snapshot_rows(table, out.select(*S.with_change_columns(TABLES[table].schema).fieldNames()))
+    removed = remove(wh.spark.read.schema("path string").parquet(names))
+    return {"rows_written": observed(seen, "live"), "tombstones_kept": observed(seen, "dead"),
+            "files_removed": int(removed or 0)}

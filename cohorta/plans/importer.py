@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohorta import schema as S
 from cohorta.functions.coerce import email_domain, epoch_or_timestamp, safe_cast, safe_int
 from cohorta.sources.readers import read_source, source_columns
 from cohorta.sources.warehouse import Warehouse
+from cohorta.sources.writers import observed
 
 # Contact columns with a default when the source gives none.
 DEFAULT_ONE = ("email_status", "sms_status", "is_contact", "import_source")
@@ -121,41 +122,67 @@ def canonical_activity(src: DataFrame, dt: str, now: _dt.datetime) -> DataFrame:
     return src.filter(idc.isNotNull()).select(*sel)
 
 
+def _now(now: _dt.datetime | None) -> _dt.datetime:
+    return now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+
+
+def _rejected(wh: Warehouse, src: DataFrame, bad: Column, table: str, path: str, error: str, now: _dt.datetime) -> int:
+    """Keep source rows that cannot be imported, as JSON with the reason."""
+    seen = Observation(f"rejected_{table}")
+    rows = (src.filter(bad).observe(seen, F.count(F.lit(1)).alias("rows"))
+            .select(F.lit(table).alias("table_name"), F.lit(path).alias("source"),
+                    F.to_json(F.struct(*[F.col(f"`{c}`") for c in src.columns])).alias("row"),
+                    F.lit(error).alias("error"), F.lit(now).cast("timestamp").alias("rejected_at"),
+                    F.lit(now.date()).alias("dt")))
+    wh.append("import_reject", rows)
+    return observed(seen, "rows")
+
+
 def import_contacts(wh: Warehouse, path: str, account_id: int, mode: str = "delta",
-                    now: _dt.datetime | None = None) -> dict:
+                    now: _dt.datetime | None = None, multi_line: bool = False) -> dict:
     """Import a file into the contact table; ``mode`` snapshot replaces the
-    account's snapshot partition, delta appends a change batch."""
-    now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = canonical_contacts(read_source(wh.spark, path), account_id, now)
-    obs = Observation("import_contacts")
-    rows = rows.observe(obs, F.count(F.lit(1)).alias("rows"))
+    account's snapshot partition (also by an empty one), delta appends a change
+    batch.  Rows without a numeric id go to ``import_reject``."""
+    if mode not in ("", "delta", "snapshot"):
+        raise ValueError("mode must be snapshot or delta")
+    now = _now(now)
+    src = read_source(wh.spark, path, multi_line)
+    seen = Observation("import_contacts")
+    rows = canonical_contacts(src, account_id, now).observe(seen, F.count(F.lit(1)).alias("rows"))
     if mode == "snapshot":
-        wh.write_snapshot("contact", rows)
-    elif mode in ("", "delta"):
-        wh.write_delta("contact", rows, now.date())
+        wh.replace_partition("contact", rows, account_id)
     else:
-        raise ValueError("mode must be snapshot or delta")
-    return {"table": "contact", "rows": int(obs.get["rows"]), "mode": mode or "delta",
-            "source": path}
+        wh.write_delta("contact", rows, now.date())
+    no_id = safe_int(_src(source_columns(src), "id"), "bigint").isNull()
+    return {"table": "contact", "rows": observed(seen, "rows"), "mode": mode or "delta", "source": path,
+            "rejected": _rejected(wh, src, no_id, "contact", path, "no numeric id", now)}
 
 
 def import_subscribers(wh: Warehouse, path: str, campaign_id: int, mode: str = "delta",
-                       now: _dt.datetime | None = None) -> dict:
-    now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = canonical_subscribers(read_source(wh.spark, path), campaign_id, now)
-    obs = Observation("import_subscribers")
-    rows = rows.observe(obs, F.count(F.lit(1)).alias("rows"))
+                       now: _dt.datetime | None = None, multi_line: bool = False) -> dict:
+    """Import recipients of one campaign.  Rows that name another campaign, or no
+    numeric contact id, go to ``import_reject``; other campaigns are never touched."""
+    now = _now(now)
+    src = read_source(wh.spark, path, multi_line)
+    cols = source_columns(src)
+    own = F.coalesce(safe_int(_src(cols, "campaign_id"), "bigint"), F.lit(int(campaign_id)).cast("bigint")) == int(campaign_id)
+    no_id = safe_int(_src(cols, "contact_id"), "bigint").isNull()
+    seen = Observation("import_subscribers")
+    rows = canonical_subscribers(src.filter(own), campaign_id, now).observe(seen, F.count(F.lit(1)).alias("rows"))
     if mode == "snapshot":
-        wh.write_snapshot("campaign_sub", rows)
+        wh.replace_partition("campaign_sub", rows, campaign_id)
     else:
         wh.write_delta("campaign_sub", rows, now.date())
-    return {"table": "campaign_sub", "rows": int(obs.get["rows"]), "mode": mode, "source": path}
-
-
-def import_activity(wh: Warehouse, path: str, dt: str, now: _dt.datetime | None = None) -> dict:
-    now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = canonical_activity(read_source(wh.spark, path), dt, now)
-    obs = Observation("import_activity")
-    wh.append("campaign_activity", rows.observe(obs, F.count(F.lit(1)).alias("rows")))
-    return {"table": "campaign_activity", "rows": int(obs.get["rows"]), "mode": "append",
-            "source": path}
+    return {"table": "campaign_sub", "rows": observed(seen, "rows"), "mode": mode, "source": path,
+            "rejected": _rejected(wh, src, no_id | ~own, "campaign_sub", path, "no contact id or another campaign", now)}
+
+
+def import_activity(wh: Warehouse, path: str, dt: str, now: _dt.datetime | None = None,
+                    multi_line: bool = False) -> dict:
+    now = _now(now)
+    src = read_source(wh.spark, path, multi_line)
+    seen = Observation("import_activity")
+    wh.append("campaign_activity", canonical_activity(src, dt, now).observe(seen, F.count(F.lit(1)).alias("rows")))
+    no_id = safe_int(_src(source_columns(src), "id"), "bigint").isNull()
+    return {"table": "campaign_activity", "rows": observed(seen, "rows"), "mode": "append", "source": path,
+            "rejected": _rejected(wh, src, no_id, "campaign_activity", path, "no numeric id", now)}

@@ -1,22 +1,23 @@
 """Campaign jobs: save campaigns, launch them, apply delivery receipts.
 
-``launch_campaigns`` handles any number of campaigns in one scan of the
-merged contact table; the queued count per campaign is a small aggregate
-of the rows just written (read back from the written delta, not from a
-second evaluation of the filter).
+``launch_campaigns`` handles any number of campaigns in one scan of their
+accounts' contacts; the queued count per campaign comes from the queue it
+has written, not from a second evaluation of the filter.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohorta import schema as S
+from cohorta.operators.audience import to_tree
 from cohorta.operators.campaigns import apply_receipts, launch_queue
 from cohorta.operators.filters import FilterCompiler
-from cohorta.operators.merge import union_by_name
+from cohorta.session import scratch_dir
 from cohorta.sources.readers import conform
 from cohorta.sources.warehouse import Warehouse
 
@@ -28,50 +29,88 @@ def campaign_changes(campaigns: DataFrame, now: _dt.datetime, op: str = "upsert"
     return conform(rows, S.with_change_columns(S.CAMPAIGN))
 
 
-def launch_campaigns(wh: Warehouse, campaigns: DataFrame, segment_trees: dict, now: _dt.datetime | None = None,
-                     only_new: bool = False) -> DataFrame:
+def campaign_segments(wh: Warehouse, campaigns: DataFrame) -> tuple[dict[str, dict], dict[str, int]]:
+    """(tree, owner account) of the saved segments that ``campaigns`` use.
+
+    Segments are matched within the campaign's account; what comes to the
+    driver is one row per segment used, as metadata is."""
+    used = campaigns.select(F.col("account_id").cast("bigint").alias("account_id"),
+                            F.col("segment_id").cast("string").alias("id")).distinct()
+    rows = wh.segments().join(used, ["account_id", "id"]).select("account_id", "id", "filter_json").collect()
+    trees, owners = {}, {}
+    for r in rows:
+        if r.id in trees:
+            raise ValueError(f"segment id {r.id} is used by accounts {owners[r.id]} and {r.account_id}")
+        trees[r.id] = to_tree(json.loads(r.filter_json), S.Catalog(S.CONTACT))
+        owners[r.id] = int(r.account_id)
+    return trees, owners
+
+
+def launch_campaigns(wh: Warehouse, campaigns: DataFrame, segment_trees: dict | None = None,
+                     now: _dt.datetime | None = None, only_new: bool = False) -> DataFrame:
     """Materialise the send queue of ``campaigns`` (id, account_id, channel,
     segment_id, ...) and mark them running.  Returns (campaign_id, queued).
 
-    ``only_new`` skips contacts already queued for the campaign (the
-    reference rewrites all rows on a second launch, resetting their state)."""
+    Segments come from the segment table unless ``segment_trees`` gives them.
+    Only the accounts of the campaigns are read, below the merge.
+
+    ``only_new`` skips contacts already queued for the campaign (otherwise a
+    second launch rewrites all rows, resetting their state)."""
     now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    contacts = wh.contact()
+    owners: dict[str, int] = {}
+    if segment_trees is None:
+        segment_trees, owners = campaign_segments(wh, campaigns)
+    if not segment_trees:
+        return wh.spark.createDataFrame([], "campaign_id bigint, queued bigint")
+    # campaigns are metadata: their accounts and ids prune partitions
+    meta = campaigns.select(F.col("id").cast("bigint"), F.col("account_id").cast("bigint")).distinct().collect()
+    accounts = sorted({int(r.account_id) for r in meta if r.account_id is not None})
+    contacts = wh.table("contact", F.col("account_id").isin(accounts))
     comp = FilterCompiler(S.Catalog(S.CONTACT), {f.name: f.dataType for f in contacts.schema.fields})
-    queue = launch_queue(contacts, campaigns, segment_trees, comp, now)
+    queue = launch_queue(contacts, campaigns, segment_trees, comp, now, owners=owners)
     if only_new:
-        # campaign ids are metadata-sized; the filter prunes campaign_sub partitions
-        ids = [int(r[0]) for r in campaigns.select("id").distinct().collect()]
+        ids = sorted({int(r.id) for r in meta if r.id is not None})
         queued = wh.table("campaign_sub", F.col("campaign_id").isin(ids)).select("campaign_id", "message_id")
         queue = queue.join(queued, ["campaign_id", "message_id"], "left_anti")
     day = now.date()
+    # written once to the shared folder: the queue is stored and counted from there
+    scratch = scratch_dir(wh.spark, "launch")
+    queue.write.mode("overwrite").parquet(scratch)
+    queue = wh.spark.read.schema(queue.schema).parquet(scratch)
     wh.write_delta("campaign_sub", queue, day)
-    written = wh.spark.read.schema(
-        S.with_change_columns(S.CAMPAIGN_SUB).add("delta_date", "date")
-    ).parquet(wh.path("campaign_sub", "delta")).filter(F.col("delta_date") == F.lit(day)) \
-        .filter(F.col("_ts") == F.lit(now).cast("timestamp"))
-    counts = written.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("queued"))
-    meta = campaigns.join(counts, campaigns["id"] == counts["campaign_id"], "left") \
+    counts = queue.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("queued"))
+    done = campaigns.join(counts, campaigns["id"] == counts["campaign_id"], "left") \
         .withColumns({"status": F.lit("running"), "launched_at": F.lit(now).cast("timestamp"),
                       "queued_cnt": F.coalesce(F.col("queued"), F.lit(0)).cast("bigint")})
-    wh.write_delta("campaign", campaign_changes(meta, now), day)
+    wh.write_delta("campaign", campaign_changes(done, now), day)
     return counts
 
 
-def apply_receipt_batch(wh: Warehouse, receipts: DataFrame, carry_forward: bool = False) -> DataFrame:
-    """Batch receipt ingest: three sinks; returns the rejected receipts."""
-    # one lookup join (checkpointed in the shared folder) feeds all sinks
+def apply_receipt_batch(wh: Warehouse, receipts: DataFrame, carry_forward: bool = False,
+                        day: _dt.date | None = None) -> DataFrame:
+    """Ingest receipts: subscriber deltas, events, logs and rejects are stored;
+    returns the rejected receipts.
+
+    Deltas and logs are merge-keyed, events and rejects are added only if the
+    table lacks them, so the same batch may be applied again."""
+    have = scratch_dir(wh.spark, "receipts")
+
+    def kept(df: DataFrame) -> DataFrame:
+        """The lookup join, once, in the shared folder: it feeds all four sinks."""
+        df.write.mode("overwrite").parquet(have)
+        return wh.spark.read.schema(df.schema).parquet(have)
+
     sub_delta, events, logs, rejects = apply_receipts(receipts, wh.subscribers_for(receipts), carry_forward,
-                                                      materialize=lambda d: d.checkpoint(eager=True))
-    wh.write_delta("campaign_sub", sub_delta, _dt.date.today())
-    wh.append("dlr_event", events)
-    wh.append("api_logs", logs)
+                                                      materialize=kept)
+    if day is None:
+        day = receipts.agg(F.max(F.to_date("received_at"))).first()[0] or _dt.date.today()
+    wh.write_delta("campaign_sub", sub_delta, day)
+    wh.append_new("dlr_event", events, ("id",))
+    wh.append_new("api_logs", logs, ("message_id", "updated_at", "_seq", "status"))
+    wh.append_new("dlr_reject", rejects, ("message_id", "seq", "received_at", "status", "code"))
     return rejects
 
 
 def save_segments(wh: Warehouse, segments: DataFrame) -> None:
     """Append saved segments (id, account_id, name, filter_json, created_at, updated_at)."""
     wh.append("segment", conform(segments, S.SEGMENT))
-
-
-__all__ = ["campaign_changes", "launch_campaigns", "apply_receipt_batch", "save_segments", "union_by_name"]

@@ -122,7 +122,7 @@ register("filter_typed_date", _sql_ids(
 # -- F27 ------------------------------------------------------------------------------------------------
 FLAT = {"values": {"account_id": 3, "email_status": 1, "f30": ["BUILDING", "MACHINERY"],
                    "f31": {"op": "gte", "value": 40}}}
-register("filter_flat_values", _sql_ids("email_status = 1 AND f30 IN ('BUILDING', 'MACHINERY') AND f31 >= 40"))(
+register("filter_flat_values", _sql_ids("account_id = 3 AND email_status = 1 AND f30 IN ('BUILDING', 'MACHINERY') AND f31 >= 40"))(
     lambda spark, d: _ids(spark, d, FLAT))
 
 # -- F24 ---------------------------------------------------------------------------------------------------
@@ -163,6 +163,14 @@ register("rules_number", _sql_ids(
     "OR (f31 < 27 AND email_status <= 2) OR (f31 = 50 AND import_source > 4)"))(
     lambda spark, d: _ids(spark, d, R_NUMBER))
 
+# a number rule on a text column: text that is no number is unknown
+R_NUMBER_TEXT = [[rule("attributes", "number_attr_gt", "f7", 5)], [rule("attributes", "number_attr_lte", "mobile", 9000000050)],
+                 [rule("attributes", "number_attr_not_between", "f18", 1, 2), rule("attributes", "number_attr_equals", "f31", 30)]]
+register("rules_number_text", _sql_ids(
+    "(TRY_CAST(f7 AS DECIMAL(38,10)) > 5) OR (TRY_CAST(mobile AS DECIMAL(38,10)) <= 9000000050) "
+    "OR ((TRY_CAST(f18 AS DECIMAL(38,10)) IS NULL OR TRY_CAST(f18 AS DECIMAL(38,10)) NOT BETWEEN 1 AND 2) AND f31 = 30)"))(
+    lambda spark, d: _ids(spark, d, R_NUMBER_TEXT))
+
 R_DATE = [[rule("attributes", "date_attr_between", "f7", "2016-01-01", "2016-12-31")],
           [rule("attributes", "date_attr_gte", "f7", "2022-06-01"), rule("attributes", "date_attr_lt", "f7", "2022-09-01")],
           [rule("attributes", "date_attr_equals", "f7", "2018-05-05")],

@@ -254,6 +254,15 @@ API_LOGS = _simple(
     "recipient varchar, opened tinyint, clicked tinyint, is_unsubscribed tinyint, "
     "is_spammed tinyint, updated_at integer, data varchar, recipient_domain varchar, "
     "sender_domain varchar, template_id varchar, unique_arguments varchar, dt date")
+RECEIPT = _simple(
+    "message_id varchar, campaign_id bigint, channel varchar, status integer, code varchar, reason varchar, "
+    "received_at timestamp, seq bigint, dt date")
+#: Receipts and import rows that could not be applied, kept with their reason.
+DLR_REJECT = _simple(
+    "message_id varchar, campaign_id bigint, status integer, code varchar, reason varchar, "
+    "received_at timestamp, seq bigint, error varchar, dt date")
+IMPORT_REJECT = _simple(
+    "table_name varchar, source varchar, row varchar, error varchar, rejected_at timestamp, dt date")
 BLOCK_FILE_DATA = _simple("block_file_id bigint, unique_identifier varchar")
 
 
@@ -261,6 +270,11 @@ def with_change_columns(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + CHANGE_FIELDS)
 
 
+def stored_layout(schema: T.StructType) -> T.StructType:
+    """Change rows as the warehouse stores them, with the tie value."""
+    return T.StructType([*with_change_columns(schema).fields, T.StructField("_tie", T.LongType(), True)])
+
+
 @dataclass(frozen=True)
 class MergeSpec:
     """How a mutable table is merged: key, ordering, tombstone rule.

@@ -21,7 +21,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+    # pages are top-k per group: cut each map task to offset + limit rows first
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # partitioned writes cost per file, not per byte: let AQE keep several
     # tasks for a small rebalanced output instead of one task writing every
     # partition value serially (large shuffles are unaffected)
@@ -56,14 +57,17 @@ def apply_conf(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; create a local one only if unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    A folder of this machine stands in for it only where driver and executors
+    are one process; on a cluster the setting must be given."""
     sc = spark.sparkContext
-    cur = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    cur = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not cur:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="cohorta-ckpt-")
-        sc.setCheckpointDir(cur)
-        spark.conf.set("spark.checkpoint.dir", cur)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(cur)
     return cur
 

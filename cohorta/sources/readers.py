@@ -31,17 +31,20 @@ def has_parquet(spark: SparkSession, path: str) -> bool:
     return False
 
 
-def read_source(spark: SparkSession, path: str) -> DataFrame:
+def read_source(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Import source by extension.  CSV is read as all-string columns (no
-    inference pass over the data); types come from the target schema."""
+    inference pass over the data); types come from the target schema.  Quoted
+    text doubles its quotes.  ``multi_line`` admits line breaks inside quotes;
+    a file is then read by one task, so it is off unless asked for."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"file not found: {path}")
     low = path.lower()
+    text = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
     if low.endswith((".csv", ".csv.gz")):
-        return spark.read.option("header", True).option("inferSchema", False) \
-                    .option("mode", "PERMISSIVE").csv(path)
+        return text.csv(path)
     if low.endswith(".tsv"):
-        return spark.read.option("header", True).option("sep", "\t").csv(path)
+        return text.option("sep", "\t").csv(path)
     if low.endswith(".gz"):
         raise ValueError(f"unsupported gzipped type: {path}")
     if low.endswith(".parquet"):

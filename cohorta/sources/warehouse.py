@@ -6,7 +6,12 @@ Layout under one root (all Parquet, ZSTD)::
     campaign_sub/snapshot/campaign_id=C/    campaign_sub/delta/campaign_id=C/delta_date=D/
     campaign/snapshot/account_id=A/         campaign/delta/account_id=A/delta_date=D/
     segment/account_id=A/   campaign_activity/dt=D/   dlr_event/dt=D/   api_logs/dt=D/
-    block_file_data/
+    receipt/dt=D/           dlr_reject/dt=D/      import_reject/dt=D/       block_file_data/
+
+A mutable table is the merge of whatever files it has, so adding rows that
+already are the latest and then removing older files never changes what is
+read.  Compaction and partition replacement rest on that: new files are
+committed first, old ones are removed afterwards, in any order.
 
 Reads give an explicit schema (partition columns keep their declared
 types) and let Spark prune partitions; a missing table reads as an empty
@@ -17,16 +22,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohorta import schema as S
-from cohorta.operators.merge import merge_with_spec, union_by_name
+from cohorta.operators.merge import TIE, merge_with_spec, payload_tie, union_by_name
 from cohorta.sources.readers import empty_table, has_parquet
-from cohorta.sources.writers import write_parquet
+from cohorta.sources.writers import delete_files, write_parquet
 
 DELTA_DATE = T.StructField("delta_date", T.DateType(), True)
+FILE = "_file"
 
 
 @dataclass
@@ -45,6 +51,9 @@ APPEND_TABLES = {
     "segment": (S.SEGMENT, ("account_id",)),
     "campaign_activity": (S.CAMPAIGN_ACTIVITY, ("dt",)),
     "dlr_event": (S.DLR_EVENT, ("dt",)),
+    "receipt": (S.RECEIPT, ("dt",)),
+    "dlr_reject": (S.DLR_REJECT, ("dt",)),
+    "import_reject": (S.IMPORT_REJECT, ("dt",)),
     "api_logs": (S.with_change_columns(S.API_LOGS), ("dt",)),
     "block_file_data": (S.BLOCK_FILE_DATA, ()),
 }
@@ -65,20 +74,26 @@ class Warehouse:
             return None
         return self.spark.read.schema(schema).parquet(path)
 
-    def changes(self, table: str, key_filter=None) -> DataFrame:
-        """Snapshot ∪ delta rows with change columns (``UNION ALL BY NAME``)."""
-        t = TABLES[table]
-        full = S.with_change_columns(t.schema)
-        snap = self._read(self.path(table, "snapshot"), full)
-        delta = self._read(self.path(table, "delta"), T.StructType(full.fields + [DELTA_DATE]))
-        parts = [p for p in (snap, delta.drop("delta_date") if delta is not None else None)
-                 if p is not None]
+    def files(self, table: str, part: str) -> DataFrame | None:
+        """Stored rows of ``part`` (snapshot, delta) with the name of their file.
+
+        The files are listed once, here: what is added later is not read."""
+        full = S.stored_layout(TABLES[table].schema)
+        if part == "delta":
+            full = T.StructType([*full.fields, DELTA_DATE])
+        df = self._read(self.path(table, part), full)
+        return df if df is None else df.withColumn(FILE, F.col("_metadata.file_path"))
+
+    def changes(self, table: str, key_filter: Column | None = None) -> DataFrame:
+        """Snapshot and delta rows with change columns (``UNION ALL BY NAME``)."""
+        full = S.stored_layout(TABLES[table].schema)
+        delta = T.StructType([*full.fields, DELTA_DATE])
+        parts = [self._read(self.path(table, "snapshot"), full), self._read(self.path(table, "delta"), delta)]
+        parts = [p.drop("delta_date") for p in parts if p is not None]
         df = union_by_name(*parts) if parts else empty_table(self.spark, full)
-        if key_filter is not None:
-            df = df.filter(key_filter)
-        return df
+        return df if key_filter is None else df.filter(key_filter)
 
-    def table(self, table: str, key_filter=None, keep_change_columns: bool = False,
+    def table(self, table: str, key_filter: Column | None = None, keep_change_columns: bool = False,
               method: str = "window") -> DataFrame:
         """Merged view: latest row per key, tombstones removed.
 
@@ -99,18 +114,21 @@ class Warehouse:
         kf = F.col("account_id") == F.lit(int(account_id)) if account_id is not None else None
         return self.table("campaign", kf)
 
-    def subscribers_for(self, message_ids: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
-        """Merged subscriber rows for a set of message ids only.
-
-        ``message_id`` is part of the merge key, so whole keys can be
-        selected *before* the merge: the change rows are semi-joined with the
-        (size-checked, broadcast) id set, and only those keys are ranked and
-        shuffled, instead of merging the whole subscriber table per batch."""
-        ids = message_ids.select("message_id").distinct()
-        if ids.limit(max_broadcast_rows + 1).count() > max_broadcast_rows:
-            return self.campaign_sub()
-        rows = self.changes("campaign_sub").join(F.broadcast(ids), "message_id", "left_semi")
-        return merge_with_spec(rows, TABLES["campaign_sub"].spec)
+    def subscribers_for(self, receipts: DataFrame) -> DataFrame:
+        """Merged subscriber rows that ``receipts`` (message_id, campaign_id) can mean.
+
+        ``message_id`` and ``campaign_id`` are the merge key, so whole keys are
+        selected before the merge and only those are ranked and shuffled.
+        Receipts that name their campaign reach only its partitions."""
+        named = receipts.filter("coalesce(campaign_id, 0) <> 0 and message_id <> ''") \
+            .select("campaign_id", "message_id").distinct()
+        bare = receipts.filter("coalesce(campaign_id, 0) = 0 and message_id <> ''").select("message_id").distinct()
+        rows = self.changes("campaign_sub")
+        found = rows.join(named, ["campaign_id", "message_id"], "left_semi")
+        if bare.take(1):
+            by_id = rows.join(bare, "message_id", "left_semi")
+            found = found.join(bare, "message_id", "left_anti").unionByName(by_id)
+        return merge_with_spec(found, TABLES["campaign_sub"].spec)
 
     # -- append tables -----------------------------------------------------------
     def append_table(self, table: str) -> DataFrame:
@@ -121,44 +139,100 @@ class Warehouse:
     def api_logs(self) -> DataFrame:
         return merge_with_spec(self.append_table("api_logs"), S.API_LOGS_SPEC)
 
+    def segments(self, account_id: int | None = None) -> DataFrame:
+        """Saved segments, the latest version of each (account_id, id)."""
+        df = self.append_table("segment")
+        if account_id is not None:
+            df = df.filter(F.col("account_id") == F.lit(int(account_id)))
+        cols = [c for c in S.SEGMENT.fieldNames() if c not in ("account_id", "id")]
+        order = F.struct(F.col("updated_at"), F.col("created_at"), F.coalesce("filter_json", F.lit("")))
+        best = df.groupBy("account_id", "id").agg(F.max_by(F.struct(*cols), order).alias("s"))
+        return best.select("id", "account_id", *[F.col(f"s.{c}") for c in cols])
+
     # -- writes --------------------------------------------------------------------
-    def write_delta(self, table: str, df: DataFrame, delta_date) -> None:
+    def _stored(self, table: str, df: DataFrame) -> DataFrame:
         t = TABLES[table]
-        cols = [c for c in S.with_change_columns(t.schema).fieldNames()]
-        out = df.select(*cols).withColumn("delta_date", F.lit(delta_date).cast("date"))
+        payload = [c for c in t.schema.fieldNames() if c not in t.spec.key]
+        return df.select(*S.with_change_columns(t.schema).fieldNames()).withColumn(TIE, payload_tie(payload))
+
+    def write_delta(self, table: str, df: DataFrame, delta_date) -> None:
+        out = self._stored(table, df).withColumn("delta_date", F.lit(delta_date).cast("date"))
         write_parquet(out, self.path(table, "delta"), "append",
-                      partition_by=(*t.spec.partition_by, "delta_date"))
+                      partition_by=(*TABLES[table].spec.partition_by, "delta_date"))
 
     def write_snapshot(self, table: str, df: DataFrame) -> None:
-        """Replace the snapshot partitions present in ``df`` (others untouched)."""
-        t = TABLES[table]
-        cols = S.with_change_columns(t.schema).fieldNames()
-        write_parquet(df.select(*cols), self.path(table, "snapshot"), "overwrite",
-                      partition_by=t.spec.partition_by)
+        """First load: replace the snapshot partitions present in ``df`` (others untouched)."""
+        write_parquet(self._stored(table, df), self.path(table, "snapshot"), "overwrite",
+                      partition_by=TABLES[table].spec.partition_by)
+
+    def add_snapshot_rows(self, table: str, df: DataFrame) -> None:
+        write_parquet(self._stored(table, df), self.path(table, "snapshot"), "append",
+                      partition_by=TABLES[table].spec.partition_by)
+
+    def replace_partition(self, table: str, df: DataFrame, value: int) -> None:
+        """Replace the snapshot of one account or campaign by ``df``, which may be
+        empty.  The new files are committed before the old ones go; a run that
+        stops in between is finished by running it again."""
+        col = TABLES[table].spec.partition_by[0]
+        old = self.files(table, "snapshot")
+        if old is not None:
+            # an own listing of the files, held outside the folder that is written
+            from cohorta.session import scratch_dir
+            names = scratch_dir(self.spark, "replaced")
+            old.filter(F.col(col) == F.lit(int(value))).select(F.col(FILE).alias("path")).distinct() \
+               .write.mode("overwrite").parquet(names)
+        self.add_snapshot_rows(table, df.filter(F.col(col) == F.lit(int(value))))
+        if old is not None:
+            delete_files(self.spark.read.schema("path string").parquet(names))
 
     def append(self, table: str, df: DataFrame) -> None:
         schema, parts = APPEND_TABLES[table]
         write_parquet(df.select(*schema.fieldNames()), self.path(table), "append",
                       partition_by=parts)
 
+    def append_new(self, table: str, df: DataFrame, keys: tuple[str, ...]) -> None:
+        """Append rows whose ``keys`` the table does not hold yet in the same day.
+
+        Makes a repeated delivery or a replayed batch add nothing, however late
+        it comes: no state that could be forgotten, only the days of the rows
+        are read."""
+        schema, parts = APPEND_TABLES[table]
+        on = [*parts, *keys]
+        fresh = df.select(*schema.fieldNames()).dropDuplicates(on)
+        if has_parquet(self.spark, self.path(table)):
+            n, h = fresh.alias("n"), self.append_table(table).select(*on).alias("h")
+            same = F.lit(True)
+            for c in on:
+                same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}"))
+            fresh = n.join(h, same, "left_anti")
+        write_parquet(fresh, self.path(table), "append", partition_by=parts)
+
     # -- inventory -----------------------------------------------------------------
     def inventory(self) -> DataFrame:
-        """Files per table part, counted by Spark from the scan metadata."""
+        """Files, partitions and rows of each table part, from one scan of each."""
         frames = []
+
+        def part(label: str, df: DataFrame, by: tuple[str, ...]) -> None:
+            frames.append(df.select(F.lit(label).alias("table_part"), F.col("_metadata.file_path").alias("file_path"),
+                                    F.concat_ws("/", *[F.col(c).cast("string") for c in by]).alias("partition")))
+
         for name, t in TABLES.items():
-            full = S.with_change_columns(t.schema)
-            for part, schema in (("snapshot", full),
-                                 ("delta", T.StructType(full.fields + [DELTA_DATE]))):
-                df = self._read(self.path(name, part), schema)
+            full = S.stored_layout(t.schema)
+            by = t.spec.partition_by
+            for label, schema, cols in (("snapshot", full, by),
+                                        ("delta", T.StructType([*full.fields, DELTA_DATE]), (*by, "delta_date"))):
+                df = self._read(self.path(name, label), schema)
                 if df is not None:
-                    frames.append(df.select(F.lit(f"{name}_{part}").alias("table_part"),
-                                            F.col("_metadata.file_path").alias("file_path")))
-        for name, (schema, _) in APPEND_TABLES.items():
+                    part(f"{name}_{label}", df, cols)
+        for name, (schema, by) in APPEND_TABLES.items():
             df = self._read(self.path(name), schema)
             if df is not None:
-                frames.append(df.select(F.lit(name).alias("table_part"),
-                                        F.col("_metadata.file_path").alias("file_path")))
+                part(name, df, by)
         if not frames:
-            return self.spark.createDataFrame([], "table_part string, files bigint")
-        return union_by_name(*frames).groupBy("table_part") \
-            .agg(F.count_distinct("file_path").alias("files"))
+            return self.spark.createDataFrame([], "table_part string, files bigint, partitions bigint, rows bigint")
+        # rows are counted per file first, so the distinct counts see files only
+        per_file = union_by_name(*frames).groupBy("table_part", "file_path", "partition") \
+            .agg(F.count(F.lit(1)).alias("n"))
+        return per_file.groupBy("table_part").agg(F.count_distinct("file_path").alias("files"),
+                                                  F.count_distinct("partition").alias("partitions"),
+                                                  F.sum("n").alias("rows"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import contextlib
+from urllib.parse import unquote
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "append", partition_by=(),
@@ -24,6 +29,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "append", partition_by=(
     w.parquet(path)
 
 
+def observed(observation: Observation, name: str) -> int:
+    """A count observed by a finished write; 0 if no row ever passed."""
+    try:
+        return int(observation.get.get(name) or 0)
+    except (PySparkException, Py4JError):      # the plan was found empty and nothing was measured
+        return 0
+
+
 def delete_path(spark: SparkSession, path: str, recursive: bool = True) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -31,27 +44,27 @@ def delete_path(spark: SparkSession, path: str, recursive: bool = True) -> bool:
     return bool(fs.delete(p, recursive)) if fs.exists(p) else False
 
 
-def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
-    """Data files below ``path``.
+def delete_files(files: DataFrame) -> int:
+    """Delete the files named in column ``path``; one task deletes many, a missing
+    file counts as deleted.  Returns how many were named."""
+    import pyarrow as pa
 
-    Uses Spark's file index (parallel listing on large trees, one transfer of
-    the name list; the schema is given so no file footer is read).  Falls back
-    to a plain Hadoop listing for trees that are not Parquet datasets."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    if suffix == ".parquet":
-        try:
-            files = spark.read.schema("_probe int").option("recursiveFileLookup", True).parquet(path).inputFiles()
-            return [f for f in files if f.endswith(suffix)]
-        except Exception:  # noqa: BLE001 - empty tree: Spark cannot infer anything
-            pass
-    return _hadoop_list(spark, path, suffix)
+    def remove(batches):
+        from pyarrow import fs
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                uri = "file:///" + path[5:].lstrip("/") if path.startswith("file:") else path
+                system, name = fs.FileSystem.from_uri(unquote(uri) if uri.startswith("file:") else uri)
+                with contextlib.suppress(FileNotFoundError):
+                    system.delete_file(name)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
+    named = files.select("path").distinct()
+    return named.mapInArrow(remove, "n long").agg({"n": "sum"}).first()[0] or 0
 
-def _hadoop_list(spark: SparkSession, path: str, suffix: str) -> list[str]:
+
+def list_files(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
+    """Names of the data files below ``path`` (a plain listing, for reports and tests)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

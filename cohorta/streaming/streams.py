@@ -1,94 +1,63 @@
-"""Structured Streaming jobs: receipts -> three sinks, dedup, activity.
+"""Structured Streaming jobs: receipts -> sinks, dedup, activity.
 
 Each stream reads Parquet files (a Kafka source can be swapped in with
 ``spark.readStream.format("kafka")``), keeps its progress in a checkpoint
-under the shared checkpoint folder, and writes with ``foreachBatch``.
-Replayed batches are harmless: a batch id already committed is skipped,
-and subscriber / api-log rows are merge-keyed, so a duplicate folds away.
+under the shared folder, and writes with ``foreachBatch``.  A batch may run
+again after a failure anywhere: subscriber deltas and api logs are merged by
+key, and everything else is added only if the sink does not hold it.  No row
+is dropped for being late.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohorta.operators.campaigns import apply_receipts
 from cohorta.plans.importer import canonical_activity
-from cohorta.sources.readers import path_exists
+from cohorta.plans.launch import apply_receipt_batch
+from cohorta.schema import RECEIPT
 from cohorta.sources.warehouse import Warehouse
 
-RECEIPT_SCHEMA = T.StructType([
-    T.StructField("message_id", T.StringType()),
-    T.StructField("campaign_id", T.LongType()),
-    T.StructField("channel", T.StringType()),
-    T.StructField("status", T.IntegerType()),
-    T.StructField("code", T.StringType()),
-    T.StructField("reason", T.StringType()),
-    T.StructField("received_at", T.TimestampType()),
-    T.StructField("seq", T.LongType()),
-])
-
+RECEIPT_SCHEMA = T.StructType([f for f in RECEIPT.fields if f.name != "dt"])
 
-def _marker(wh: Warehouse, name: str, batch_id: int) -> str:
-    return wh.path("_stream_commits", name, f"batch={batch_id}")
 
-
-def _once(wh: Warehouse, name: str, batch_id: int, work) -> None:
-    m = _marker(wh, name, batch_id)
-    if path_exists(wh.spark, m):
-        return  # replay of a committed batch
-    work()
-    wh.spark.createDataFrame([(batch_id,)], "batch_id bigint").coalesce(1).write.mode("overwrite").parquet(m)
+def _run(stream: DataFrame, work, checkpoint: str) -> None:
+    q = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint) \
+              .trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
-def run_receipt_stream(spark: SparkSession, wh: Warehouse, source_dir: str, checkpoint: str,
-                       subscribers: DataFrame | None = None, watermark: str | None = None) -> dict:
-    """Receipt files -> subscriber deltas, dlr events, api logs (X1/X2)."""
-    stream = spark.readStream.schema(RECEIPT_SCHEMA).parquet(source_dir)
-    if watermark:
-        stream = stream.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(RECEIPT_SCHEMA.fieldNames())
+def run_receipt_stream(spark: SparkSession, wh: Warehouse, source_dir: str, checkpoint: str) -> dict:
+    """Receipt files -> subscriber deltas, dlr events, api logs, rejects (X1/X2)."""
     stats = {"batches": 0}
 
-    def batch(df: DataFrame, batch_id: int):
-        subs = subscribers if subscribers is not None else wh.subscribers_for(df)
-
-        def work():
-            sub_delta, events, logs, _rejects = apply_receipts(
-                df, subs, materialize=lambda d: d.checkpoint(eager=True))
-            wh.write_delta("campaign_sub", sub_delta, _dt.date.today())
-            wh.append("dlr_event", events)
-            wh.append("api_logs", logs)
-        _once(wh, "receipts", batch_id, work)
+    def batch(df: DataFrame, batch_id: int) -> None:
+        apply_receipt_batch(wh, df)
         stats["batches"] += 1
 
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint) \
-              .trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run(spark.readStream.schema(RECEIPT_SCHEMA).parquet(source_dir), batch, checkpoint)
     return stats
 
 
-def run_dedup_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                     watermark: str = "30 days") -> None:
-    """Receipts delivered more than once (same content) dropped within a watermark (X3)."""
-    stream = spark.readStream.schema(RECEIPT_SCHEMA).parquet(source_dir) \
-                  .withWatermark("received_at", watermark) \
-                  .dropDuplicatesWithinWatermark(RECEIPT_SCHEMA.fieldNames())
-    q = stream.writeStream.format("parquet").option("path", sink_dir) \
-              .option("checkpointLocation", checkpoint).outputMode("append") \
-              .trigger(availableNow=True).start()
-    q.awaitTermination()
+def run_dedup_stream(spark: SparkSession, wh: Warehouse, source_dir: str, checkpoint: str) -> None:
+    """Receipts delivered more than once (same content) are kept once (X3).
+
+    A receipt is looked for among those already kept of its day, so one that
+    comes late, by whatever time, is neither lost nor doubled."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        wh.append_new("receipt", df.withColumn("dt", F.to_date("received_at")), tuple(RECEIPT_SCHEMA.fieldNames()))
+
+    _run(spark.readStream.schema(RECEIPT_SCHEMA).parquet(source_dir), batch, checkpoint)
 
 
 def run_activity_stream(spark: SparkSession, wh: Warehouse, source_dir: str, schema: T.StructType,
                         checkpoint: str, dt: str, now) -> None:
-    """Activity files -> canonical rows appended by day (X4)."""
-    stream = spark.readStream.schema(schema).parquet(source_dir)
+    """Activity files -> canonical rows added by day, each row once (X4)."""
 
-    def batch(df: DataFrame, batch_id: int):
-        _once(wh, "activity", batch_id, lambda: wh.append("campaign_activity", canonical_activity(df, dt, now)))
+    def batch(df: DataFrame, batch_id: int) -> None:
+        rows = canonical_activity(df, dt, now)
+        wh.append_new("campaign_activity", rows, tuple(c for c in rows.columns if c != "dt"))
 
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint) \
-              .trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run(spark.readStream.schema(schema).parquet(source_dir), batch, checkpoint)

@@ -14,7 +14,6 @@ def spark():
     if not s.sparkContext.getCheckpointDir():
         d = tempfile.mkdtemp(prefix="cohorta-test-ckpt-")
         s.sparkContext.setCheckpointDir(d)
-        s.conf.set("spark.checkpoint.dir", d)
     yield s
 
 

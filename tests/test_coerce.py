@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from cohorta.functions.coerce import blank_to_null, email_domain, epoch_or_timestamp, safe_int
+from cohorta.functions.coerce import blank_to_null, email_domain, epoch_or_timestamp, safe_cast, safe_int
 
 
 def test_coercion_table(spark):
@@ -27,3 +27,14 @@ def test_domain_and_blank(spark):
     df = spark.createDataFrame([("abc", None), ("a@b@c", None), ("x@y.z", "given"), ("  ", None)], "e string, d string")
     got = [tuple(r) for r in df.select(email_domain(F.col("e"), F.col("d")), blank_to_null(F.col("e"))).collect()]
     assert got == [(None, "abc"), ("b", "a@b@c"), ("given", "x@y.z"), (None, None)]
+
+
+def test_bad_cells_become_null(spark):
+    cells = ["0x" + "F" * 20, "0b" + "1" * 70, "0x00000000000000000001F", "0x7FFFFFFFFFFFFFFF", "0x8000000000000000", "0b101"]
+    df = spark.createDataFrame([(c,) for c in cells], "x string")
+    assert [r[0] for r in df.select(safe_int(F.col("x"))).collect()] == [None, None, 31, 2**63 - 1, None, 5]
+    df = spark.createDataFrame([("1700000000000000",), ("2020-05",), ("10:30",), ("2020-05-06 10:30",), ("2020-13-06",)], "x string")
+    assert [r[0] for r in df.select(epoch_or_timestamp(F.col("x"))).collect()] == [
+        None, None, None, dt.datetime(2020, 5, 6, 10, 30), None]
+    df = spark.createDataFrame([("2020",), ("2020-05",), ("2020-05-06",), ("x",)], "x string")
+    assert [r[0] for r in df.select(safe_cast(F.col("x"), "date")).collect()] == [None, None, dt.date(2020, 5, 6), None]

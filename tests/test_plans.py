@@ -1,13 +1,12 @@
 """Physical-plan properties the scale design relies on."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from cohorta.operators.blocks import add_block_flags, block_anti, block_semi, flag_name
 from cohorta.operators.campaigns import evaluate_segments, segment_membership
 from cohorta.operators.merge import merge_latest
 from cohorta.operators.paging import page
-from tests.fixture_rows import block_files, lake_contacts
+from tests.fixture_rows import block_files, block_sql, duck, lake_contacts
 
 
 def _plan(df):
@@ -18,22 +17,29 @@ def _rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_block_paths_agree_and_plans(spark):
-    c = lake_contacts(spark).union(lake_contacts(spark).withColumn("id", F.col("id") + 100)
-                                   .withColumn("f2", F.when(F.col("id") % 2 == 0, None).otherwise(F.col("f2"))))
-    b = block_files(spark).union(spark.createDataFrame([(56, None), (56, "INC56"), (57, "ACC003")],
-                                                       "block_file_id bigint, unique_identifier string"))
-    sets = [(56,), (57,), (56, 57)]
-    small = add_block_flags(c, b, sets)
-    big = add_block_flags(c, b, sets, max_broadcast_rows=0)  # forced shuffle path with NULL-key salt
-    cols = ["id"] + [flag_name(s) for s in sets]
-    assert _rows(small, *cols) == _rows(big, *cols)
-    assert "BroadcastHashJoin" in _plan(small)
-    assert "BroadcastHashJoin" not in _plan(big)
-    assert _rows(block_semi(c, b, [57]), "id") == _rows(block_semi(c, b, [57], max_broadcast_rows=0), "id")
-    anti = _rows(block_anti(c, b, [56], max_broadcast_rows=0), "id")
-    assert anti == _rows(block_anti(c, b, [56]), "id")
-    assert len(anti) == c.count() - 1  # one contact holds INC56 (its copy got a NULL key, kept)
+def test_block_joins(spark):
+    c = lake_contacts(spark)
+    b = block_files(spark)
+    sets = [(21,), (22,), (21, 22)]
+    flags = add_block_flags(c, b, sets)
+    con = duck()
+    want = con.execute(f"select id, coalesce({block_sql(21)}, false), coalesce({block_sql(22)}, false), "
+                       f"coalesce({block_sql(21)} or {block_sql(22)}, false) from c").fetchall()
+    assert _rows(flags, "id", *[flag_name(s) for s in sets]) == sorted(want)
+    # one join and one reduction of the block table for all sets, no job while planning
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and plan.count("Aggregate") == 1
+    inside = {r[0] for r in want if r[1]}
+    assert {r.id for r in block_semi(c, b, [21]).collect()} == inside
+    anti = {r.id for r in block_anti(c, b, [21]).collect()}
+    assert anti == {r[0] for r in want} - inside and any(x.f2 is None for x in block_anti(c, b, [21]).collect())
+
+
+def test_block_join_reads_what_it_needs(spark, tmpdir_path):
+    lake_contacts(spark).write.parquet(tmpdir_path + "/c")
+    c = spark.read.parquet(tmpdir_path + "/c")
+    plan = block_semi(c, block_files(spark), [21]).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert all("email" not in line and "mobile" not in line for line in plan.splitlines() if "ReadSchema" in line)
 
 
 def test_merge_plans_limit_before_shuffle(spark):
@@ -55,9 +61,37 @@ def test_page_per_group_is_top_k(spark):
 
 def test_segments_one_scan(spark):
     c = lake_contacts(spark)
-    compiled = {"delhi": F.col("f18") == "Delhi", "young": F.col("f31") < 40, "none": F.lit(False)}
-    counts = {(r.segment_id, r.cnt) for r in evaluate_segments(c, compiled).collect()}
-    assert counts == {("delhi", 13), ("young", 1), ("none", 0)}
+    compiled = {"oslo": F.col("f18") == "Oslo", "young": F.col("f31") < 40, "none": F.lit(False)}
+    oslo, young = duck().execute("select count(*) filter (f18 = 'Oslo'), count(*) filter (f31 < 40) from c").fetchone()
+    counts = evaluate_segments(c, compiled, by=("is_contact",))
+    assert {(r.segment_id, r.cnt) for r in counts.collect()} == {("oslo", oslo), ("young", young), ("none", 0)}
     members = segment_membership(c, compiled)
-    assert members.count() == 14
+    assert members.count() == oslo + young
     assert "Generate" in _plan(members) and "Exchange" not in _plan(members)
+
+
+def test_segments_stay_with_their_account(spark):
+    c = lake_contacts(spark)
+    compiled, owners = {"a": F.col("f31") < 40, "b": F.col("f31") < 40}, {"a": 5, "b": 6}
+    n = dict(duck().execute("select account_id, count(*) from c where f31 < 40 group by 1").fetchall())
+    got = {(r.account_id, r.segment_id, r.cnt) for r in evaluate_segments(c, compiled, owners=owners).collect()}
+    assert got == {(5, "a", n[5]), (6, "b", n[6])}
+    assert segment_membership(c, compiled, owners=owners).count() == n[5] + n[6]
+
+
+def test_ids_are_numbered_by_many_tasks(spark):
+    from cohorta.operators.stats import assign_ids
+    new = spark.range(2000).select((F.col("id") % 3).alias("account_id"), F.col("id").alias("created_at"), F.lit("n").alias("name"))
+    have = spark.createDataFrame([(0, 10), (0, 12), (1, 3)], "account_id bigint, id bigint")
+    got = sorted((r.account_id, r.created_at, r.id) for r in assign_ids(new.repartition(5), have).collect())
+    start = {0: 12, 1: 3, 2: 0}
+    assert got == sorted((k % 3, k, start[k % 3] + k // 3 + 1) for k in range(2000))
+
+
+def test_limits_raise(spark):
+    import pytest
+
+    from cohorta.operators.paging import keyset_page
+    with pytest.raises(ValueError, match="0..100"):
+        keyset_page(spark.range(5), limit=101)
+    assert keyset_page(spark.range(500), limit=300, max_limit=300).count() == 300

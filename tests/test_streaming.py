@@ -1,8 +1,8 @@
-"""Streams equal the batch result, and a replay with the same checkpoint adds nothing."""
+"""Streams equal the batch result; replays, repeats and late rows are neither lost nor doubled."""
 
 import datetime as dt
-import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohorta import schema as S
@@ -11,7 +11,7 @@ from cohorta.operators.merge import merge_latest
 from cohorta.sources.readers import conform
 from cohorta.sources.warehouse import Warehouse
 from cohorta.sources.writers import write_parquet
-from cohorta.streaming.streams import RECEIPT_SCHEMA, run_dedup_stream, run_receipt_stream
+from cohorta.streaming.streams import RECEIPT_SCHEMA, run_activity_stream, run_dedup_stream, run_receipt_stream
 
 T = dt.datetime(2024, 1, 1)
 
@@ -27,31 +27,83 @@ def _receipts(spark):
     rows = [(f"email-1-{i}", 0, "", 3 + (i % 2), "D", "r", T + dt.timedelta(minutes=i), i) for i in range(1, 6)]
     rows.append(("sms-9-1", 9, "sms", 5, "X", "orphan", T, 99))
     rows.append(("sms-0-1", 0, "", 5, "X", "unknown", T, 100))
+    rows.append((None, 0, "", 5, "X", "no id", T, 101))
     return spark.createDataFrame(rows, RECEIPT_SCHEMA)
 
 
-def test_receipt_stream_equals_batch_and_replay_is_idempotent(spark, tmpdir_path):
-    root = tmpdir_path
+def _stored(spark, root):
     write_parquet(_receipts(spark).repartition(2), f"{root}/in", "overwrite")
     wh = Warehouse(spark, f"{root}/wh")
     wh.write_snapshot("campaign_sub", _subs(spark))
-    run_receipt_stream(spark, wh, f"{root}/in", f"{root}/ckpt")
-    run_receipt_stream(spark, wh, f"{root}/in", f"{root}/ckpt")  # replay: nothing new
+    return wh
+
+
+def _check(wh):
+    spark = wh.spark
     got = sorted(tuple(r) for r in wh.campaign_sub().select("message_id", "status").collect())
     sub_delta, _, _, rejects = apply_receipts(_receipts(spark), merge_latest(_subs(spark), ("campaign_id", "message_id")))
     batch = merge_latest(_subs(spark).unionByName(conform(sub_delta, S.with_change_columns(S.CAMPAIGN_SUB))),
                          ("campaign_id", "message_id"))
     assert got == sorted(tuple(r) for r in batch.select("message_id", "status").collect())
     assert ("sms-9-1", 5) in got and all(m != "sms-0-1" for m, _ in got)
-    assert rejects.count() == 1
+    assert rejects.count() == 2
     assert wh.append_table("dlr_event").count() == 6
     assert wh.api_logs().count() == 6
+    assert sorted(r.error for r in wh.append_table("dlr_reject").collect()) == ["message_id not found", "no message_id"]
+
+
+def test_receipt_stream_equals_batch_and_replay_is_idempotent(spark, tmpdir_path):
+    wh = _stored(spark, tmpdir_path)
+    run_receipt_stream(spark, wh, f"{tmpdir_path}/in", f"{tmpdir_path}/ckpt")
+    run_receipt_stream(spark, wh, f"{tmpdir_path}/in", f"{tmpdir_path}/ckpt")     # nothing new
+    _check(wh)
+    run_receipt_stream(spark, wh, f"{tmpdir_path}/in", f"{tmpdir_path}/other")    # progress lost: all again
+    _check(wh)
+
 
+def test_failure_between_the_sinks(spark, tmpdir_path, monkeypatch):
+    wh = _stored(spark, tmpdir_path)
+    real, calls = Warehouse.append_new, []
 
-def test_dedup_stream(spark, tmpdir_path):
+    def failing(self, table, df, keys):
+        real(self, table, df, keys)
+        calls.append(table)
+        if len(calls) == 2:                        # events and logs are written, rejects are not
+            raise OSError("lost")
+
+    monkeypatch.setattr(Warehouse, "append_new", failing)
+    with pytest.raises(Exception):
+        run_receipt_stream(spark, wh, f"{tmpdir_path}/in", f"{tmpdir_path}/ckpt")
+    run_receipt_stream(spark, wh, f"{tmpdir_path}/in", f"{tmpdir_path}/ckpt")
+    _check(wh)
+
+
+def test_repeats_and_late_receipts(spark, tmpdir_path):
+    wh = Warehouse(spark, f"{tmpdir_path}/wh")
     r = _receipts(spark)
-    write_parquet(r, f"{tmpdir_path}/in", "append")
-    write_parquet(r, f"{tmpdir_path}/in", "append")
-    run_dedup_stream(spark, f"{tmpdir_path}/in", f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt")
-    out = spark.read.schema(RECEIPT_SCHEMA).parquet(f"{tmpdir_path}/out")
-    assert out.count() == r.count()
+    late = r.withColumn("received_at", F.col("received_at") - F.expr("interval 400 days"))
+    for part in (r, r, late, late.union(r)):
+        write_parquet(part, f"{tmpdir_path}/in", "append")
+        run_dedup_stream(spark, wh, f"{tmpdir_path}/in", f"{tmpdir_path}/ckpt")
+    out = wh.append_table("receipt")
+    assert out.count() == 2 * r.count() == out.distinct().count()
+
+
+def test_activity_replay(spark, tmpdir_path):
+    raw = spark.createDataFrame([("1", "5", "2"), ("2", "6", "1"), ("x", "7", "1")], "id string, contact_id string, action string")
+    write_parquet(raw, f"{tmpdir_path}/in", "overwrite")
+    wh = Warehouse(spark, f"{tmpdir_path}/wh")
+    for k in range(2):
+        run_activity_stream(spark, wh, f"{tmpdir_path}/in", raw.schema, f"{tmpdir_path}/c{k}", "2024-02-01", T)
+    assert sorted(r.id for r in wh.append_table("campaign_activity").collect()) == [1, 2]
+
+
+def test_one_message_id_in_two_campaigns(spark):
+    subs = _subs(spark)
+    both = subs.unionByName(subs.withColumns({"campaign_id": F.lit(2).cast("bigint"), "recipient": F.lit("other@x.test")}))
+    rec = spark.createDataFrame([("email-1-1", 2, "", 3, "D", "r", T, 1), ("email-1-1", 0, "", 4, "D", "r", T, 2),
+                                 ("email-1-1", 7, "", 5, "D", "r", T, 3), ("", 0, "", 5, "D", "r", T, 4)], RECEIPT_SCHEMA)
+    delta, _, _, rejects = apply_receipts(rec, merge_latest(both, ("campaign_id", "message_id")))
+    assert sorted((r._seq, r.campaign_id, r.recipient) for r in delta.collect()) == [
+        (1, 2, "other@x.test"), (2, 1, "u1@x.test"), (3, 7, "")]
+    assert [r.seq for r in rejects.collect()] == [4]
