@@ -10,11 +10,13 @@ Jaccard similarity.  Signatures are banded, candidates of a band are verified
 on their whole texts by exact multiset overlap, and links are joined into
 classes.
 
-No bucket is paired with itself.  Equal texts are one node.  First each
-member of a bucket is checked against one pivot.  Where a bucket still spans
-several components, members outside its largest component are checked
-against all members of other components; pairs inside a component are linked
-already, so no link is lost.
+No bucket is paired with itself.  Equal texts are one node.  Each member of a
+bucket is checked against one pivot, the member that shares most buckets with
+others, which is the original rather than one of its copies.  Texts of buckets
+that still span components then go through an exact prefix-filter join on
+their shingles, which meets only pairs that may reach the threshold and lie
+in different components.
+Pairs inside a component are linked already, so no link is lost.
 
 Rows in, defined results: texts without a word (null, empty) are classes of
 their own; repeated rows and equal word sequences share a class; class_id is
@@ -42,6 +44,8 @@ COMPONENTS = BANDS * ROWS
 #: Candidates agreeing in fewer components are dropped unread: a pair at the
 #: threshold falls below it with a chance of 6e-6, as small as that of sharing no band.
 LEAST_AGREEING = 98
+#: Tokens looked at to tell frequent ones (only the speed depends on it).
+SAMPLE_TOKENS = 1_000_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 _TIME = 2.0 ** 44
 _NEVER = np.int64(2 ** 62)
@@ -206,45 +210,116 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(tb, "b").join(ta, "a").mapInArrow(check, "a long, b long")
 
 
+def _spanning(rest: DataFrame) -> DataFrame:
+    """Rows (bucket, node, root, ...) of buckets that hold several roots."""
+    spread = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return stored(rest.join(spread.select("bucket"), "bucket"), "dup-open")
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, token, size of each document); the k-th copy of a shingle is a token of its own."""
+    key, off = shingles(words(texts))
+    size = np.diff(off)
+    doc, key, weight = bag(key, np.repeat(np.arange(len(size)), size))
+    copy = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        token = mix(np.repeat(key, weight) + mix(copy.astype(np.uint64)) * _G)
+    return np.repeat(doc, weight), token, size
+
+
+def _prefix_pairs(rows: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of (node, root) in ``wanted`` with different roots that may reach the threshold.
+
+    Prefix filter: with tokens in one fixed order, texts that overlap enough
+    share a token among their first ``n - ceil(threshold n) + 1``, and at the
+    first shared one what remains of both bounds the overlap.  Any order is
+    right; frequent tokens last makes it quick, as told by a bounded sample."""
+    spark = rows.sparkSession
+    texts = stored(_texts(rows, wanted.select("node")).join(wanted, "node"), "dup-rest")
+    total = rows.join(wanted, "node", "left_semi").agg(F.sum("n")).first()[0] or 0
+    draw = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE_TOKENS / max(total, 1))))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, limit=2 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(_tokens(text_column(piece))[1].view(np.int64))], ["token"])
+
+    seen = (texts.filter(draw).select("text").mapInArrow(listed, "token long").groupBy("token")
+            .agg(F.count("*").alias("texts")).filter("texts > 1").toArrow())     # at most SAMPLE_TOKENS / 2 rows
+    order = np.argsort(seen.column("token").to_numpy().view(np.uint64))
+    common = spark.sparkContext.broadcast((seen.column("token").to_numpy().view(np.uint64)[order],
+                                           seen.column("texts").to_numpy()[order]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = common.value
+        for batch in batches:
+            for piece in slices(batch, limit=2 << 20):
+                doc, token, size = _tokens(text_column(piece))
+                count = np.zeros(len(token), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                    count = np.where(known[at] == token, often[at], 0)
+                by = np.lexsort((token, count, doc))
+                doc, token = doc[by], token[by]
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+                keep = place <= size[doc] - np.ceil(threshold * size[doc] - 1e-9)
+                doc, token, place = doc[keep], token[keep], place[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token.view(np.int64)), piece.column("node").take(pa.array(doc)),
+                     piece.column("root").take(pa.array(doc)), pa.array(size[doc] - place), pa.array(size[doc])],
+                    ["token", "node", "root", "left", "n"])
+
+    prefix = stored(texts.select("node", "root", "text").mapInArrow(
+        prefixes, "token long, node long, root long, left long, n long"), "dup-prefix")
+    # tokens of one root pair nothing
+    spanning = prefix.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    prefix = prefix.join(spanning.select("token"), "token")
+    a = prefix.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("left").alias("la"),
+                      F.col("n").alias("na")).alias("p")
+    b = prefix.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("left").alias("lb"),
+                      F.col("n").alias("nb")).alias("q")
+    most = F.least("la", "lb")
+    return a.join(b, (F.col("p.token") == F.col("q.token")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+                  & (most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most))).select("a", "b")
+
+
 def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of every node linked to another, from ``signed`` rows."""
     one = rows.filter("n > 0")
     nodes = stored(one.select("hi", "node", "n", "bands", "sig").dropDuplicates(["hi", "node"]), "dup-nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    pivots = (members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size"))
-              .filter("size > 1").drop("size"))
-    members = stored(members.join(pivots, "bucket"), "dup-buckets")
-    pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    likely = stored(_plausible(pairs, nodes, threshold), "dup-likely")
-    texts = _texts(one, likely)
-    linked = stored(_verified(likely, texts, threshold), "dup-links")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stored(members.join(shared, "bucket"), "dup-members")
+
+    # who shares most buckets with most others stands nearest the middle of its group
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    middle = (members.join(weight, "node").groupBy("bucket")
+              .agg(F.max(F.struct("weight", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot")))
+    members = stored(members.select("bucket", "node").join(middle, "bucket"), "dup-buckets")
+    star = members.filter("node <> pivot")
+    linked = _linked(one, nodes, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), threshold)
     roots = components(linked)
 
-    # buckets that still span components
-    rooted = (members.select("bucket", "node", "pivot").join(roots, "node", "left")
-              .select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root")))
-    by_root = stored(rooted.groupBy("bucket", "root").agg(F.count("*").alias("size")), "dup-spread")
-    open_buckets = (by_root.groupBy("bucket").agg(F.count("*").alias("roots"),
-                                                  F.max(F.struct("size", "root")).alias("top"))
-                    .filter("roots > 1").select("bucket", F.col("top.root").alias("top")))
-    rest = stored(rooted.join(open_buckets, "bucket"), "dup-open")
-    # pivots were checked against their whole bucket
-    rest = rest.filter("node <> pivot")
-    minor = rest.filter("root <> top").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), "top")
-    cross = (minor.join(other, "bucket").filter((F.col("ra") != F.col("rb"))
-                                                & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b"))))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    likely = stored(_plausible(cross, nodes, threshold), "dup-likely")
-    more = stored(_verified(likely, _texts(one, likely), threshold), "dup-links")
-    if not more.take(1):
+    # pivots are done with their buckets; the others go on where a bucket spans components
+    rest = _spanning(star.select("bucket", "node").join(roots, "node", "left")
+                     .select("bucket", "node", F.coalesce("root", "node").alias("root")))
+    wanted = stored(rest.select("node", "root").distinct(), "dup-wanted")
+    if not wanted.take(1):
         return roots
-    return components(linked.unionByName(more))
+    more = _linked(one, nodes, _prefix_pairs(one, wanted, threshold), threshold)
+    return components(linked.unionByName(more)) if more.take(1) else roots
+
+
+def _linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs whose whole texts reach the threshold, written."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    likely = stored(_plausible(pairs, nodes, threshold), "dup-likely")
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    return stored(_verified(likely, _texts(rows, wanted), threshold), "dup-links")
 
 
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text of each node in ``pairs``."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text of each wanted node (equal word sequences may differ in white space)."""
     first = (rows.join(wanted, "node", "left_semi")
              .groupBy("node").agg(F.min(F.struct(F.length("text"), F.col("text"))).alias("t")))
     return first.select("node", F.col("t.text").alias("text"))
