@@ -242,7 +242,10 @@ ok AS (SELECT DISTINCT r.* FROM receipts r LEFT JOIN campaign_sub s ON s.message
 SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS dt, CAST(count(*) AS BIGINT) AS events FROM ok GROUP BY 1""")
 def q_stream_replay(spark, sf_dir):
     root = scratch_dir(spark, "stream-replay")
-    write_parquet(conform(receipts_df(spark, sf_dir), RECEIPT_SCHEMA).repartition(4), f"{root}/in", "overwrite")
+    # a receipt without a campaign may be rejected at first and find its message, made by
+    # another receipt, when applied again; those that name theirs mean the same each time
+    named = receipts_df(spark, sf_dir).filter("campaign_id <> 0")
+    write_parquet(conform(named, RECEIPT_SCHEMA).repartition(4), f"{root}/in", "overwrite")
     wh = Warehouse(spark, f"{root}/wh")
     wh.write_snapshot("campaign_sub", _sub_snapshot(spark, sf_dir))
     run_receipt_stream(spark, wh, f"{root}/in", f"{root}/first")
