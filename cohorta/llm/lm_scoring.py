@@ -10,8 +10,8 @@ level being (c + 0.5) / (N + 0.5 (V + 1)).
 Corpus counts never meet in one place.  Texts become chunks of word numbers
 (one bucketed table).  For each order every chunk sends its n-grams, counted,
 to the bucket of their hash; the bucket answers with the corpus counts.  A
-chunk asks only for n-grams whose context and suffix both occur outside it:
-otherwise its own count already is the corpus count.  The answers of a chunk
+chunk asks only for n-grams whose context and suffix both occur in another
+chunk too: the others are its own, and so are their counts.  The answers of a chunk
 are its part of the automaton, and each text is traversed once over it, left
 to right, many texts side by side.
 
@@ -90,6 +90,7 @@ class Level:
         self.count, self.hashes = count, hashes          # local training count, identity
         self.context, self.suffix, self.word = context, suffix, word
         self.total = count.astype(np.int64)              # corpus count once known
+        self.shared = np.zeros(len(count), bool)         # found in another chunk too
 
 
 class Chunk:
@@ -137,12 +138,11 @@ class Chunk:
         return level
 
     def asks(self, level: Level) -> np.ndarray:
-        """Which n-grams may have been counted elsewhere too."""
+        """Which n-grams may occur in another chunk too (in training or held-out texts)."""
         if level is self.levels[0]:
             return np.arange(len(level.hashes))
         below = self.levels[self.levels.index(level) - 1]
-        shared = below.total != below.count
-        return np.flatnonzero(shared[level.context] & shared[level.suffix])
+        return np.flatnonzero(below.shared[level.context] & below.shared[level.suffix])
 
     def answer(self, level: Level, replies: list[dict], buckets: int) -> None:
         """Set corpus counts from the replies of the buckets."""
@@ -153,7 +153,8 @@ class Chunk:
                              or [np.zeros(0, np.uint32)])
         if len(got) != len(asked):
             raise ValueError("a bucket's answer is missing")
-        level.total[asked[order]] = got
+        level.total[asked[order]] = got >> 1
+        level.shared[asked[order]] = got & 1
 
 
 def _known(row: dict, upto: int, buckets: int) -> Chunk:
@@ -212,9 +213,11 @@ def _merge(table: pa.Table) -> pa.Table:
     edge = np.concatenate([[True], s[1:] != s[:-1]])
     total = np.add.reduceat(n[order], np.flatnonzero(edge))
     own = s[edge] != _BEGIN                       # the begin mark is no token
+    # a chunk sends an n-gram once, so several senders mean that several chunks have it
+    several = np.diff(np.append(np.flatnonzero(edge), len(s))) > 1
     back = np.empty(len(h), np.int64)
-    back[order] = total[np.cumsum(edge) - 1]
-    back = np.minimum(back, 2**32 - 1).astype("<u4")
+    back[order] = (np.minimum(total, 2**31 - 1) << 1 | several)[np.cumsum(edge) - 1]
+    back = back.astype("<u4")
     ends = np.cumsum(sizes)
     rows = len(sizes)
     distinct, tokens = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
