@@ -30,162 +30,161 @@ def spark_type(kind: str) -> T.DataType:
 
 
 # ---------------------------------------------------------------------------
-# The contact catalog (name, type, group; "-" marks a column
-# that is not filterable).  Order and names must equal the warehouse files.
+# The contact catalog (name, type, group, filterable).  Order and names must equal the warehouse files.
 # ---------------------------------------------------------------------------
-CONTACT_COLUMNS_TEXT = """
-id bigint core
-account_id bigint core
-primary_key varchar core
-email varchar core
-mobile varchar core
-first_name varchar core
-last_name varchar core
-created_at timestamp core
-updated_at timestamp core -
-subscribed_on timestamp core
-last_emailed timestamp core
-last_sms timestamp core
-is_opened tinyint core
-is_clicked tinyint core
-last_opened timestamp core
-last_clicked timestamp core
-campaign_sent_cnt integer core
-campaign_opened_cnt integer core
-campaign_clicked_cnt integer core
-sms_campaign_sent_cnt integer core
-email_status tinyint core
-email_suppressed_on timestamp core -
-sms_status tinyint core
-sms_suppressed_on timestamp core -
-is_deleted tinyint core
-is_contact tinyint core
-is_preview tinyint core -
-import_source tinyint core
-domain varchar core
-title varchar identity
-middle_name varchar identity
-gender varchar identity
-date_of_birth date identity
-age integer identity
-language varchar identity
-timezone varchar identity
-nationality varchar identity
-marital_status varchar identity
-address_line1 varchar geo
-address_line2 varchar geo -
-city varchar geo
-state varchar geo
-country varchar geo
-postal_code varchar geo
-region varchar geo
-metro_area varchar geo
-latitude double geo
-longitude double geo
-company varchar firmographic
-job_title varchar firmographic
-department varchar firmographic
-industry varchar firmographic
-seniority varchar firmographic
-employee_count integer firmographic
-annual_revenue double firmographic
-company_domain varchar firmographic
-linkedin_url varchar firmographic -
-website varchar firmographic -
-email_opt_in tinyint preference
-sms_opt_in tinyint preference
-push_opt_in tinyint preference
-preferred_channel varchar preference
-lifecycle_stage varchar preference
-lead_source varchar preference
-lead_score integer preference
-do_not_call tinyint preference
-marketing_consent_at timestamp preference
-last_purchase_at timestamp commerce
-first_purchase_at timestamp commerce
-total_orders integer commerce
-total_spend double commerce
-ltv double commerce
-avg_order_value double commerce
-product_interest varchar commerce
-rfm_score integer commerce
-cart_value double commerce
-last_cart_at timestamp commerce
-subscription_plan varchar commerce
-subscription_status varchar commerce
-loyalty_tier varchar loyalty
-loyalty_points integer loyalty
-store_id varchar loyalty
-sales_rep varchar loyalty
-account_manager varchar loyalty
-customer_since date loyalty
-churn_risk varchar loyalty
-nps_score integer loyalty
-support_tickets integer loyalty
-device_type varchar digital
-os_name varchar digital
-browser_name varchar digital
-app_version varchar digital
-last_login_at timestamp digital
-session_count integer digital
-utm_source varchar digital
-utm_campaign varchar digital
-utm_medium varchar digital
-referrer varchar digital
-segment_tag varchar misc
-cohort varchar misc
-persona varchar misc
-vip_flag tinyint misc
-test_group varchar misc
-external_id varchar misc
-crm_id varchar misc
-tax_id varchar misc -
-notes varchar misc -
-custom_label_1 varchar misc
-custom_label_2 varchar misc
-custom_score_1 integer misc
-custom_score_2 integer misc
-custom_flag_1 tinyint misc
-custom_flag_2 tinyint misc
-event_attendance integer misc
-webinar_count integer misc
-content_downloads integer misc
-last_email_subject varchar misc
-preferred_send_hour integer misc
-"""
+CONTACT_COLUMNS = (
+    ("id", "bigint", "core", True),
+    ("account_id", "bigint", "core", True),
+    ("primary_key", "varchar", "core", True),
+    ("email", "varchar", "core", True),
+    ("mobile", "varchar", "core", True),
+    ("first_name", "varchar", "core", True),
+    ("last_name", "varchar", "core", True),
+    ("created_at", "timestamp", "core", True),
+    ("updated_at", "timestamp", "core", False),
+    ("subscribed_on", "timestamp", "core", True),
+    ("last_emailed", "timestamp", "core", True),
+    ("last_sms", "timestamp", "core", True),
+    ("is_opened", "tinyint", "core", True),
+    ("is_clicked", "tinyint", "core", True),
+    ("last_opened", "timestamp", "core", True),
+    ("last_clicked", "timestamp", "core", True),
+    ("campaign_sent_cnt", "integer", "core", True),
+    ("campaign_opened_cnt", "integer", "core", True),
+    ("campaign_clicked_cnt", "integer", "core", True),
+    ("sms_campaign_sent_cnt", "integer", "core", True),
+    ("email_status", "tinyint", "core", True),
+    ("email_suppressed_on", "timestamp", "core", False),
+    ("sms_status", "tinyint", "core", True),
+    ("sms_suppressed_on", "timestamp", "core", False),
+    ("is_deleted", "tinyint", "core", True),
+    ("is_contact", "tinyint", "core", True),
+    ("is_preview", "tinyint", "core", False),
+    ("import_source", "tinyint", "core", True),
+    ("domain", "varchar", "core", True),
+    ("title", "varchar", "identity", True),
+    ("middle_name", "varchar", "identity", True),
+    ("gender", "varchar", "identity", True),
+    ("date_of_birth", "date", "identity", True),
+    ("age", "integer", "identity", True),
+    ("language", "varchar", "identity", True),
+    ("timezone", "varchar", "identity", True),
+    ("nationality", "varchar", "identity", True),
+    ("marital_status", "varchar", "identity", True),
+    ("address_line1", "varchar", "geo", True),
+    ("address_line2", "varchar", "geo", False),
+    ("city", "varchar", "geo", True),
+    ("state", "varchar", "geo", True),
+    ("country", "varchar", "geo", True),
+    ("postal_code", "varchar", "geo", True),
+    ("region", "varchar", "geo", True),
+    ("metro_area", "varchar", "geo", True),
+    ("latitude", "double", "geo", True),
+    ("longitude", "double", "geo", True),
+    ("company", "varchar", "firmographic", True),
+    ("job_title", "varchar", "firmographic", True),
+    ("department", "varchar", "firmographic", True),
+    ("industry", "varchar", "firmographic", True),
+    ("seniority", "varchar", "firmographic", True),
+    ("employee_count", "integer", "firmographic", True),
+    ("annual_revenue", "double", "firmographic", True),
+    ("company_domain", "varchar", "firmographic", True),
+    ("linkedin_url", "varchar", "firmographic", False),
+    ("website", "varchar", "firmographic", False),
+    ("email_opt_in", "tinyint", "preference", True),
+    ("sms_opt_in", "tinyint", "preference", True),
+    ("push_opt_in", "tinyint", "preference", True),
+    ("preferred_channel", "varchar", "preference", True),
+    ("lifecycle_stage", "varchar", "preference", True),
+    ("lead_source", "varchar", "preference", True),
+    ("lead_score", "integer", "preference", True),
+    ("do_not_call", "tinyint", "preference", True),
+    ("marketing_consent_at", "timestamp", "preference", True),
+    ("last_purchase_at", "timestamp", "commerce", True),
+    ("first_purchase_at", "timestamp", "commerce", True),
+    ("total_orders", "integer", "commerce", True),
+    ("total_spend", "double", "commerce", True),
+    ("ltv", "double", "commerce", True),
+    ("avg_order_value", "double", "commerce", True),
+    ("product_interest", "varchar", "commerce", True),
+    ("rfm_score", "integer", "commerce", True),
+    ("cart_value", "double", "commerce", True),
+    ("last_cart_at", "timestamp", "commerce", True),
+    ("subscription_plan", "varchar", "commerce", True),
+    ("subscription_status", "varchar", "commerce", True),
+    ("loyalty_tier", "varchar", "loyalty", True),
+    ("loyalty_points", "integer", "loyalty", True),
+    ("store_id", "varchar", "loyalty", True),
+    ("sales_rep", "varchar", "loyalty", True),
+    ("account_manager", "varchar", "loyalty", True),
+    ("customer_since", "date", "loyalty", True),
+    ("churn_risk", "varchar", "loyalty", True),
+    ("nps_score", "integer", "loyalty", True),
+    ("support_tickets", "integer", "loyalty", True),
+    ("device_type", "varchar", "digital", True),
+    ("os_name", "varchar", "digital", True),
+    ("browser_name", "varchar", "digital", True),
+    ("app_version", "varchar", "digital", True),
+    ("last_login_at", "timestamp", "digital", True),
+    ("session_count", "integer", "digital", True),
+    ("utm_source", "varchar", "digital", True),
+    ("utm_campaign", "varchar", "digital", True),
+    ("utm_medium", "varchar", "digital", True),
+    ("referrer", "varchar", "digital", True),
+    ("segment_tag", "varchar", "misc", True),
+    ("cohort", "varchar", "misc", True),
+    ("persona", "varchar", "misc", True),
+    ("vip_flag", "tinyint", "misc", True),
+    ("test_group", "varchar", "misc", True),
+    ("external_id", "varchar", "misc", True),
+    ("crm_id", "varchar", "misc", True),
+    ("tax_id", "varchar", "misc", False),
+    ("notes", "varchar", "misc", False),
+    ("custom_label_1", "varchar", "misc", True),
+    ("custom_label_2", "varchar", "misc", True),
+    ("custom_score_1", "integer", "misc", True),
+    ("custom_score_2", "integer", "misc", True),
+    ("custom_flag_1", "tinyint", "misc", True),
+    ("custom_flag_2", "tinyint", "misc", True),
+    ("event_attendance", "integer", "misc", True),
+    ("webinar_count", "integer", "misc", True),
+    ("content_downloads", "integer", "misc", True),
+    ("last_email_subject", "varchar", "misc", True),
+    ("preferred_send_hour", "integer", "misc", True),
+)
 
 # The lake contact ("sftp") core columns; the custom columns
 # f2..f41 follow from a rule (f31 tinyint, all others varchar).
-SFTP_CORE_TEXT = """
-id bigint core
-account_id integer core
-primary_key varchar core
-email varchar core
-mobile varchar core
-created_at integer core
-updated_at integer core
-subscribed_on integer core
-last_emailed integer core
-last_sms integer core
-is_opened tinyint core
-is_clicked tinyint core
-last_opened integer core
-last_clicked integer core
-campaign_sent_cnt integer core
-campaign_opened_cnt integer core
-campaign_clicked_cnt integer core
-sms_campaign_sent_cnt integer core
-email_status tinyint core
-email_suppressed_on integer core -
-sms_status tinyint core
-sms_suppressed_on integer core -
-is_deleted tinyint core
-is_contact tinyint core
-is_preview tinyint core
-import_source tinyint core
-domain varchar core
-data blob core -
-"""
+SFTP_CORE_COLUMNS = (
+    ("id", "bigint", "core", True),
+    ("account_id", "integer", "core", True),
+    ("primary_key", "varchar", "core", True),
+    ("email", "varchar", "core", True),
+    ("mobile", "varchar", "core", True),
+    ("created_at", "integer", "core", True),
+    ("updated_at", "integer", "core", True),
+    ("subscribed_on", "integer", "core", True),
+    ("last_emailed", "integer", "core", True),
+    ("last_sms", "integer", "core", True),
+    ("is_opened", "tinyint", "core", True),
+    ("is_clicked", "tinyint", "core", True),
+    ("last_opened", "integer", "core", True),
+    ("last_clicked", "integer", "core", True),
+    ("campaign_sent_cnt", "integer", "core", True),
+    ("campaign_opened_cnt", "integer", "core", True),
+    ("campaign_clicked_cnt", "integer", "core", True),
+    ("sms_campaign_sent_cnt", "integer", "core", True),
+    ("email_status", "tinyint", "core", True),
+    ("email_suppressed_on", "integer", "core", False),
+    ("sms_status", "tinyint", "core", True),
+    ("sms_suppressed_on", "integer", "core", False),
+    ("is_deleted", "tinyint", "core", True),
+    ("is_contact", "tinyint", "core", True),
+    ("is_preview", "tinyint", "core", True),
+    ("import_source", "tinyint", "core", True),
+    ("domain", "varchar", "core", True),
+    ("data", "blob", "core", False),
+)
 
 
 def _field(name: str, kind: str, group: str, filterable: bool) -> T.StructField:
@@ -193,14 +192,6 @@ def _field(name: str, kind: str, group: str, filterable: bool) -> T.StructField:
                          metadata={"kind": kind, "group": group, "filterable": filterable})
 
 
-def _parse(text: str) -> list[T.StructField]:
-    out = []
-    for line in text.strip().splitlines():
-        parts = line.split()
-        out.append(_field(parts[0], parts[1], parts[2], len(parts) < 4))
-    return out
-
-
 def contact_lake_fields() -> list[T.StructField]:
     # lake columns f4..f14 are varchar and filterable
     return [_field(f"f{i}", "varchar", "lake", True) for i in range(4, 15)]
@@ -212,9 +203,9 @@ CHANGE_FIELDS = [
     T.StructField("_seq", T.LongType(), True),
 ]
 
-CONTACT = T.StructType(_parse(CONTACT_COLUMNS_TEXT) + contact_lake_fields())
+CONTACT = T.StructType([*(_field(*c) for c in CONTACT_COLUMNS), *contact_lake_fields()])
 SFTP_CONTACT = T.StructType(
-    _parse(SFTP_CORE_TEXT)
+    [_field(*c) for c in SFTP_CORE_COLUMNS]
     + [_field(f"f{i}", "tinyint" if i == 31 else "varchar", "custom", True) for i in range(2, 42)]
 )
 
