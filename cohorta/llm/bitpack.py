@@ -33,7 +33,7 @@ HEAD = struct.Struct("<8sII")
 FOOT = struct.Struct("<QQQ8s")
 BLOCK = 4096
 FILE_IDS = 32 << 20
-SLICE = 12 << 20
+SLICE = 8 << 20
 
 
 def bits_for(vocab_size: int) -> int:

@@ -165,19 +165,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, cove
     return found.join(numbered.select("row", "doc_id"), "row").drop("row").select("doc_id", *found.columns[1:])
 
 
-def _local(rows: DataFrame, carry: list[str], items: DataFrame, k: int, cover: float) -> DataFrame:
-    """Judge each document against a benchmark of checked size, held by every task."""
+def _held(items: DataFrame, k: int):
+    """Function that gives a task the benchmark, whose size is checked, with its seeds."""
     table = items.toArrow()
-    shared = rows.sparkSession.sparkContext.broadcast(
+    shared = items.sparkSession.sparkContext.broadcast(
         (table.column("item_id").to_pylist(), table.column("text").to_pylist()))
-    state: dict[str, Items] = {}
+
+    def build() -> Items:
+        ids, texts = shared.value
+        return Items(pa.array(ids, pa.int64()), pa.array([t or "" for t in texts], pa.large_string()), k)
+
+    return build
+
+
+def _local_clean(packed: DataFrame, items: DataFrame, k: int, cover: float) -> DataFrame:
+    """Rows of ``doc`` that no item contaminates, judged where they are read."""
+    build = _held(items, k)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        it = build()
+        for batch in batches:
+            for piece in slices(batch):
+                bad = [d for d, *_ in it.matches(text_column(piece), cover)]
+                keep = np.ones(piece.num_rows, bool)
+                keep[bad] = False
+                yield pa.RecordBatch.from_arrays([piece.column("doc").filter(pa.array(keep))], ["doc"])
+
+    rows = packed.select("doc", F.col("doc.text").cast("string").alias("text"))
+    return rows.mapInArrow(judge, f"doc {packed.schema['doc'].dataType.simpleString()}")
+
+
+def _local(rows: DataFrame, carry: list[str], items: DataFrame, k: int, cover: float) -> DataFrame:
+    """Judge each document against a benchmark of checked size, held by every task."""
+    build = _held(items, k)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "items" not in state:
-            ids, texts = shared.value
-            state["items"] = Items(pa.array(ids, pa.int64()),
-                                   pa.array([t or "" for t in texts], pa.large_string()), k)
-        it = state["items"]
+        it = build()
         for batch in batches:
             for piece in slices(batch):
                 got = np.array(list(it.matches(text_column(piece), cover)), np.int64).reshape(-1, 4)
@@ -244,10 +267,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, cover:
                local_tokens: int = LOCAL_TOKENS) -> DataFrame:
     """Rows contaminated by no item, all columns as they were."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                              F.col("text").cast("string").alias("text"))
-                  .withColumn("row", F.monotonically_increasing_id()), "tiling-rows")
-    plain = rows.select("row", "text")
-    found = (_local(plain, ["row"], items, k, cover) if _count_tokens(items) <= local_tokens
-             else _joined(plain, items, k, cover))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    if _count_tokens(items) <= local_tokens:
+        return _local_clean(packed, items, k, cover).select("doc.*")
+    rows = stored(packed.withColumn("row", F.monotonically_increasing_id()), "tiling-rows")
+    found = _joined(rows.select("row", F.col("doc.text").cast("string").alias("text")), items, k, cover)
     return rows.join(found.select("row").distinct(), "row", "left_anti").select("doc.*")

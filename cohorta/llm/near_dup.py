@@ -44,6 +44,8 @@ COMPONENTS = BANDS * ROWS
 #: Candidates agreeing in fewer components are dropped unread: a pair at the
 #: threshold falls below it with a chance of 6e-6, as small as that of sharing no band.
 LEAST_AGREEING = 98
+#: Cells that wanted texts are marked in before they are joined.
+CELLS = 1 << 22
 #: Tokens looked at to tell frequent ones (only the speed depends on it).
 SAMPLE_TOKENS = 1_000_000
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -126,12 +128,13 @@ SIGNED = "hi long, node long, n long, bands array<long>, sig binary"
 
 
 def signed(docs: DataFrame, keep_row: bool = False) -> DataFrame:
-    """doc_id, text (and the row as ``doc``) with content digest, shingle count, bands and short signature."""
+    """doc_id, text (if asked, the row as ``doc`` instead) with content digest, shingle count, bands and
+    short signature."""
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if keep_row:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     rows = docs.select(*cols)
-    names = rows.columns
+    names = [c for c in rows.columns if c != "text" or not keep_row]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +160,7 @@ def signed(docs: DataFrame, keep_row: bool = False) -> DataFrame:
                      pa.array(size), bands, pa.array([s.tobytes() for s in short], pa.binary())],
                     [*names, "hi", "node", "n", "bands", "sig"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(sign, f"{schema}, {SIGNED}")
 
 
@@ -319,8 +322,14 @@ def _linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: floa
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text of each wanted node (equal word sequences may differ in white space)."""
-    first = (rows.join(wanted, "node", "left_semi")
+    """One text of each wanted node (equal word sequences may differ in white space).
+
+    Most texts are not wanted: those whose node falls in no cell of a wanted one
+    stay where they are.  There are at most CELLS cells, which bounds the broadcast."""
+    cell = F.pmod(F.col("node"), F.lit(CELLS))
+    cells = F.broadcast(wanted.select(cell.alias("cell")).distinct())
+    near = rows.select("node", "text", cell.alias("cell")).join(cells, "cell", "left_semi")
+    first = (near.join(wanted, "node", "left_semi")
              .groupBy("node").agg(F.min(F.struct(F.length("text"), F.col("text"))).alias("t")))
     return first.select("node", F.col("t.text").alias("text"))
 
@@ -349,10 +358,18 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are told apart by a number given once when the rows are written.
     """
     rows = stored(signed(docs, keep_row=True).withColumn("row", F.monotonically_increasing_id()), "dup-signed")
-    found = rows.select("doc_id", "node", "n", "row").join(links(rows.drop("doc", "row"), threshold), "node", "left")
+    plain = rows.select("hi", "node", "n", "bands", "sig", F.col("doc.text").cast("string").alias("text"))
+    found = rows.select("doc_id", "node", "n", "row").join(links(plain, threshold), "node", "left")
     found = found.withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    first = (found.filter("root is not null").groupBy("root")
+    found = stored(found.filter("root is not null").select("root", "doc_id", "row"), "dup-roots")
+    first = (found.groupBy("root")
              .agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("least"))
              .select(F.col("least.row").alias("row")))
-    lone = found.filter("root is null").select("row")
-    return rows.join(first.unionByName(lone), "row", "left_semi").select("doc.*")
+    copies = stored(found.select("row").join(first, "row", "left_anti"), "dup-copies")
+    # rows in no cell of a copy stay where they are; the others meet the copies
+    cell = F.pmod(F.xxhash64("row"), F.lit(CELLS))
+    cells = F.broadcast(copies.select(cell.alias("cell")).distinct())
+    marked = rows.select("doc", "row", cell.alias("cell"))
+    sure = marked.join(cells, "cell", "left_anti").select("doc")
+    rest = marked.join(cells, "cell", "left_semi").join(copies, "row", "left_anti").select("doc")
+    return sure.union(rest).select("doc.*")

@@ -292,7 +292,9 @@ def estimates(measured: DataFrame, min_rows: int = MIN_ROWS, steps: int = STEPS)
             yield pd.DataFrame(out, columns=["key", "n", "mean", "cov"])
 
     final = params.mapInPandas(best, "key string, n long, mean array<double>, cov array<double>")
-    return groups.select("lang", "source", "key").join(final.filter(F.col("n") >= min_rows), "key", "left")
+    # written, so that its size is known and the rows it is joined to need not move when it is small
+    return stored(groups.select("lang", "source", "key").join(final.filter(F.col("n") >= min_rows), "key", "left"),
+                  "mcd-final")
 
 
 def judge(measured: DataFrame, params: DataFrame, cut: float = CUT) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohorta.llm import (bitpack, decontamination, language_id, license_scan, lm_scoring, near_dup, packing,
                          quality_classifier, quality_rules, url_filter)
+from cohorta.llm.scratch import ready
 from cohorta.llm.tokenizer import public_path
-from cohorta.session import apply_conf
 
 LANGUAGE_VOCAB = "piece_bpe_32k.model"
 BYTE_VOCAB, BYTE_VOCAB_SIZE = "byte_bpe_50k.json", 50_257
@@ -17,7 +17,7 @@ WORD_VOCAB = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    apply_conf(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohorta.session import scratch_dir
+from cohorta.session import apply_conf, scratch_dir
+
+
+def ready(spark: SparkSession) -> None:
+    """Session settings of the operators: those of the library, and Arrow batches
+    of a bounded size, so that long texts do not pile up in a Python worker."""
+    apply_conf(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

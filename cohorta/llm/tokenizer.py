@@ -17,7 +17,7 @@ import pyarrow as pa
 from cohorta.llm.tokens import raw_bytes, ragged, words
 
 #: Stretches kept per Python worker; beyond it new ones are encoded each time.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Longer stretches are encoded but not kept.
 CACHE_CHARS = 48
 

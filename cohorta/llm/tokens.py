@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once in a task; one longer text is a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)

@@ -12,32 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohorta.llm import decontamination, language_id, near_dup, packing, quality_rules
 from cohorta.llm.queries import LANGUAGE_VOCAB, WORD_VOCAB, table
-from cohorta.llm.scratch import stored
+from cohorta.llm.scratch import ready, stored
 from cohorta.llm.tokenizer import public_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    ready(spark)
     return quality_rules.keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined."""
+    ready(spark)
     return language_id.keep_identified(docs, public_path(LANGUAGE_VOCAB))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ready(spark)
     return near_dup.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    ready(spark)
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents placed in sequences."""
+    ready(spark)
     return packing.pack_sequences(docs, public_path(WORD_VOCAB))
 
 
