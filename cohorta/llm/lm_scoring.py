@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cohorta.llm.scratch import shared_folder, stored
 from cohorta.llm.tokens import hash_strings, mix, per_doc, slices, text_column, words
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_TOKENS = 2_500_000
 ORDER = 2
 MU = 400.0
@@ -349,9 +349,11 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU) -> DataFra
                        F.col("text").cast("string").alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     table = f"lm_chunks_{uuid.uuid4().hex}"
-    # buckets by chunk: the joins below move the answers, never the chunks
+    # buckets by chunk: the joins below move the answers, never the chunks.  With fewer
+    # buckets than shuffle partitions Spark would deal out both sides anew
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (rows.mapInArrow(_chunks, CHUNK_SCHEMA).write
-     .bucketBy(int(min(50_000, max(4, n_bytes // (2 * CHUNK_BYTES)))), "chunk")
+     .bucketBy(int(min(50_000, max(least, n_bytes // (2 * CHUNK_BYTES)))), "chunk")
      .option("path", shared_folder(spark, "lm-chunks")).option("compression", "zstd").saveAsTable(table))
     try:
         chunks = spark.table(table)
