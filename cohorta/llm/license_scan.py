@@ -1,13 +1,22 @@
 """Licence scan by a trained paragraph classifier (operator 9).
 
-Paragraphs are the lines of a text.  A multinomial logistic regression over
-hashed one- to three-word n-grams tells licence families and ``unknown``
-apart.  It is trained on the notices below, varied, against a bounded sample
-of the corpus' own lines and some near misses.  Its probabilities are
-calibrated by a temperature fitted on folds it was not trained on.  A family
-is reported when its calibrated probability reaches ``MIN_PROBABILITY`` and a
-template of the family confirms it: enough of the template's word pairs, in
-share, occur in the paragraph.
+Paragraphs are runs of lines that are not blank.  A multinomial logistic
+regression over hashed one- to three-word n-grams tells licence families and
+``unknown`` apart.  It is trained on the notices below, varied, against a
+bounded sample of the corpus' own lines and some near misses.  Its
+probabilities are calibrated by a temperature fitted on folds it was not
+trained on.
+
+Every paragraph is read whole, in overlapping windows: for each template one
+from each of its word pairs on, as long as the template and ``CONTEXT`` words
+on both sides.  A family is reported when a template confirms it (enough of
+the template's word pairs, in share, occur in the window) and its calibrated
+probability there, with ``CONTEXT`` words around, reaches
+``MIN_PROBABILITY``.  Families of overlapping windows that are each confirmed
+by the word pairs that the other's templates do not have stand side by side
+and are judged without each other's classes; one that is not so confirmed
+yields to a more probable one.  Each licence of an SPDX expression is read as
+the tag and that licence.
 
 Rows in, defined results: null and empty texts have no paragraph; repeated
 rows are reported each; ties go to the first family by name; an empty table
@@ -25,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohorta.llm.tokens import hash_strings, mix, slices, text_column, words
+from cohorta.llm.tokens import hash_strings, mix, ragged, slices, text_column, words
 
 # fixed values: public licence notices by family
 NOTICES = {
@@ -83,21 +92,30 @@ FOLDS = 3
 STEPS = 80
 MIN_PROBABILITY = 0.5
 MIN_TEMPLATE = 0.6
+#: Words around a notice that training adds at most and windows take in.
+CONTEXT = 5
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, offsets) of lower-cased words without outer punctuation; ``1234`` and up read as a number."""
+    """(codes, offsets) of lower-cased words without outer punctuation; ``1234`` and up read as a number.
+
+    What is punctuation only (comment marks) is no word.
+    """
     w = words(texts)
     if not len(w.vocab):
         return np.zeros(0, np.uint64), w.offsets
     bare = pc.replace_substring_regex(pc.utf8_lower(w.vocab), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     bare = pc.replace_substring_regex(bare, r"^\d{4,}$", "0000")
-    return hash_strings(bare)[w.ids], w.offsets
+    real = (pc.binary_length(bare).to_numpy(zero_copy_only=False) > 0)[w.ids]
+    return hash_strings(bare)[w.ids[real]], np.concatenate([[0], np.cumsum(real)])[w.offsets]
 
 
 def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(line, feature) of all one- to three-word n-grams."""
-    code, off = _tokens(texts)
+    return _code_grams(*_tokens(texts))
+
+
+def _code_grams(code: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     out_line, out_gram, gram = [], [], np.zeros(len(code), np.uint64)
     with np.errstate(over="ignore"):
@@ -219,25 +237,129 @@ def fit(background: list[str]) -> Model:
     return _train(line, cell, y, classes)._replace(temperature=float(best))
 
 
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(first * np.uint64(3) + mix(second))
+
+
 def _pairs(texts: pa.Array) -> list[np.ndarray]:
     """Distinct word pairs of each line (single words for one-word lines)."""
     code, off = _tokens(texts)
-    out = []
-    with np.errstate(over="ignore"):
-        for a, b in zip(off, off[1:]):
-            c = code[a:b]
-            out.append(np.unique(mix(c[:-1] * np.uint64(3) + mix(c[1:])) if b - a > 1 else c))
-    return out
+    return [np.unique(_pair(code[a:b - 1], code[a + 1:b]) if b - a > 1 else code[a:b]) for a, b in zip(off, off[1:])]
+
+
+class Found(NamedTuple):
+    """A template that a window confirms: words ``start .. stop`` and the template's pairs in it."""
+
+    family: int
+    template: int
+    start: int
+    stop: int
+    pairs: frozenset
 
 
 class Templates:
     def __init__(self) -> None:
         self.of = {f: _pairs(pa.array(NOTICES[f], pa.large_string())) for f in FAMILIES}
+        self.keys = np.unique(np.concatenate([t for f in FAMILIES for t in self.of[f]]))
+        self.small = np.zeros(1 << 16, bool)
+        self.small[self.keys >> np.uint64(48)] = True
+        #: (family, pairs, words) of each template; pairs are numbers of ``keys``
+        self.all = [(c, frozenset(np.searchsorted(self.keys, t).tolist()), int(n))
+                    for c, f in enumerate(FAMILIES)
+                    for t, n in zip(self.of[f], np.diff(_tokens(pa.array(NOTICES[f], pa.large_string()))[1]))]
+        self.member = np.zeros((len(self.all), len(self.keys)), bool)
+        for t, (_, pairs, _) in enumerate(self.all):
+            self.member[t, list(pairs)] = True
+        self.family_pairs = [frozenset().union(*(p for g, p, _ in self.all if g == c)) for c in range(len(FAMILIES))]
+        self.tag, *self.joins = hash_strings(pa.array(["spdx-license-identifier", "or", "and", "with"]))
+        self.tagged = np.array([_tokens(pa.array([t], pa.large_string()))[0][0] == self.tag
+                                for f in FAMILIES for t in NOTICES[f]])
 
     def best(self, family: str, pairs: np.ndarray) -> float:
         """Largest share of a template of the family found in a paragraph."""
         return max(np.isin(t, pairs).mean() for t in self.of[family])
 
+    def hits(self, code: np.ndarray, paragraph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, number of the pair) of all template pairs that start at a word."""
+        key = _pair(code[:-1], code[1:])
+        at = np.flatnonzero(code == self.tag) + 2
+        while len(at):                           # at: where a joining word may stand
+            at = at[at + 1 < len(code)]
+            at = at[np.isin(code[at], self.joins) & (paragraph[at + 1] == paragraph[at - 2])]
+            key[at] = _pair(np.full(len(at), self.tag), code[at + 1])
+            at = at + 2
+        maybe = np.flatnonzero(self.small[key >> np.uint64(48)] & (paragraph[:-1] == paragraph[1:]))
+        number = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+        ok = self.keys[number] == key[maybe]
+        return maybe[ok], number[ok]
+
+    def confirmed(self, code: np.ndarray, paragraph: np.ndarray, min_template: float) -> list[Found]:
+        """Windows in which enough of a template's pairs occur, cut to these pairs."""
+        place, number = self.hits(code, paragraph)
+        out = []
+        for t, (family, pairs, n_words) in enumerate(self.all):
+            need = max(1, int(np.ceil(min_template * len(pairs) - 1e-9)))
+            own = self.member[t, number]
+            at, num = place[own], number[own]
+            if len(at) < need:
+                continue
+            last = len(at) - need + 1
+            near = ((at[need - 1:] - at[:last] < n_words + 2 * CONTEXT)
+                    & (paragraph[at[need - 1:]] == paragraph[at[:last]]))
+            best: dict[int, Found] = {}          # by the last pair: the most pairs, then the shortest
+            for i in np.flatnonzero(near).tolist():
+                seen, stop, j = set(), i, i
+                while j < len(at) and at[j] - at[i] < n_words + 2 * CONTEXT and paragraph[at[j]] == paragraph[at[i]]:
+                    if num[j] not in seen:
+                        seen.add(int(num[j]))
+                        stop = j
+                    j += 1
+                if len(seen) >= need and (stop not in best or len(seen) >= len(best[stop].pairs)):
+                    best[stop] = Found(family, t, int(at[i]), int(at[stop]) + 2, frozenset(seen))
+            out.extend(best.values())
+        return out
+
+
+def judge(found: list[Found], p: np.ndarray, around: np.ndarray, templates: Templates, min_probability: float,
+          min_template: float) -> list[tuple[Found, float]]:
+    """Confirmed windows whose family is probable, with that probability (``around``: words looked at).
+
+    Of a family's overlapping windows, the one with the largest share of its template stands for all.
+    """
+    order = sorted(range(len(found)), key=lambda i: (around[i, 0], i))
+    near: list[list[int]] = [[] for _ in found]  # windows have few words, so few overlap
+    for n, i in enumerate(order):
+        for k in order[n + 1:]:
+            if around[k, 0] >= around[i, 1]:
+                break
+            near[i].append(k)
+            near[k].append(i)
+
+    def apart(i: int, k: int) -> bool:
+        """Is window i's template confirmed by the pairs that the family of window k does not have?"""
+        left = templates.all[found[i].template][1] - templates.family_pairs[found[k].family]
+        return bool(left) and len(found[i].pairs & left) >= min_template * len(left) - 1e-9
+
+    others = [[k for k in near[i] if found[k].family != f.family] for i, f in enumerate(found)]
+    beside = [{found[k].family for k in others[i] if apart(i, k) and apart(k, i)} for i in range(len(found))]
+    chance = {i: p[i, f.family] / max(1.0 - sum(p[i, g] for g in beside[i]), 1e-300) for i, f in enumerate(found)}
+    taken: dict[int, float] = {}
+    for i in sorted(range(len(found)), key=lambda i: (-chance[i], found[i].family, i)):
+        before = [k for k in others[i] if k in taken]
+        if all(apart(i, k) for k in before):
+            seen = beside[i] | {found[k].family for k in before}
+            value = float(p[i, found[i].family] / max(1.0 - sum(p[i, g] for g in seen), 1e-300))
+            if value >= min_probability:
+                taken[i] = min(value, 1.0)
+    kept: set[int] = set()
+    for i in sorted(taken, key=lambda i: (-len(found[i].pairs) / len(templates.all[found[i].template][1]), -taken[i], i)):
+        f = found[i]
+        if not any(k in kept and found[k].family == f.family and found[k].start < f.stop and f.start < found[k].stop
+                   for k in near[i]):
+            kept.add(i)
+    return [(found[i], taken[i]) for i in sorted(kept)]
+
 
 def sample_lines(docs: DataFrame, n: int = SAMPLE_LINES) -> list[str]:
     """About ``n`` distinct corpus lines without licence words, drawn by hash: the bounded background."""
@@ -265,31 +387,42 @@ def license_scan(docs: DataFrame, min_probability: float = MIN_PROBABILITY, min_
             for piece in slices(batch, limit=2 << 20):
                 parts = pc.split_pattern(text_column(piece), "\n")
                 off = parts.offsets.to_numpy().astype(np.int64)
-                coded = parts.flatten().dictionary_encode()
-                lines, ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                line, gram = _grams(lines)
-                p = model.probabilities(line, gram, len(lines))
-                best = p.argmax(axis=1)
-                some = np.bincount(line, minlength=len(lines)) > 0
-                likely = np.flatnonzero(some & (best < len(FAMILIES)) & (p.max(axis=1) >= min_probability))
-                share = np.zeros(len(lines))
-                for i, pairs in zip(likely, _pairs(lines.take(pa.array(likely)))):
-                    share[i] = templates.best(FAMILIES[best[i]], pairs)
-                found = share >= min_template
-                at = np.flatnonzero(found[ids])
-                doc = np.searchsorted(off - off[0], at, side="right") - 1
-                code = ids[at]
+                off = off - off[0]
+                lines = parts.flatten()
+                code, ends = _tokens(lines)
+                blank = pc.binary_length(pc.utf8_trim_whitespace(lines)).to_numpy(zero_copy_only=False) == 0
+                fresh = np.concatenate([[True], blank])[:len(lines)]
+                fresh[off[:-1][off[:-1] < len(lines)]] = True
+                paragraph = np.repeat(np.cumsum(fresh), np.diff(ends))
+                found = templates.confirmed(code, paragraph, min_template) if len(code) > 1 else []
+                if not found:
+                    continue
+                span = np.array([(f.start, f.stop) for f in found], np.int64)
+                inside = paragraph[span[:, 0]]
+                around = np.column_stack([
+                    np.maximum(span[:, 0] - CONTEXT, np.searchsorted(paragraph, inside)),
+                    np.minimum(span[:, 1] + CONTEXT, np.searchsorted(paragraph, inside, side="right"))])
+                tagged = templates.tagged[[f.template for f in found]]
+                around[tagged] = span[tagged]
+                size = around[:, 1] - around[:, 0]
+                looked = code[ragged(around[:, 0], size)]
+                looked[(np.cumsum(size) - size)[tagged]] = templates.tag      # the tag and one licence
+                line, gram = _code_grams(looked, np.concatenate([[0], np.cumsum(size)]))
+                p = model.probabilities(line, gram, len(found))
                 got: dict[tuple[int, int], list] = {}
-                for d, place, c in zip(doc.tolist(), at.tolist(), code.tolist()):
-                    r = got.setdefault((d, int(best[c])), [0, place - int(off[d] - off[0]), 0.0, 0.0])
-                    r[0] += 1
-                    r[2], r[3] = max(r[2], float(p[c, best[c]])), max(r[3], float(share[c]))
+                for f, chance in judge(found, p, around, templates, min_probability, min_template):
+                    place = int(np.searchsorted(ends, f.start, side="right")) - 1
+                    d = int(np.searchsorted(off, place, side="right")) - 1
+                    r = got.setdefault((d, f.family), [set(), place - int(off[d]), 0.0, 0.0])
+                    r[0].add(int(paragraph[f.start]))
+                    r[1] = min(r[1], place - int(off[d]))
+                    r[2], r[3] = max(r[2], chance), max(r[3], len(f.pairs) / len(templates.all[f.template][1]))
                 if got:
                     keys = sorted(got)
                     values = [got[k] for k in keys]
                     yield pa.RecordBatch.from_arrays(
                         [piece.column("doc_id").take(pa.array([k[0] for k in keys])),
-                         pa.array([FAMILIES[k[1]] for k in keys]), pa.array([v[0] for v in values], pa.int32()),
+                         pa.array([FAMILIES[k[1]] for k in keys]), pa.array([len(v[0]) for v in values], pa.int32()),
                          pa.array([v[1] for v in values], pa.int32()), pa.array([v[2] for v in values]),
                          pa.array([v[3] for v in values])],
                         ["doc_id", "family", "paragraphs", "first_line", "probability", "template_share"])

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from cohorta.llm import license_scan as S
 from cohorta.llm import url_filter as U
@@ -42,6 +43,40 @@ def test_unknown_class_and_templates():
     assert [family(i) for i in range(len(held), len(texts))] == want
 
 
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+ISC = """# Permission to use, copy, modify, and/or distribute this
+# software for any purpose with or without fee is hereby
+# granted, provided that the above copyright notice appears."""
+TALK = " ".join(f"the w{i % 97} of this work under the general version" for i in range(600))
+TEXTS = [
+    ("Some words.\n\n" + GPL + "\n\nint main", {"gpl": 3}), (BSD, {"bsd": 0}), (ISC + "\n\nMore.", {"isc": 0}),
+    (TALK + " Licensed under the MIT license. " + TALK, {"mit": 0}),
+    (TALK + "\n" + GPL.replace("\n", " ") + " " + TALK, {"gpl": 1}),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit": 0, "apache": 0}),
+    ("// SPDX-License-Identifier: (Apache-2.0 OR MIT) AND BSD-3-Clause", {"apache": 0, "mit": 0, "bsd": 0}),
+    ("Licensed under the Apache License, Version 2.0 or the MIT license, as you like.", {"apache": 0, "mit": 0}),
+    (TALK + "\n\nReleased under the\n\nMIT License.", {}), (TALK, {}),
+    ("This program is licensed under the GNU Affero General Public\nLicense, version 3.", {"agpl": 0})]
+
+
+def test_wrapped_embedded_and_dual_notices(spark, docs):
+    own = [(i, text) for i, (text, _) in enumerate(TEXTS)]
+    df = spark.createDataFrame(own, "doc_id long, text string").union(docs.select(-F.col("doc_id") - 1, "text"))
+    got = {}
+    for r in S.license_scan(df).filter("doc_id >= 0").collect():
+        assert r.paragraphs == 1 and r.probability >= S.MIN_PROBABILITY and r.template_share >= S.MIN_TEMPLATE
+        got.setdefault(r.doc_id, {})[r.family] = r.first_line
+    assert [got.get(i, {}) for i in range(len(TEXTS))] == [want for _, want in TEXTS]
+
+
 def test_license_odd_rows(odd, none):
     assert S.license_scan(odd).count() == 0 and S.license_scan(none).count() == 0
 
