@@ -7,7 +7,8 @@ its words.  Piece probabilities are learned by expectation maximisation
 (forward-backward expected counts) on word counts of labelled documents.
 
 Words are runs between white space, lower-cased, letters only, with a word
-start mark; runs beyond ``STRETCH`` letters are scored stretch by stretch.
+start mark; runs beyond ``STRETCH`` letters are learned and scored stretch by
+stretch, the mark before the first one.  Every labelled language is learned.
 
 Rows in, defined results: a null text or one without a letter is ``und`` with
 score 0; ties go to the first language by name; rows with a null lang or
@@ -33,9 +34,10 @@ START = "▁"
 STRETCH = 40
 MAX_PIECE = 10
 #: Learning bound: about this many characters of each language, drawn by a hash
-#: of doc_id; languages beyond the most frequent ``MAX_LANGS`` are not learned.
+#: of doc_id.
 TRAIN_CHARS = 3_000_000
-MAX_LANGS = 200
+#: Languages learned and scored at once (memory, not a bound on languages).
+LANG_GROUP = 32
 ROUNDS = 3
 #: Added to every expected count, so that no piece is impossible.
 DELTA = 0.01
@@ -179,6 +181,21 @@ def clean(vocab: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def stretches(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(marked stretches of the cleaned words, word of each)."""
+    values = values.cast(pa.large_string())
+    size = pc.utf8_length(values).to_numpy(zero_copy_only=False)
+    short = np.flatnonzero((size > 0) & (size <= STRETCH))
+    marked = pc.binary_join_element_wise(pa.scalar(START, pa.large_string()), values.take(pa.array(short)),
+                                         pa.scalar("", pa.large_string()))
+    cut, of = [], []
+    for i in np.flatnonzero(size > STRETCH).tolist():
+        text = values[i].as_py()
+        cut.extend((START if j == 0 else "") + text[j:j + STRETCH] for j in range(0, len(text), STRETCH))
+        of.append(np.full(-(-len(text) // STRETCH), i))
+    return pa.concat_arrays([marked, pa.array(cut, pa.large_string())]), np.concatenate([short, *of])
+
+
 def word_scores(values: pa.Array, vocab: Vocabulary, prob: np.ndarray, group: int = 40_000) -> np.ndarray:
     """log P of each cleaned word for each language; empty words score 0."""
     out = np.zeros((len(values), prob.shape[1]))
@@ -212,16 +229,15 @@ def learn(docs: DataFrame, vocab_path: str, train_chars: int = TRAIN_CHARS,
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").cast("string").alias("text")).filter("lang is not null and doc_id is not null")
-    # one row per language, at most MAX_LANGS of them
-    size = {r.lang: r.chars for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-            .filter("chars > 0").orderBy(F.desc("chars"), "lang").limit(MAX_LANGS).collect()}
-    langs = sorted(size)
+    # one row per language; the model's matrix has a column for each
+    chars = stored(rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).filter("chars > 0"), "language-chars")
+    langs = sorted(r.lang for r in chars.select("lang").collect())
     vocab = vocabulary(vocab_path)
     if not langs:
         return [], np.zeros((vocab.other + 1, 0))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_chars / size[k]))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.filter(F.col("lang").isin(langs)).filter(draw < F.element_at(share, F.col("lang")))
+    sample = (rows.join(F.broadcast(chars), "lang").filter(draw < train_chars / F.col("chars"))
+              .select("lang", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,18 +246,38 @@ def learn(docs: DataFrame, vocab_path: str, train_chars: int = TRAIN_CHARS,
                 values, code = clean(w.vocab)
                 lang = piece.column("lang").dictionary_encode()
                 of = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[w.owner()]
-                pair, n = np.unique(of * max(len(values), 1) + code[w.ids], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [lang.dictionary.cast(pa.string()).take(pa.array(pair // max(len(values), 1))),
-                     values.cast(pa.string()).take(pa.array(pair % max(len(values), 1))), pa.array(n)],
-                    ["lang", "word", "n"])
-
-    table = stored(sample.mapInArrow(count, "lang string, word string, n long").filter("word <> ''")
+                word, n = np.unique(of * max(len(values), 1) + code[w.ids], return_counts=True)
+                cut, owner = stretches(values)
+                order = np.argsort(owner, kind="stable")
+                first = np.searchsorted(owner[order], np.arange(len(values) + 1))
+                own = word % max(len(values), 1)
+                size = first[own + 1] - first[own]
+                at = order[ragged(first[own], size)]
+                # a bounded number of rows at once
+                of, n = np.repeat(word // max(len(values), 1), size), np.repeat(n, size)
+                for k in range(0, len(at), 1 << 16):
+                    some = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [lang.dictionary.cast(pa.string()).take(pa.array(of[some])),
+                         cut.take(pa.array(at[some])).cast(pa.string()), pa.array(n[some])], ["lang", "word", "n"])
+
+    table = stored(sample.mapInArrow(count, "lang string, word string, n long")
                    .groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    prob = np.full((vocab.other + 1, len(langs)), 1.0 / (vocab.other + 1))
+    groups = [langs[k:k + LANG_GROUP] for k in range(0, len(langs), LANG_GROUP)]
+    out = np.empty((vocab.other + 1, len(langs)))
+    for g, names in enumerate(groups):
+        own = table if len(groups) == 1 else table.filter(F.col("lang").between(names[0], names[-1]))
+        out[:, g * LANG_GROUP:g * LANG_GROUP + len(names)] = _maximise(own, names, vocab_path, rounds)
+    return langs, out
+
+
+def _maximise(table: DataFrame, langs: list[str], vocab_path: str, rounds: int) -> np.ndarray:
+    """Piece probabilities of some languages from (lang, word: marked stretch, n), by EM."""
+    size = vocabulary(vocab_path).other + 1
+    prob = np.full((size, len(langs)), 1.0 / size)
+    column = {k: i for i, k in enumerate(langs)}
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(prob)      # pieces x languages: bounded by both
-        column = {k: i for i, k in enumerate(langs)}
+        shared = table.sparkSession.sparkContext.broadcast(prob)      # pieces x languages: bounded by both
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, p = vocabulary(vocab_path), shared.value
@@ -249,9 +285,7 @@ def learn(docs: DataFrame, vocab_path: str, train_chars: int = TRAIN_CHARS,
             for b in batches:
                 of = np.array([column[x] for x in b.column("lang").to_pylist()], np.int64)
                 n = b.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
-                text = pc.utf8_slice_codeunits(b.column("word").cast(pa.large_string()), 0, STRETCH)
-                marked = pc.binary_join_element_wise(pa.scalar(START, pa.large_string()), text,
-                                                     pa.scalar("", pa.large_string()))
+                marked = b.column("word").cast(pa.large_string())
                 for k in np.unique(of):
                     own = np.flatnonzero(of == k)
                     total[:, k] += expected(v.lattice(marked.take(pa.array(own))), p[:, k], n[own])
@@ -264,7 +298,7 @@ def learn(docs: DataFrame, vocab_path: str, train_chars: int = TRAIN_CHARS,
         mass[cells.cell.to_numpy(np.int64)] = cells.mass.to_numpy(float)
         mass = mass.reshape(prob.shape) + DELTA
         prob = mass / mass.sum(axis=0)
-    return langs, prob
+    return prob
 
 
 def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, vocab_path: str) -> DataFrame:
@@ -285,9 +319,12 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, vocab_path: str
                 owner = w.owner()
                 known = np.bincount(owner[lettered[w.ids]], minlength=n) > 0
                 if names:
-                    by_word = word_scores(values, vocab, p)[code]
-                    total = np.stack([np.bincount(owner, weights=by_word[w.ids, k], minlength=n)
-                                      for k in range(len(names))], axis=1)
+                    total = np.empty((n, len(names)))
+                    for k in range(0, len(names), LANG_GROUP):
+                        some = np.ascontiguousarray(p[:, k:k + LANG_GROUP])
+                        by_word = word_scores(values, vocab, some, min(40_000, 400_000 // some.shape[1]))[code]
+                        for j in range(some.shape[1]):
+                            total[:, k + j] = np.bincount(owner, weights=by_word[w.ids, j], minlength=n)
                     best = total.argmax(axis=1)
                     sure = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
                 else:

@@ -58,6 +58,29 @@ def test_training_is_bounded_and_spares_held_out(spark, vocab, docs):
     assert langs == sorted(langs) and np.allclose(prob.sum(axis=0), 1) and (prob > 0).all()
 
 
+def test_long_words_are_learned_whole(spark, vocab):
+    # equal up to the first stretch; only what follows tells the languages apart
+    rows = [(i, "x" * L.STRETCH + ("ab", "cd")[i % 2] * 300, ("aa", "bb")[i % 2]) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prob = L.learn(df, vocab(L_VOCAB))
+    got = {r.doc.doc_id: r.lang_pred for r in L.predict(df, langs, prob, vocab(L_VOCAB)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    # as many characters as there are, in the stretches that scoring reads
+    cut, of = L.stretches(pa.array(["a", "", "漢" * 95]))
+    assert cut.to_pylist() == ["▁a", "▁" + "漢" * 40, "漢" * 40, "漢" * 15] and of.tolist() == [0, 2, 2, 2]
+
+
+def test_every_language_is_learned(spark, vocab):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(26, size=9)) for _ in range(206)]
+    rows = [(i, f"{w} {w} " * (1 if i == 205 else 3), f"l{i:03}") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prob = L.learn(df, vocab(L_VOCAB), rounds=1)
+    assert langs == [lang for _, _, lang in rows] and np.allclose(prob.sum(axis=0), 1)
+    got = {r.doc.doc_id: r.lang_pred for r in L.predict(df, langs, prob, vocab(L_VOCAB)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_odd_rows(odd, none, vocab, spark):
     got = {r.doc_id: r for r in L.language_id(odd, vocab(L_VOCAB)).collect()}
     for i in (2, 3, 4, 7):
