@@ -60,6 +60,19 @@ def parent(host: Column) -> Column:
     return F.when(up != "", up)
 
 
+def ancestors(hosts: DataFrame) -> DataFrame:
+    """Distinct (src, dst): from each host and each domain above it to the next one up, at any depth."""
+    labels = F.split("src", r"\.")
+    empty = F.array_position(labels, "")
+    every = (hosts.filter(parent(F.col("src")).isNotNull())
+             .select(F.col("src").alias("host"), F.size(labels).alias("n"), empty.alias("empty"))
+             .select("*", F.explode(F.sequence("n", F.lit(3), F.lit(-1))).alias("left")))
+    # an empty label ends the way up
+    return (every.filter("empty = 0 or empty > n - left + 1")
+            .select(F.expr("substring_index(host, '.', -left)").alias("src"))
+            .select("src", parent(F.col("src")).alias("dst")).filter("dst is not null").distinct())
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links between different hosts and edges to parent domains."""
     own = pages.select(host_of(F.col("url")).alias("src"), F.col("html").cast("string").alias("html"))
@@ -69,12 +82,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
              .groupBy("src", "dst").agg(F.count("*").cast("double").alias("n")))
     links = stored(links, "host-links")
     hosts = own.select("src").filter("src <> ''").distinct().union(links.select("dst")).distinct()
-    chain = hosts
-    found = None
-    for _ in range(3):                       # subdomains of subdomains
-        step = chain.select("src", parent(F.col("src")).alias("dst")).filter("dst is not null").distinct()
-        found = step if found is None else found.union(step).distinct()
-        chain = step.select(F.col("dst").alias("src"))
+    found = ancestors(hosts)
     up = found.withColumn("n", F.lit(1.0))
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     return links.union(up).union(down).groupBy("src", "dst").agg(F.sum("n").alias("n"))

@@ -114,6 +114,23 @@ def test_rules_links_and_odd_pages(spark):
     assert U.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_edges_reach_the_domain_from_any_depth(spark):
+    hosts = ["a.b.c.d.e.f.g.evil.net", "x.y.org", "y.org", "org", "p..q.r.s", ".l.m.n", "t.u.v.", "i\nj.k.l.m", "i.j\nk.l.m"]
+    got = {(r.src, r.dst) for r in U.ancestors(spark.createDataFrame([(h,) for h in hosts], "src string")).collect()}
+    deep = "a.b.c.d.e.f.g.evil.net".split(".")
+    want = {(".".join(deep[k:]), ".".join(deep[k + 1:])) for k in range(7)}
+    assert got == want | {("x.y.org", "y.org"), ("p..q.r.s", ".q.r.s"), ("t.u.v.", "u.v."), ("i\nj.k.l.m", "k.l.m"), ("k.l.m", "l.m")}
+
+
+def test_distrust_reaches_deep_subdomains(spark):
+    # the page without a rule is tied to its domain's blocked pages by its name only
+    pages = [(1, "http://a.b.c.d.e.evil.net/", None), (2, "http://evil.net/es/1", None), (3, "http://evil.net/es/2", None),
+             (4, "http://evil.net/fr/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in U.url_verdicts(df).collect()}
+    assert got[1].distrust > 0
+
+
 def plain_rank(seeds, edges, rounds, damping):
     out = {}
     for s, d, n in edges:
