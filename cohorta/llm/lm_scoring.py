@@ -38,6 +38,8 @@ from cohorta.llm.tokens import hash_strings, mix, per_doc, slices, text_column,
 
 CHUNK_BYTES = 8 << 20
 BUCKET_TOKENS = 2_500_000
+#: A count from here on is this mark in the 31 bits of an answer, and whole in the list beside it.
+LARGE = 2**31 - 1
 ORDER = 2
 MU = 400.0
 SEGMENT = 256
@@ -149,11 +151,14 @@ class Chunk:
         asked = self.asks(level)
         bucket = (level.hashes[asked] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        got = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in sorted(replies, key=lambda r: r["bucket"])]
-                             or [np.zeros(0, np.uint32)])
+        replies = sorted(replies, key=lambda r: r["bucket"])
+        got = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in replies] or [np.zeros(0, np.uint32)])
         if len(got) != len(asked):
             raise ValueError("a bucket's answer is missing")
-        level.total[asked[order]] = got >> 1
+        total = (got >> 1).astype(np.int64)
+        total[total == LARGE] = np.concatenate([np.frombuffer(r["large"], "<i8") for r in replies]
+                                               or [np.zeros(0, np.int64)])
+        level.total[asked[order]] = total
         level.shared[asked[order]] = got & 1
 
 
@@ -176,7 +181,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 GRAMS = "bucket long, chunk long, hashes binary, counts binary"
-REPLIES = "chunk long, bucket long, counts binary, n_distinct long, n_total long"
+REPLIES = "chunk long, bucket long, counts binary, large binary, n_distinct long, n_total long"
 
 
 def _sender(order: int, buckets: int):
@@ -215,17 +220,20 @@ def _merge(table: pa.Table) -> pa.Table:
     own = s[edge] != _BEGIN                       # the begin mark is no token
     # a chunk sends an n-gram once, so several senders mean that several chunks have it
     several = np.diff(np.append(np.flatnonzero(edge), len(s))) > 1
-    back = np.empty(len(h), np.int64)
-    back[order] = (np.minimum(total, 2**31 - 1) << 1 | several)[np.cumsum(edge) - 1]
-    back = back.astype("<u4")
+    gram = np.empty(len(h), np.int64)
+    gram[order] = np.cumsum(edge) - 1
+    back = (np.minimum(total, LARGE) << 1 | several).astype("<u4")[gram]
     ends = np.cumsum(sizes)
+    over = np.flatnonzero((total >= LARGE)[gram])
+    whole, cut = total[gram[over]].astype("<i8"), np.searchsorted(over, np.append(0, ends))
     rows = len(sizes)
     distinct, tokens = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     distinct[0], tokens[0] = int((total[own] > 0).sum()), int(total[own].sum())
     return pa.table([table.column("chunk"), table.column("bucket"),
                      pa.array([back[e - k:e].tobytes() for e, k in zip(ends, sizes)], pa.binary()),
+                     pa.array([whole[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                      pa.array(distinct), pa.array(tokens)],
-                    names=["chunk", "bucket", "counts", "n_distinct", "n_total"])
+                    names=["chunk", "bucket", "counts", "large", "n_distinct", "n_total"])
 
 
 class Arcs:
@@ -368,7 +376,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU) -> DataFra
             if k == 1:
                 total = got.agg(F.sum("n_total"), F.sum("n_distinct")).first()
                 n_train, n_distinct = int(total[0] or 0), int(total[1] or 0)
-            got = got.select("chunk", "order", "bucket", "counts")
+            got = got.select("chunk", "order", "bucket", "counts", "large")
             answers = got if answers is None else answers.unionByName(got)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,6 +402,6 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU) -> DataFra
 def _with_replies(chunks: DataFrame, answers: DataFrame | None) -> DataFrame:
     """Each chunk with its answers so far (left join on the bucketed chunk number)."""
     if answers is None:
-        return chunks.withColumn("replies", F.lit(None).cast("array<struct<order:int,bucket:long,counts:binary>>"))
-    own = answers.groupBy("chunk").agg(F.collect_list(F.struct("order", "bucket", "counts")).alias("replies"))
+        return chunks.withColumn("replies", F.lit(None).cast("array<struct<order:int,bucket:long,counts:binary,large:binary>>"))
+    own = answers.groupBy("chunk").agg(F.collect_list(F.struct("order", "bucket", "counts", "large")).alias("replies"))
     return chunks.join(own.hint("shuffle_merge"), "chunk", "left")

@@ -5,6 +5,8 @@ import math
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohorta.llm import lm_scoring as M
@@ -47,6 +49,25 @@ def test_scores_equal_the_formula(spark, docs, order, mu, chunk, monkeypatch):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_counts_beyond_32_bits_are_exact():
+    hashes = [np.array([11, 22, 33], np.uint64), np.array([44, 11], np.uint64), np.array([33, 11], np.uint64)]
+    counts = [[4_000_000_000, 5, 2**31 - 2], [2**31 - 1, 4_000_000_000], [0, 4_000_000_000]]
+    table = pa.table({"bucket": [0] * 3, "chunk": [0, 1, 2], "hashes": [h.tobytes() for h in hashes],
+                      "counts": [np.array(c, "<u4").tobytes() for c in counts]})
+    replies = M._merge(table).to_pylist()
+    got = []
+    for reply, h in zip(replies, hashes):
+        row = {"sizes": [len(h)], "held": [False], "tokens": np.arange(len(h), dtype="<u4").tobytes(), "hashes": h.tobytes()}
+        c = M.Chunk(row)
+        level = c.levels[0]
+        c.levels[0] = level = M.Level(level.count[:-1], level.hashes[:-1], level.context, level.suffix, level.word[:-1])
+        c.answer(level, [reply], 1)
+        got.append((level.total.tolist(), level.shared.tolist()))
+    assert got == [([12_000_000_000, 5, 2**31 - 2], [True, False, True]), ([2**31 - 1, 12_000_000_000], [False, True]),
+                   ([2**31 - 2, 12_000_000_000], [True, True])]
+    assert replies[0]["n_total"] == 12_000_000_000 + 5 + 2**31 - 2 + 2**31 - 1
+
+
 def test_odd_rows(odd, none):
     rows = M.score_corpus(odd).collect()
     assert len(rows) == odd.count()
