@@ -3,8 +3,9 @@
 Both vocabularies break a text before BPE in a way that never depends on what
 lies beyond a word break, so a text is cut there, equal stretches are encoded
 once per worker and the ids are put together again.  The result equals
-``encode(text, add_special_tokens=False)`` of the whole text with
-``encode_special_tokens`` on (special strings in a text are ordinary text).
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` of the
+whole text.  An added token's string in a text is that token, as the library
+has it; such strings hold no white space, so no cut falls inside one.
 """
 
 from __future__ import annotations
@@ -65,7 +66,6 @@ class SegmentEncoder:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.by_word = self._drops_space()
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)

@@ -30,6 +30,24 @@ def test_segments_encode_like_whole_texts(vocab, name):
             assert ids[off[i]:off[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_the_librarys(vocab, name):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(vocab(name))
+    assert not any(c.isspace() for t in plain.get_added_tokens_decoder().values() for c in t.content)
+    added = ["<|endoftext|>", "<|startoftext|>"]
+    rng = random.Random(5)
+    parts = [*ALPHABET, *added * 6, "<|endof", "text|>", " word", "ing ", "<|EndOfText|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>  y"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    enc = SegmentEncoder(vocab(name))
+    for _ in range(2):
+        ids, off = enc.encode(pa.array(texts, pa.large_string()))
+        for i, t in enumerate(texts):
+            assert ids[off[i]:off[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert plain.token_to_id("<|endoftext|>") in ids[off[0]:off[1]]
+
+
 def test_words_are_runs_between_ascii_white_space():
     import re
     texts = ["", " a b ", "x\x0by\x1cz", " q w", "end\n", "\n"]
