@@ -309,14 +309,17 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = stored(rest.select("node", "root").distinct(), "dup-wanted")
     if not wanted.take(1):
         return roots
-    more = _linked(one, nodes, _prefix_pairs(one, wanted, threshold), threshold)
+    more = _linked(one, None, _prefix_pairs(one, wanted, threshold), threshold)
     return components(linked.unionByName(more)) if more.take(1) else roots
 
 
-def _linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs whose whole texts reach the threshold, written."""
+def _linked(rows: DataFrame, nodes: DataFrame | None, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs whose whole texts reach the threshold, written.
+
+    With ``nodes``, pairs whose sizes or signatures speak against it are left
+    unread; without, every pair's texts are read (exact pairs stay exact)."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = stored(_plausible(pairs, nodes, threshold), "dup-likely")
+    likely = stored(pairs if nodes is None else _plausible(pairs, nodes, threshold), "dup-likely")
     wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
     return stored(_verified(likely, _texts(rows, wanted), threshold), "dup-links")
 

@@ -66,6 +66,23 @@ def test_classes_equal_brute_force(spark, texts):
     assert got == dict(enumerate(brute(texts)))
 
 
+def test_exact_pairs_skip_the_signature_test(spark, texts, monkeypatch):
+    real, kept = N._linked, []
+
+    def linked(rows, nodes, pairs, threshold):
+        # the first step as it is; in the second no two signatures agree enough
+        monkeypatch.setattr(N, "LEAST_AGREEING", N.COMPONENTS + 1 if kept else least)
+        kept.append(real(rows, nodes, pairs, threshold))
+        return kept[-1]
+
+    least = N.LEAST_AGREEING
+    monkeypatch.setattr(N, "_linked", linked)
+    monkeypatch.setattr(N, "_spanning", lambda rest: rest.withColumn("root", N.F.col("node")))   # all go on
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    N.links(N.signed(df).cache(), 0.8).collect()
+    assert len(kept) == 2 and kept[1].count() > 0
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     z = []
