@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohorta.llm import (bitpack, decontamination, language_id, license_scan, lm_scoring, near_dup, packing,
-                         quality_classifier, quality_rules, url_filter)
+from cohorta.llm import (bitpack, decontamination, divergence, hard_negatives, language_id, license_scan, lm_scoring,
+                         near_dup, packing, quality_classifier, quality_rules, sharding, url_filter)
 from cohorta.llm.scratch import ready
 from cohorta.llm.tokenizer import public_path
 
@@ -61,8 +61,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents"), public_path(WORD_VOCAB))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_language_id, op3_quality_rules, op4_near_duplicates,
                             op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_bit_packed,
-                            op9_license_scan, op10_best_fit_packing)}
-SQL: dict[str, str] = {"op1_url_filter": url_filter.verdict_sql()}
+                            op9_license_scan, op10_best_fit_packing, op11_sharding, op12_divergence,
+                            op13_hard_negatives)}
+SQL: dict[str, str] = {"op1_url_filter": url_filter.verdict_sql(), "op12_divergence": divergence.divergence_sql(),
+                       "op13_hard_negatives": hard_negatives.hard_negatives_sql()}
