@@ -42,8 +42,9 @@ LEAST_DOCS = 30
 SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
-#: Postings of a block of terms, and cells of the accumulators that one task fills.
-BLOCK_POSTINGS = 500_000
+#: Postings of a block of terms (the square of the language's sources if that is more, so that no more
+#: cells leave the blocks than postings enter), and cells of the accumulators that one task fills.
+BLOCK_POSTINGS = 50_000
 BLOCK_CELLS = 1_000_000
 
 #: Each byte as itself if it belongs to a term, A-Z lower-cased, else a space.
@@ -128,7 +129,8 @@ def group_facts(docs: DataFrame, index: DataFrame) -> DataFrame:
                      *(F.coalesce(c, zero).alias(c) for c in ("n", "n_terms", "v", "lang_n", "postings"))))
     return facts.select(
         "*", share(zero, F.col("n"), F.col("v")).alias("zero"),
-        F.ceil(F.greatest(F.col("postings"), F.lit(1)) / F.lit(BLOCK_POSTINGS)).cast("int").alias("blocks"),
+        F.ceil(F.greatest(F.col("postings"), F.lit(1)) / F.greatest(F.lit(BLOCK_POSTINGS), F.col("peers") * F.col("peers")))
+        .cast("int").alias("blocks"),
         F.ceil(F.col("peers") * F.col("peers") / F.lit(BLOCK_CELLS)).cast("int").alias("rows"))
 
 

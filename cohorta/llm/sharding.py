@@ -42,6 +42,8 @@ HEAVY_SHARES = 20_000
 #: Bundles of light groups: one per class of text size, tier and bucket.
 TIERS = 6
 LEAST_BUCKETS, MOST_BUCKETS = 160, 2_000
+#: How much bytes, tokens and rows count in the dot product: where all three cannot be level, bytes are.
+WEIGHTS = (2.0, 1.0, 1.0)
 #: Parts of an oversize group hold at most this share of a shard on average.
 PART_SHARE = 0.8
 
@@ -59,9 +61,9 @@ class Placed(NamedTuple):
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each vector (components in shares of a shard), in the order given."""
-    left = np.ones((shards, vectors.shape[1]))
+    left = np.tile(np.asarray(WEIGHTS), (shards, 1))
     out = np.empty(len(vectors), np.int64)
-    for i, v in enumerate(vectors):
+    for i, v in enumerate(vectors * WEIGHTS):
         s = int(np.argmax(left @ v))
         left[s] -= v
         out[i] = s
