@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohorta.operators import blocks as B
 from cohorta.operators.filters import FilterCompiler, FilterError, flat_values_tree
-from cohorta.operators.paging import page, resolve_select
+from cohorta.operators.paging import page, resolve_select, sort_keys
 from cohorta.operators.rules import block_id_sets, is_rule_shape, rules_to_tree
 from cohorta.operators.stats import campaign_stats, scope
 from cohorta.schema import Catalog
@@ -79,17 +79,14 @@ def parse_query(df: DataFrame, request: dict, catalog: Catalog, blocks: DataFram
                     as_of_epoch=request.get("as_of_epoch"), account_id=account_id, deleted=deleted)
     count = rows.agg(F.count(F.lit(1)).alias("cnt"))
     columns = resolve_select(request.get("select"), catalog.names())
-    order_by = request.get("order_by")
-    if order_by:
-        if catalog.get(order_by) is None:
-            raise FilterError(f'invalid order_by "{order_by}"')
+    order_by, order_dir = request.get("order_by"), request.get("order_dir") or "ASC"
+    if order_by and catalog.get(order_by) is None:
+        raise FilterError(f"order_by: no column {order_by!r}")
     out = rows
     if request.get("limit") is not None:
-        out = page(rows, order_by or "id", request.get("order_dir", "ASC"),
-                   int(request["limit"]), int(request.get("offset") or 0),
-                   tie="id")
+        out = page(rows, order_by or "id", order_dir, int(request["limit"]), int(request.get("offset") or 0), tie="id")
     elif order_by:
-        out = rows.orderBy(F.col(order_by).asc_nulls_last())
+        out = rows.orderBy(*sort_keys(order_by, order_dir, "id"))
     return out.select(*columns), count
 
 

@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohorta.operators.filters import FilterCompiler
+from cohorta.operators.filters import FilterCompiler, balanced
+from cohorta.operators.segments import books, segment_members
+
+#: So many segments stand in one projection; more are evaluated as bit programs (``operators.segments``).
+FEW_SEGMENTS = 64
 
 
 def _owned(condition: Column, owner, account: str = "account_id") -> Column:
@@ -22,6 +26,7 @@ def evaluate_segments(df: DataFrame, compiled: dict[str, Column], by=("account_i
 
     One conditional count per segment is a single partial/final aggregate;
     the wide row (one per group) is then turned into one row per segment.
+    For tens of segments; ``segments.count_segments`` takes any number.
     ``owners`` (segment -> account) keeps each segment to its own account."""
     by, owners = list(by), owners or {}
     ids = list(compiled)
@@ -78,78 +83,130 @@ def queue_rows(audience: DataFrame, campaign_id: Column, channel: Column, now) -
     )
 
 
-def launch_queue(contacts: DataFrame, campaigns: DataFrame, segment_trees: dict, compiler: FilterCompiler,
-                 now, deleted_coalesce: bool = True, owners: dict[str, int] | None = None) -> DataFrame:
+def launch_queue(contacts: DataFrame, campaigns: DataFrame, segment_trees, compiler: FilterCompiler,
+                 now, deleted_coalesce: bool = True) -> DataFrame:
     """Queue rows for many campaigns in one scan of the contacts.
 
-    ``campaigns``: (id, account_id, channel, segment_id).  Each contact is
-    tagged with the saved segments of its account that it matches
-    (``segment_membership``), then joined to the campaigns on (account_id,
-    segment_id); Spark picks the join by the measured size of the campaigns."""
+    ``campaigns``: (id, account_id, channel, segment_id).  ``segment_trees``:
+    id -> tree for all accounts, or (account, id, tree) rows, each for its own
+    account.  Contacts are tagged with the segments of their account that hold
+    them, then joined to the campaigns on (account_id, segment_id); Spark picks
+    the join by the measured size of the campaigns."""
     c = contacts
     if deleted_coalesce:
         c = c.filter(F.coalesce(F.col("is_deleted"), F.lit(0)) == 0)
-    compiled = {str(k): compiler.compile(t) for k, t in segment_trees.items()}
-    cols = ["account_id", "id", "primary_key", "email", "mobile"]
-    members = segment_membership(c, compiled, keep=cols, owners=owners)
+    segments = [(None, str(k), t) for k, t in segment_trees.items()] if isinstance(segment_trees, dict) else segment_trees
+    members = segments_of(c, segments, compiler, ["account_id", "id", "primary_key", "email", "mobile"])
     camp = campaigns.select(F.col("id").alias("_campaign_id"), F.col("account_id").cast(members.schema["account_id"].dataType).alias("account_id"),
                             F.col("channel").alias("_channel"), F.col("segment_id").cast("string").alias("segment_id"))
     joined = members.join(camp, ["account_id", "segment_id"])
     return queue_rows(joined, F.col("_campaign_id"), F.col("_channel"), now)
 
 
+def segments_of(df: DataFrame, segments, compiler: FilterCompiler, keep) -> DataFrame:
+    """``keep`` and segment_id for every (account or None, id, tree) that holds a row: a few as expressions of one
+    projection, more as bit programs.  Both give the same rows."""
+    if len(segments) > FEW_SEGMENTS:
+        return segment_members(df, books(segments, compiler), keep)
+    # ids of two accounts may be equal: columns go by number, ids are put in afterwards
+    compiled = {str(i): compiler.compile(tree) for i, (_, _, tree) in enumerate(segments)}
+    found = segment_membership(df, compiled, keep, owners={str(i): owner for i, (owner, _, _) in enumerate(segments)})
+    names = F.array(*[F.lit(name) for _, name, _ in segments])
+    return found.withColumn("segment_id", F.get(names, F.col("segment_id").cast("int")))
+
+
+#: What a receipt says; together these are its identity.
+RECEIPT_FIELDS = ("message_id", "campaign_id", "channel", "status", "code", "reason", "received_at", "seq")
+NO_ID, NOT_FOUND = "no message_id", "message_id not found"
+
+
+def receipt_id() -> Column:
+    """Identity of a receipt: a hash of all that it says, as it was delivered.
+
+    Receipts that differ in any field are different ones; the same receipt
+    delivered twice is one."""
+    said = F.struct(*[F.col(c).cast("string").alias(c) for c in RECEIPT_FIELDS])
+    return F.sha2(F.to_json(said), 256).substr(1, 32)
+
+
+def has_message() -> Column:
+    return F.coalesce(F.col("message_id"), F.lit("")) != ""
+
+
+def is_unnamed() -> Column:
+    """The receipt does not say which campaign its message belongs to."""
+    return F.coalesce(F.col("campaign_id"), F.lit(0)) == 0
+
+
 def match_receipts(receipts: DataFrame, sub: DataFrame) -> DataFrame:
     """Each receipt once, with the subscriber row (``s_`` columns) it means, if any.
 
-    A receipt that names its campaign means the row of that campaign; one that
-    names none means the row of its message id in the lowest campaign.
-    Receipts without a message id match nothing and take no part in the join."""
-    bare = F.coalesce(F.col("campaign_id"), F.lit(0)) == 0
-    usable = F.coalesce(F.col("message_id"), F.lit("")) != ""
+    A receipt that names its campaign means the row of that campaign.  One that
+    names none means the row of its message id in the lowest campaign that
+    launched it (``s_launched``); rows that other receipts made do not count, so
+    its meaning does not depend on the order in which receipts come.  Receipts
+    without a message id match nothing and take no part in the join."""
     cols = [c for c in sub.columns if c != "message_id"]
-    named = (receipts.filter(usable & ~bare)
+    named = (receipts.filter(has_message() & ~is_unnamed())
              .join(sub.withColumn("campaign_id", F.col("s_campaign_id")), ["message_id", "campaign_id"], "left"))
-    one = sub.groupBy("message_id").agg(F.min_by(F.struct(*cols), F.col("s_campaign_id")).alias("_s"))
-    unnamed = receipts.filter(usable & bare).join(one, "message_id", "left").select(
+    one = sub.filter("s_launched").groupBy("message_id").agg(F.min_by(F.struct(*cols), F.col("s_campaign_id")).alias("_s"))
+    unnamed = receipts.filter(has_message() & is_unnamed()).join(one, "message_id", "left").select(
         *receipts.columns, *[F.col(f"_s.{c}").alias(c) for c in cols])
-    neither = receipts.filter(~usable).select("*", *[F.lit(None).cast(sub.schema[c].dataType).alias(c) for c in cols])
+    neither = receipts.filter(~has_message()).select("*", *[F.lit(None).cast(sub.schema[c].dataType).alias(c) for c in cols])
     return named.select(*receipts.columns, *cols).unionByName(unnamed).unionByName(neither)
 
 
-def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: bool = False,
-                   materialize=None):
-    """Delivery receipts -> (subscriber deltas, dlr events, api-log rows, rejects).
+def resolve_receipts(receipts: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """Receipts with what they mean: ``_id``, ``_campaign``, ``_channel``, ``_recipient``, the subscriber's ``s_``
+    columns, and ``_ok`` if it can be applied.
 
-    ``receipts``: message_id, campaign_id (0/NULL = unknown), channel (''/NULL
-    = unknown), status, code, reason, received_at, seq.  Looked up against
-    the merged subscriber table by ``match_receipts``.  ``materialize``
-    (e.g. ``lambda d: d.checkpoint()``) is applied to the joined frame so a
-    job writing all four outputs runs the lookup join once."""
+    Subscribers with a contact or a primary key were launched; those with neither stem from receipts."""
     have = set(subscribers.columns)
     carried = ("campaign_id", "channel", "recipient", "primary_key", "version_id", "contact_id", "attributes",
                "queue_id", "message_size", "drop_reason", "total_open", "total_click")
-    sub = subscribers.select("message_id", *[
+    signs = [F.coalesce(F.col(c).cast("string"), F.lit(none)) != none for c, none in (("contact_id", "0"), ("primary_key", ""))
+             if c in have]
+    launched = balanced(lambda a, b: a | b, signs) if signs else F.lit(True)
+    sub = subscribers.select("message_id", launched.alias("s_launched"), *[
         (F.col(c) if c in have else F.lit(None)).alias(f"s_{c}") for c in carried])
-    r = match_receipts(receipts, sub)
-    given_campaign = F.when(F.coalesce(F.col("campaign_id"), F.lit(0)) != 0, F.col("campaign_id"))
-    known = F.col("s_campaign_id").isNotNull()
-    r = r.withColumns({
+    r = match_receipts(receipts.withColumn("_id", receipt_id()), sub)
+    given_campaign = F.when(~is_unnamed(), F.col("campaign_id"))
+    return r.withColumns({
         "_campaign": F.coalesce(given_campaign, F.col("s_campaign_id")).cast("bigint"),
         "_channel": F.coalesce(F.when(F.col("channel") != "", F.col("channel")), F.col("s_channel"),
                                F.coalesce(F.col("channel"), F.lit(""))),
         "_recipient": F.coalesce(F.col("s_recipient"), F.lit("")),
-        "_ok": (known | given_campaign.isNotNull()) & (F.coalesce(F.col("message_id"), F.lit("")) != ""),
+        "_ok": (F.col("s_campaign_id").isNotNull() | given_campaign.isNotNull()) & has_message(),
     })
+
+
+def rejected_receipts(r: DataFrame) -> DataFrame:
+    """Reject rows of resolved receipts: the whole receipt and why it is not applied."""
+    return r.select(
+        F.col("_id").alias("id"), "message_id", F.col("campaign_id").cast("bigint").alias("campaign_id"), "channel",
+        F.col("status").cast("int").alias("status"), F.col("code").cast("string").alias("code"),
+        F.col("reason").cast("string").alias("reason"), F.col("received_at").cast("timestamp").alias("received_at"),
+        F.col("seq").cast("bigint").alias("seq"), F.when(has_message(), NOT_FOUND).otherwise(NO_ID).alias("error"),
+        F.to_date(F.col("received_at").cast("timestamp")).alias("dt"))
+
+
+def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: bool = False,
+                   materialize=None):
+    """Delivery receipts -> (subscriber deltas, dlr events, api-log rows, rejects).
+
+    ``receipts``: message_id, campaign_id (0/NULL = unknown), channel (''/NULL
+    = unknown), status, code, reason, received_at, seq.  Looked up against
+    the merged subscriber table by ``match_receipts``.  ``materialize``
+    (e.g. ``lambda d: d.checkpoint()``) is applied to the joined frame so a
+    job writing all four outputs runs the lookup join once."""
+    r = resolve_receipts(receipts, subscribers)
     if materialize is not None:
         r = materialize(r)
-    ok = r.filter(F.col("_ok"))
-    rejects = r.filter(~F.col("_ok")).select(
-        "message_id", F.col("campaign_id").cast("bigint").alias("campaign_id"), F.col("status").cast("int").alias("status"),
-        F.col("code").cast("string").alias("code"), F.col("reason").cast("string").alias("reason"),
-        F.col("received_at").cast("timestamp").alias("received_at"), F.col("seq").cast("bigint").alias("seq"),
-        F.when(F.coalesce(F.col("message_id"), F.lit("")) == "", F.lit("no message_id"))
-         .otherwise(F.lit("message_id not found")).alias("error"),
-        F.to_date(F.col("received_at").cast("timestamp")).alias("dt"))
+    return *receipt_rows(r.filter(F.col("_ok")), carry_forward), rejected_receipts(r.filter(~F.col("_ok")))
+
+
+def receipt_rows(ok: DataFrame, carry_forward: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(subscriber deltas, dlr events, api-log rows) of resolved receipts that can be applied."""
     ts = F.col("received_at").cast("timestamp")
     keep = (lambda c, d: F.coalesce(F.col(c), d)) if carry_forward else (lambda c, d: d)
     sub_delta = ok.select(
@@ -179,10 +236,8 @@ def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: b
         ts.alias("_ts"),
         F.col("seq").cast("bigint").alias("_seq"),
     )
-    event_id = F.sha2(F.concat_ws("|", F.col("message_id"), F.col("seq").cast("string"),
-                                  ts.cast("string")), 256).substr(1, 32)
     events = ok.select(
-        event_id.alias("id"), "message_id", F.col("_campaign").alias("campaign_id"),
+        F.col("_id").alias("id"), "message_id", F.col("_campaign").alias("campaign_id"),
         F.col("_channel").alias("channel"), F.col("status").cast("tinyint").alias("status"),
         F.col("code").cast("string").alias("code"), F.col("reason").cast("string").alias("reason"),
         ts.alias("created_at"), F.to_date(ts).alias("dt"))
@@ -200,5 +255,5 @@ def apply_receipts(receipts: DataFrame, subscribers: DataFrame, carry_forward: b
          .otherwise(F.lit("")).alias("recipient_domain"),
         F.lit("").alias("sender_domain"), F.lit("").alias("template_id"), F.lit("{}").alias("unique_arguments"),
         F.to_date(ts).alias("dt"), F.lit("upsert").alias("_op"), ts.alias("_ts"),
-        F.col("seq").cast("bigint").alias("_seq"))
-    return sub_delta, events, logs, rejects
+        F.col("seq").cast("bigint").alias("_seq"), F.col("_id").alias("_receipt"))
+    return sub_delta, events, logs

@@ -10,6 +10,7 @@ both directions.
 from __future__ import annotations
 
 import re
+from collections.abc import Container, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,30 +19,49 @@ from pyspark.sql import functions as F
 MAX_LIMIT = 10000
 MAX_KEYSET = 100
 MAX_SELECT = 40
+#: Ranges into which a deep page cuts the order of a group.
+DEEP_RANGES = 128
 
 
-def _checked(limit: int, most: int, default: int | None = None) -> int:
-    if default is not None and limit <= 0:
-        return default
-    if limit < 0 or limit > most:
-        raise ValueError(f"limit must be 0..{most}")
-    return limit
+#: Columns of a request, and of a contact list, that names none.
+DEFAULT_SELECT = ("id", "account_id", "primary_key", "email", "mobile", "email_status", "domain")
+DEFAULT_LIST = ("id", "email", "mobile", "first_name", "last_name", "city", "country", "company", "lifecycle_stage",
+                "email_status", "sms_status")
+LEAST_LIST = ("id", "email")
+_DESCENDING = {"ASC": False, "DESC": True}
+
+
+def page_size(asked: int, most: int, otherwise: int | None = None) -> int:
+    """Rows of a page; none asked for (0 or less) means ``otherwise`` where there is such a size."""
+    if asked <= 0 and otherwise is not None:
+        return otherwise
+    if asked not in range(most + 1):
+        raise ValueError(f"limit {asked} is outside 0..{most}")
+    return asked
+
+
+def descending(order_dir: str) -> bool:
+    try:
+        return _DESCENDING[str(order_dir).upper()]
+    except KeyError:
+        raise ValueError(f"order_dir {order_dir!r} is neither ASC nor DESC") from None
 
 
 def _sort(col: str, desc: bool) -> Column:
     return F.col(col).desc_nulls_last() if desc else F.col(col).asc_nulls_last()
 
 
+def sort_keys(order_by: str, order_dir: str = "ASC", tie: str | None = None) -> list[Column]:
+    """Order of a list: NULLs last in both directions, then the tie-break upwards."""
+    return [_sort(order_by, descending(order_dir)), *([_sort(tie, False)] if tie and tie != order_by else [])]
+
+
 def page(df: DataFrame, order_by: str, order_dir: str = "ASC", limit: int = 25, offset: int = 0,
          by=None, tie: str | None = None, max_limit: int = MAX_LIMIT) -> DataFrame:
     """``ORDER BY order_by [tie] LIMIT limit OFFSET offset`` — per ``by`` group
     when given (one page per account), else one global page."""
-    limit = _checked(limit, max_limit)
-    d = str(order_dir).upper()
-    if d not in ("ASC", "DESC"):
-        raise ValueError("order_dir must be ASC or DESC")
-    offset = max(0, int(offset))
-    keys = [_sort(order_by, d == "DESC")] + ([_sort(tie, False)] if tie and tie != order_by else [])
+    limit, offset = page_size(limit, max_limit), max(0, int(offset))
+    keys = sort_keys(order_by, order_dir, tie)
     if not by:
         return df.orderBy(*keys).offset(offset).limit(limit)
     by = [by] if isinstance(by, str) else list(by)
@@ -51,11 +71,60 @@ def page(df: DataFrame, order_by: str, order_dir: str = "ASC", limit: int = 25,
                  .withColumn("page_rank", F.col("_rn") - offset).drop("_rn")
 
 
+def _at_or_before(mark: Column, row_key: Column, row_tie: Column | None, desc: bool) -> Column:
+    """Whether a mark (k, t) is at or before a row in the order of a list."""
+    k = mark["k"]
+    tie = F.lit(True) if row_tie is None else F.coalesce(mark["t"] <= row_tie, row_tie.isNull())
+    ahead = k > row_key if desc else k < row_key
+    return (F.when(k.isNull() & row_key.isNull(), tie).when(k.isNull(), F.lit(False)).when(row_key.isNull(), F.lit(True))
+            .otherwise(ahead | ((k == row_key) & tie)))
+
+
+def deep_page(df: DataFrame, order_by: str, order_dir: str = "ASC", limit: int = 25, offset: int = 0,
+              by=(), tie: str | None = None, max_limit: int = MAX_LIMIT, ranges: int = DEEP_RANGES) -> DataFrame:
+    """The rows of ``page`` for offsets of any depth, with their ``page_rank``.
+
+    ``page`` keeps offset + limit rows of a group and ranks them in one task.
+    Here ``ranges`` rows of each group, chosen by a hash, mark ranges of the
+    order; one pass counts the rows of each range, so it is known which ranges
+    hold the page and how many rows lie before them, and only those are
+    sorted, each in a task of its own."""
+    limit, offset, desc = page_size(limit, max_limit), max(0, int(offset)), descending(order_dir)
+    by = [by] if isinstance(by, str) else list(by)
+    key, last = F.col(order_by), F.col(tie) if tie and tie != order_by else None
+    group = by or [F.lit(0)]
+    mark = F.struct(key.alias("k"), (F.lit(0) if last is None else last).alias("t")).alias("_mark")
+    chosen = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("_mark")))
+    marks = (df.select(*by, mark).withColumn("_n", chosen).filter(F.col("_n") <= ranges).groupBy(*by)
+             .agg(F.collect_list("_mark").alias("_marks")).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], "_marks"))
+    joined = (df.join(marks, _all([F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]), "left")
+              if by else df.join(F.broadcast(marks)))         # without groups it is one row
+    ahead = F.filter("_marks", lambda m: _at_or_before(m, key, last, desc))
+    ranged = joined.select(*df.columns, F.size(ahead).alias("_range"))
+    order = Window.partitionBy(*group).orderBy("_range")
+    counted = (ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+               .withColumn("_before", F.sum("_rows").over(order) - F.col("_rows"))
+               .filter((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_rows") > offset)))
+    wanted = counted.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(by)], F.col("_range").alias("_wr"), "_before")
+    mine = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(by)] + [F.col("_range") == F.col("_wr")]
+    inside = Window.partitionBy(*by, "_range").orderBy(*sort_keys(order_by, order_dir, tie))
+    found = ranged.join(wanted, _all(mine)).withColumn("_rn", F.col("_before") + F.row_number().over(inside))
+    return found.filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit)) \
+        .select(*df.columns, (F.col("_rn") - offset).cast("int").alias("page_rank"))
+
+
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
 def keyset_page(df: DataFrame, key: str = "id", after: int = 0, limit: int = 25, by=None,
                 max_limit: int = MAX_KEYSET) -> DataFrame:
     """``key > after ORDER BY key LIMIT limit+1``: returns ``limit`` rows plus
     ``has_more`` and ``next_after`` per group (0 means 25; above ``max_limit`` raises)."""
-    limit = _checked(limit, max_limit, 25)
+    limit = page_size(limit, max_limit, 25)
     src = df.filter(F.col(key) > F.lit(after)) if after and after > 0 else df
     by = [] if not by else ([by] if isinstance(by, str) else list(by))
     w = Window.partitionBy(*by).orderBy(F.col(key).asc_nulls_last()) if by else \
@@ -119,7 +188,8 @@ def search_subscribers(df: DataFrame, q: str = "", status: int | None = None) ->
 
 def filter_logs(df: DataFrame, dt: str = "", channel_id: int = 0, status: int | None = None,
                 q: str = "") -> DataFrame:
-    """Api-log filter; ``dt`` is compared as a DATE so partitions prune."""
+    """Api-log filter.  ``dt`` is compared as a DATE; on merged logs ask ``Warehouse.api_logs(day)`` for the day, which
+    reads its partitions only."""
     if dt:
         import datetime as _d
         df = df.filter(F.col("dt") == F.lit(_d.date.fromisoformat(dt)))
@@ -132,37 +202,31 @@ def filter_logs(df: DataFrame, dt: str = "", channel_id: int = 0, status: int |
     return df
 
 
-def resolve_select(select, catalog_names, default=("id", "account_id", "primary_key", "email",
-                                                    "mobile", "email_status", "domain"),
-                   max_select: int = MAX_SELECT) -> list[str]:
-    """Validated projection: at most ``max_select`` known columns, default 7."""
-    if select in (None, "*", ""):
+def projection(asked: Sequence[str], known: Container[str], most: int | None = None) -> tuple[list[str], list[str]]:
+    """Names in the order asked for, as (known ones, others)."""
+    if most is not None and len(asked) > most:
+        raise ValueError(f"at most {most} columns can be selected, not {len(asked)}")
+    names = [str(name).strip() for name in asked]
+    return [n for n in names if n in known], [n for n in names if n not in known]
+
+
+def resolve_select(select, catalog_names, default=DEFAULT_SELECT, max_select: int = MAX_SELECT) -> list[str]:
+    """Columns of a request: every one must be known; ``*`` or nothing means ``default``."""
+    if isinstance(select, (list, tuple)):
+        found, strange = projection(select, catalog_names, max_select)
+        if found and not strange:
+            return found
+        raise ValueError(f"unknown select columns: {', '.join(strange)}" if strange else "select names no column")
+    if select in (None, "", "*"):
         return list(default)
-    if not isinstance(select, (list, tuple)):
-        raise ValueError("select must be a list of column names")
-    if len(select) > max_select:
-        raise ValueError(f"select supports at most {max_select} columns")
-    out = []
-    for c in select:
-        if str(c) not in catalog_names:
-            raise ValueError(f'unknown select column "{c}"')
-        out.append(str(c))
-    if not out:
-        raise ValueError("select cannot be empty")
-    return out
+    raise ValueError(f"select is no list of columns: {select!r}")
 
 
-def whitelist_columns(columns, catalog_names,
-                      default=("id", "email", "mobile", "first_name", "last_name", "city", "country",
-                               "company", "lifecycle_stage", "email_status", "sms_status")) -> list[str]:
-    """List projection: unknown names ignored, ``id`` always first."""
-    cols = list(columns) if columns else list(default)
-    safe = [c.strip() for c in cols if c.strip() in catalog_names]
-    if not safe:
-        return ["id", "email"]
-    if "id" not in safe:
-        safe.insert(0, "id")
-    return safe
+def whitelist_columns(columns, catalog_names, default=DEFAULT_LIST) -> list[str]:
+    """Columns of a contact list: others than known ones are passed over, ``id`` is always there."""
+    found, _ = projection(columns or default, catalog_names)
+    found = found or list(LEAST_LIST)
+    return found if "id" in found else ["id", *found]
 
 
 def list_contacts(df: DataFrame, catalog_names, q: str = "", limit: int = 25, after_id: int = 0,
@@ -170,7 +234,7 @@ def list_contacts(df: DataFrame, catalog_names, q: str = "", limit: int = 25, af
     """Contact list: whitelisted columns (``id`` always), search, keyset page
     by id (offset only when there is no cursor), ``has_more`` and
     ``next_after`` per account."""
-    limit = _checked(limit, max_limit, 25)
+    limit = page_size(limit, max_limit, 25)
     cols = whitelist_columns(columns, catalog_names)
     src = search_contacts(df, q)
     if after_id and after_id > 0:

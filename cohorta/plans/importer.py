@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohorta import schema as S
 from cohorta.functions.coerce import email_domain, epoch_or_timestamp, safe_cast, safe_int
+from cohorta.session import scratch_dir
 from cohorta.sources.readers import read_source, source_columns
 from cohorta.sources.warehouse import Warehouse
 from cohorta.sources.writers import observed
@@ -24,6 +25,14 @@ DEFAULT_ZERO = ("is_deleted", "is_preview", "is_opened", "is_clicked")
 NOW_TIMESTAMPS = ("created_at", "updated_at", "subscribed_on")
 
 
+def _parsed(wh: Warehouse, path: str) -> DataFrame:
+    """The rows of a source, parsed once: what is taken and what is rejected read them from the shared folder."""
+    src = read_source(wh.spark, path)
+    kept = scratch_dir(wh.spark, "import-rows")
+    src.write.mode("overwrite").parquet(kept)
+    return wh.spark.read.schema(src.schema).parquet(kept)
+
+
 def _src(cols: dict[str, str], name: str):
     real = cols.get(name.lower())
     return F.col(f"`{real}`") if real else F.lit(None).cast("string")
@@ -39,7 +48,11 @@ def canonical_contacts(src: DataFrame, account_id: int, now: _dt.datetime,
     for f in target.fields:
         name, kind = f.name, f.metadata["kind"]
         s = _src(cols, name)
-        if name == "account_id":
+        derived = name in ("account_id", "primary_key", "domain") or name in NOW_TIMESTAMPS
+        if name.lower() not in cols and not derived:
+            default = 1 if name in DEFAULT_ONE else 0 if name in DEFAULT_ZERO else None
+            c = F.lit(default)          # nothing to parse
+        elif name == "account_id":
             c = F.lit(int(account_id)).cast("bigint")
         elif name == "primary_key":
             # the parsed id (not its raw text such as ' 7 ' or '7.0') is the last fallback
@@ -139,14 +152,14 @@ def _rejected(wh: Warehouse, src: DataFrame, bad: Column, table: str, path: str,
 
 
 def import_contacts(wh: Warehouse, path: str, account_id: int, mode: str = "delta",
-                    now: _dt.datetime | None = None, multi_line: bool = False) -> dict:
+                    now: _dt.datetime | None = None) -> dict:
     """Import a file into the contact table; ``mode`` snapshot replaces the
     account's snapshot partition (also by an empty one), delta appends a change
     batch.  Rows without a numeric id go to ``import_reject``."""
     if mode not in ("", "delta", "snapshot"):
         raise ValueError("mode must be snapshot or delta")
     now = _now(now)
-    src = read_source(wh.spark, path, multi_line)
+    src = _parsed(wh, path)
     seen = Observation("import_contacts")
     rows = canonical_contacts(src, account_id, now).observe(seen, F.count(F.lit(1)).alias("rows"))
     if mode == "snapshot":
@@ -159,11 +172,11 @@ def import_contacts(wh: Warehouse, path: str, account_id: int, mode: str = "delt
 
 
 def import_subscribers(wh: Warehouse, path: str, campaign_id: int, mode: str = "delta",
-                       now: _dt.datetime | None = None, multi_line: bool = False) -> dict:
+                       now: _dt.datetime | None = None) -> dict:
     """Import recipients of one campaign.  Rows that name another campaign, or no
     numeric contact id, go to ``import_reject``; other campaigns are never touched."""
     now = _now(now)
-    src = read_source(wh.spark, path, multi_line)
+    src = _parsed(wh, path)
     cols = source_columns(src)
     own = F.coalesce(safe_int(_src(cols, "campaign_id"), "bigint"), F.lit(int(campaign_id)).cast("bigint")) == int(campaign_id)
     no_id = safe_int(_src(cols, "contact_id"), "bigint").isNull()
@@ -177,10 +190,9 @@ def import_subscribers(wh: Warehouse, path: str, campaign_id: int, mode: str = "
             "rejected": _rejected(wh, src, no_id | ~own, "campaign_sub", path, "no contact id or another campaign", now)}
 
 
-def import_activity(wh: Warehouse, path: str, dt: str, now: _dt.datetime | None = None,
-                    multi_line: bool = False) -> dict:
+def import_activity(wh: Warehouse, path: str, dt: str, now: _dt.datetime | None = None) -> dict:
     now = _now(now)
-    src = read_source(wh.spark, path, multi_line)
+    src = _parsed(wh, path)
     seen = Observation("import_activity")
     wh.append("campaign_activity", canonical_activity(src, dt, now).observe(seen, F.count(F.lit(1)).alias("rows")))
     no_id = safe_int(_src(source_columns(src), "id"), "bigint").isNull()

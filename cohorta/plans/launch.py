@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from cohorta import schema as S
 from cohorta.operators.audience import to_tree
-from cohorta.operators.campaigns import apply_receipts, launch_queue
+from cohorta.operators.campaigns import (NOT_FOUND, RECEIPT_FIELDS, launch_queue, receipt_id, receipt_rows,
+                                         rejected_receipts, resolve_receipts)
 from cohorta.operators.filters import FilterCompiler
 from cohorta.session import scratch_dir
-from cohorta.sources.readers import conform
-from cohorta.sources.warehouse import Warehouse
+from cohorta.sources.readers import conform, has_parquet
+from cohorta.sources.warehouse import Warehouse, not_in
 
 
 def campaign_changes(campaigns: DataFrame, now: _dt.datetime, op: str = "upsert") -> DataFrame:
@@ -29,21 +30,16 @@ def campaign_changes(campaigns: DataFrame, now: _dt.datetime, op: str = "upsert"
     return conform(rows, S.with_change_columns(S.CAMPAIGN))
 
 
-def campaign_segments(wh: Warehouse, campaigns: DataFrame) -> tuple[dict[str, dict], dict[str, int]]:
-    """(tree, owner account) of the saved segments that ``campaigns`` use.
+def campaign_segments(wh: Warehouse, campaigns: DataFrame) -> list[tuple[int, str, dict]]:
+    """(account, id, tree) of the saved segments that ``campaigns`` use.
 
-    Segments are matched within the campaign's account; what comes to the
-    driver is one row per segment used, as metadata is."""
+    Segments are matched within the campaign's account, where their ids are
+    unique; what comes to the driver is the trees that must be compiled there."""
     used = campaigns.select(F.col("account_id").cast("bigint").alias("account_id"),
                             F.col("segment_id").cast("string").alias("id")).distinct()
     rows = wh.segments().join(used, ["account_id", "id"]).select("account_id", "id", "filter_json").collect()
-    trees, owners = {}, {}
-    for r in rows:
-        if r.id in trees:
-            raise ValueError(f"segment id {r.id} is used by accounts {owners[r.id]} and {r.account_id}")
-        trees[r.id] = to_tree(json.loads(r.filter_json), S.Catalog(S.CONTACT))
-        owners[r.id] = int(r.account_id)
-    return trees, owners
+    catalog = S.Catalog(S.CONTACT)
+    return [(int(r.account_id), r.id, to_tree(json.loads(r.filter_json), catalog)) for r in rows]
 
 
 def launch_campaigns(wh: Warehouse, campaigns: DataFrame, segment_trees: dict | None = None,
@@ -51,26 +47,26 @@ def launch_campaigns(wh: Warehouse, campaigns: DataFrame, segment_trees: dict |
     """Materialise the send queue of ``campaigns`` (id, account_id, channel,
     segment_id, ...) and mark them running.  Returns (campaign_id, queued).
 
-    Segments come from the segment table unless ``segment_trees`` gives them.
-    Only the accounts of the campaigns are read, below the merge.
+    Segments come from the segment table unless ``segment_trees`` (id -> tree,
+    for all accounts) gives them.  Only contacts of the campaigns' accounts
+    are read and merged, by a semi-join below the merge.
 
     ``only_new`` skips contacts already queued for the campaign (otherwise a
     second launch rewrites all rows, resetting their state)."""
     now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    owners: dict[str, int] = {}
     if segment_trees is None:
-        segment_trees, owners = campaign_segments(wh, campaigns)
-    if not segment_trees:
+        segments = campaign_segments(wh, campaigns)
+    else:
+        segments = [(None, str(k), tree) for k, tree in segment_trees.items()]
+    if not segments:
         return wh.spark.createDataFrame([], "campaign_id bigint, queued bigint")
-    # campaigns are metadata: their accounts and ids prune partitions
-    meta = campaigns.select(F.col("id").cast("bigint"), F.col("account_id").cast("bigint")).distinct().collect()
-    accounts = sorted({int(r.account_id) for r in meta if r.account_id is not None})
-    contacts = wh.table("contact", F.col("account_id").isin(accounts))
+    accounts = campaigns.select(F.col("account_id").cast("bigint").alias("account_id")).distinct()
+    contacts = wh.table("contact", keys=accounts)
     comp = FilterCompiler(S.Catalog(S.CONTACT), {f.name: f.dataType for f in contacts.schema.fields})
-    queue = launch_queue(contacts, campaigns, segment_trees, comp, now, owners=owners)
+    queue = launch_queue(contacts, campaigns, segments, comp, now)
     if only_new:
-        ids = sorted({int(r.id) for r in meta if r.id is not None})
-        queued = wh.table("campaign_sub", F.col("campaign_id").isin(ids)).select("campaign_id", "message_id")
+        ids = campaigns.select(F.col("id").cast("bigint").alias("campaign_id")).distinct()
+        queued = wh.table("campaign_sub", keys=ids).select("campaign_id", "message_id")
         queue = queue.join(queued, ["campaign_id", "message_id"], "left_anti")
     day = now.date()
     # written once to the shared folder: the queue is stored and counted from there
@@ -83,34 +79,71 @@ def launch_campaigns(wh: Warehouse, campaigns: DataFrame, segment_trees: dict |
         .withColumns({"status": F.lit("running"), "launched_at": F.lit(now).cast("timestamp"),
                       "queued_cnt": F.coalesce(F.col("queued"), F.lit(0)).cast("bigint")})
     wh.write_delta("campaign", campaign_changes(done, now), day)
+    settle_receipts(wh, queue)          # receipts that came before their message was launched
     return counts
 
 
-def apply_receipt_batch(wh: Warehouse, receipts: DataFrame, carry_forward: bool = False,
-                        day: _dt.date | None = None) -> DataFrame:
-    """Ingest receipts: subscriber deltas, events, logs and rejects are stored;
-    returns the rejected receipts.
+# -- receipts --------------------------------------------------------------------------------------------
+# What the tables hold depends on the set of receipts alone, not on how they were cut into batches, in which
+# order these came or how often:
+#   * a receipt is identified by all its fields; its event is written last and says that it is applied;
+#   * one that names no campaign means a launched message.  Until that is launched it waits among the
+#     rejects, where the launch finds it (``settle_receipts``).
+
 
-    Deltas and logs are merge-keyed, events and rejects are added only if the
-    table lacks them, so the same batch may be applied again."""
-    have = scratch_dir(wh.spark, "receipts")
+def _kept(wh: Warehouse, df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(wh.spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return wh.spark.read.schema(df.schema).parquet(path)
 
-    def kept(df: DataFrame) -> DataFrame:
-        """The lookup join, once, in the shared folder: it feeds all four sinks."""
-        df.write.mode("overwrite").parquet(have)
-        return wh.spark.read.schema(df.schema).parquet(have)
 
-    sub_delta, events, logs, rejects = apply_receipts(receipts, wh.subscribers_for(receipts), carry_forward,
-                                                      materialize=kept)
-    if day is None:
-        day = receipts.agg(F.max(F.to_date("received_at"))).first()[0] or _dt.date.today()
+def _apply(wh: Warehouse, r: DataFrame, days: list, day: _dt.date, carry_forward: bool) -> None:
+    """Store what resolved receipts do.  Deltas are merge-keyed, logs and events are added only if the table lacks them,
+    and events come last, so a batch that failed anywhere may run again."""
+    sub_delta, events, logs = receipt_rows(r, carry_forward)
     wh.write_delta("campaign_sub", sub_delta, day)
-    wh.append_new("dlr_event", events, ("id",))
-    wh.append_new("api_logs", logs, ("message_id", "updated_at", "_seq", "status"))
-    wh.append_new("dlr_reject", rejects, ("message_id", "seq", "received_at", "status", "code"))
+    wh.append_new("api_logs", logs, ("_receipt",), days)
+    wh.append_new("dlr_event", events, ("id",), days)
+
+
+def _days(df: DataFrame) -> list:
+    return [r[0] for r in df.select(F.to_date("received_at")).distinct().collect()]
+
+
+def _last(days: list) -> _dt.date:
+    return max((d for d in days if d is not None), default=_dt.date.today())
+
+
+def apply_receipt_batch(wh: Warehouse, receipts: DataFrame, carry_forward: bool = False,
+                        day: _dt.date | None = None) -> DataFrame:
+    """Ingest receipts: subscriber deltas, events, logs and rejects are stored;
+    returns the rejects of the batch.
+
+    The same batch may be applied again, and batches in any order."""
+    own = _kept(wh, receipts.select(*RECEIPT_FIELDS).withColumns({
+        "id": receipt_id(), "dt": F.to_date("received_at")}).dropDuplicates(["id"]), "receipts")
+    days = _days(own)
+    fresh = not_in(own, wh.days_of("dlr_event", own, days).select("dt", "id"), ["dt", "id"]).select(*RECEIPT_FIELDS)
+    r = _kept(wh, resolve_receipts(fresh, wh.subscribers_for(fresh)), "resolved")
+    rejects = rejected_receipts(r.filter("not _ok"))
+    wh.append_new("dlr_reject", rejects, ("id",), days)
+    _apply(wh, r.filter("_ok"), days, day or _last(days), carry_forward)
     return rejects
 
 
+def settle_receipts(wh: Warehouse, messages: DataFrame | None = None, carry_forward: bool = False,
+                    day: _dt.date | None = None) -> None:
+    """Apply waiting receipts whose message is launched by now; ``messages`` (message_id) restricts it to these."""
+    if not has_parquet(wh.spark, wh.path("dlr_reject")):
+        return
+    waiting = wh.open_rejects(messages).filter(F.col("error") == NOT_FOUND).select(*RECEIPT_FIELDS)
+    held = _kept(wh, waiting, "waiting")
+    known = _kept(wh, resolve_receipts(held, wh.subscribers_for(held)).filter("_ok"), "settled")
+    days = _days(known)
+    if days:
+        _apply(wh, known, days, day or _last(days), carry_forward)
+
+
 def save_segments(wh: Warehouse, segments: DataFrame) -> None:
     """Append saved segments (id, account_id, name, filter_json, created_at, updated_at)."""
     wh.append("segment", conform(segments, S.SEGMENT))

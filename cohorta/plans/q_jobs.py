@@ -281,7 +281,7 @@ UNION ALL SELECT t, CAST(count(DISTINCT CAST(received_at AS DATE)) AS BIGINT), C
   FROM ok, (VALUES ('dlr_event'), ('api_logs')) v(t) GROUP BY t""")
 def q_table_inventory(spark, sf_dir):
     wh = _receipt_warehouse(spark, sf_dir, "inventory")
-    return wh.inventory().select("table_part", "partitions", "rows")
+    return wh.inventory().select("table_part", "partitions", "rows")      # the number of files is Spark's choice
 
 
 # -- S16: full rewrite -----------------------------------------------------------------------------------------------------

@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 
 from cohorta import schema as S
 from cohorta.operators.audience import audience, parse_query
-from cohorta.operators.campaigns import apply_receipts
-from cohorta.operators.paging import filter_logs, list_segments
+from cohorta.operators.campaigns import apply_receipts, receipt_id
+from cohorta.operators.filters import FilterCompiler
+from cohorta.operators.paging import deep_page, filter_logs, list_segments
+from cohorta.operators.segments import books, count_segments, segment_members
 from cohorta.plans.compaction import compact
 from cohorta.plans.derived import (AS_OF, CAMPAIGN_SUB_SQL, LAKE_CONTACT_SQL, RECEIPTS_SQL, campaign_sub_df,
                                    lake_contact_df, receipts_df, tables)
-from cohorta.plans.launch import apply_receipt_batch, launch_campaigns, save_segments
+from cohorta.plans.importer import import_contacts
+from cohorta.plans.launch import apply_receipt_batch, launch_campaigns, save_segments, settle_receipts
 from cohorta.plans.q_jobs import (COMPACT_SQL, RAW_CONTACTS_SQL, SEC, SEC_SQL, _imported_contacts, _receipt_warehouse,
                                   _sub_snapshot)
 from cohorta.plans.registry import register
 from cohorta.schema import sftp_catalog_for
 from cohorta.session import scratch_dir
-from cohorta.sources.readers import conform
+from cohorta.sources.readers import conform, read_source
 from cohorta.sources.warehouse import Warehouse
 from cohorta.sources.writers import delete_files, write_parquet
 from cohorta.streaming.streams import RECEIPT_SCHEMA, run_dedup_stream, run_receipt_stream
@@ -76,7 +79,7 @@ subs AS (SELECT campaign_id, 'm' || CAST(_seq AS VARCHAR) AS message_id, recipie
          UNION ALL SELECT campaign_id + 100, 'm' || CAST(_seq AS VARCHAR), 'second-' || recipient FROM campaign_sub),
 rec AS (SELECT 'm' || CAST((seq - seq % 8) // 8 AS VARCHAR) AS message_id, seq, status,
                CASE WHEN seq % 2 <> 0 OR campaign_id = 0 THEN 0 WHEN seq % 3 = 0 THEN campaign_id + 100 ELSE campaign_id END AS campaign_id
-        FROM receipts WHERE message_id LIKE 'email-%'),
+        FROM receipts),
 lowest AS (SELECT message_id, min(campaign_id) AS campaign_id FROM subs GROUP BY message_id)
 SELECT r.message_id, r.seq, r.status, s.campaign_id, s.recipient
 FROM rec r JOIN subs s ON s.message_id = r.message_id AND s.campaign_id = r.campaign_id WHERE r.campaign_id <> 0
@@ -88,7 +91,7 @@ def q_receipts_two_campaigns(spark, sf_dir):
     subs = _shared_ids(campaign_sub_df(spark, sf_dir), False)
     second = subs.withColumns({"campaign_id": F.col("campaign_id") + 100,
                                "recipient": F.concat(F.lit("second-"), F.col("recipient"))})
-    rec = _shared_ids(receipts_df(spark, sf_dir).filter(F.col("message_id").startswith("email-")), True)
+    rec = _shared_ids(receipts_df(spark, sf_dir), True)
     rec = rec.withColumn("campaign_id", F.when((F.col("campaign_id") != 0) & (F.col("seq") % 3 == 0),
                                                F.col("campaign_id") + 100).otherwise(F.col("campaign_id")))
     delta = apply_receipts(rec, subs.unionByName(second))[0]
@@ -103,10 +106,38 @@ WHERE s.campaign_id IS NULL AND COALESCE(r.campaign_id, 0) = 0""")
 def q_receipt_reject_table(spark, sf_dir):
     wh = Warehouse(spark, scratch_dir(spark, "rejects"))
     wh.write_snapshot("campaign_sub", _sub_snapshot(spark, sf_dir))
-    doubtful = receipts_df(spark, sf_dir).filter("coalesce(campaign_id, 0) = 0")
+    receipts = receipts_df(spark, sf_dir)
     for _ in range(2):
-        apply_receipt_batch(wh, doubtful)
-    return wh.append_table("dlr_reject").select("message_id", "seq", "status", "error", F.col("dt").cast("string").alias("dt"))
+        apply_receipt_batch(wh, receipts)
+    return wh.open_rejects().select("message_id", "seq", "status", "error", F.col("dt").cast("string").alias("dt"))
+
+
+# -- K4, X1: receipts that come before their message is launched ---------------------------------------------------
+@register("receipts_before_launch", f"""WITH {CAMPAIGN_SUB_SQL}, {RECEIPTS_SQL},
+rec AS (SELECT DISTINCT message_id, CAST(CASE WHEN seq % 3 = 0 THEN 0 ELSE campaign_id END AS BIGINT) AS campaign_id, status, code,
+               reason, date_trunc('month', received_at) AS received_at, seq FROM receipts),
+sent AS (SELECT message_id, min(campaign_id) AS campaign_id FROM campaign_sub GROUP BY message_id),
+told AS (SELECT r.*, CASE WHEN r.campaign_id <> 0 THEN r.campaign_id ELSE s.campaign_id END AS meant
+         FROM rec r LEFT JOIN sent s ON s.message_id = r.message_id)
+SELECT COALESCE(meant, 0) AS campaign_id, status, reason, code, meant IS NOT NULL AS applied, CAST(count(*) AS BIGINT) AS receipts,
+       CAST(sum(seq) AS BIGINT) AS seqs
+FROM told GROUP BY ALL""")
+def q_receipts_before_launch(spark, sf_dir):
+    """Unnamed receipts first, then the others, then all of them again; the messages are launched in between."""
+    wh = Warehouse(spark, scratch_dir(spark, "before-launch"))
+    rec = conform(receipts_df(spark, sf_dir).withColumns({
+        "campaign_id": F.when(F.col("seq") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("campaign_id")),
+        "received_at": F.date_trunc("month", "received_at")}), RECEIPT_SCHEMA)
+    subs = _sub_snapshot(spark, sf_dir)
+    apply_receipt_batch(wh, rec.filter("campaign_id = 0"))
+    wh.write_snapshot("campaign_sub", subs)
+    settle_receipts(wh, subs)
+    apply_receipt_batch(wh, rec)
+    done = wh.append_table("dlr_event").select("id", "campaign_id", F.lit(True).alias("applied"))
+    left = wh.open_rejects().select("id", F.lit(0).cast("bigint").alias("campaign_id"), F.lit(False).alias("applied"))
+    said = rec.select(receipt_id().alias("id"), "status", "code", "reason", "seq").distinct()
+    return done.union(left).join(said, "id").groupBy("campaign_id", "status", "reason", "code", "applied").agg(
+        F.count("*").alias("receipts"), F.sum("seq").cast("bigint").alias("seqs"))
 
 
 # -- X1, X3: receipts far older than any seen before, and repeats of them ----------------------------------------------
@@ -164,7 +195,7 @@ def q_parse_query(spark, sf_dir):
     return rows.join(count)     # one row of counts beside the page
 
 
-# -- F38 by day ----------------------------------------------------------------------------------------------------------------
+# -- F38 by day: partitions before the day are not read -------------------------------------------------------------------------
 @register("list_logs_day", f"""WITH {CAMPAIGN_SUB_SQL}, {RECEIPTS_SQL},
 ok AS (SELECT r.* FROM receipts r LEFT JOIN campaign_sub s ON s.message_id = r.message_id AND s.campaign_id = r.campaign_id
        WHERE s.campaign_id IS NOT NULL OR COALESCE(r.campaign_id, 0) <> 0),
@@ -173,7 +204,7 @@ SELECT message_id, status, CAST(CAST(received_at AS DATE) AS VARCHAR) AS dt FROM
 WHERE rn = 1 AND CAST(received_at AS DATE) = DATE '1996-03-14'""")
 def q_list_logs_day(spark, sf_dir):
     wh = _receipt_warehouse(spark, sf_dir, "logs-day", sinks=("api_logs",))
-    f = filter_logs(wh.api_logs(), dt="1996-03-14")
+    f = filter_logs(wh.api_logs(_dt.date(1996, 3, 14)))
     return f.select("message_id", F.col("status").cast("int"), F.col("dt").cast("string").alias("dt"))
 
 
@@ -242,12 +273,122 @@ ok AS (SELECT DISTINCT r.* FROM receipts r LEFT JOIN campaign_sub s ON s.message
 SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS dt, CAST(count(*) AS BIGINT) AS events FROM ok GROUP BY 1""")
 def q_stream_replay(spark, sf_dir):
     root = scratch_dir(spark, "stream-replay")
-    # a receipt without a campaign may be rejected at first and find its message, made by
-    # another receipt, when applied again; those that name theirs mean the same each time
-    named = receipts_df(spark, sf_dir).filter("campaign_id <> 0")
-    write_parquet(conform(named, RECEIPT_SCHEMA).repartition(4), f"{root}/in", "overwrite")
+    write_parquet(conform(receipts_df(spark, sf_dir), RECEIPT_SCHEMA).repartition(4), f"{root}/in", "overwrite")
     wh = Warehouse(spark, f"{root}/wh")
     wh.write_snapshot("campaign_sub", _sub_snapshot(spark, sf_dir))
     run_receipt_stream(spark, wh, f"{root}/in", f"{root}/first")
     run_receipt_stream(spark, wh, f"{root}/in", f"{root}/second")     # progress lost: every batch runs again
     return wh.append_table("dlr_event").groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count("*").alias("events"))
+
+
+# -- T1: a page deep in a group ---------------------------------------------------------------------------------------------------
+@register("page_deep", """SELECT l_returnflag, l_extendedprice, l_orderkey * 8 + l_linenumber AS line, CAST(rn - 9000 AS INTEGER) AS page_rank
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey * 8 + l_linenumber) AS rn
+      FROM lineitem) WHERE rn > 9000 AND rn <= 9040""")
+def q_page_deep(spark, sf_dir):
+    (lineitem,) = tables(spark, sf_dir, "lineitem")
+    lines = lineitem.select("l_returnflag", "l_extendedprice", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"))
+    return deep_page(lines, "l_extendedprice", "DESC", 40, 9000, by="l_returnflag", tie="line")
+
+
+# -- T1: order without a limit ------------------------------------------------------------------------------------------------------
+@register("parse_query_ordered", f"""{WITH_CONTACT}
+SELECT id, f31, CAST(ROW_NUMBER() OVER (ORDER BY f31 DESC NULLS LAST, id) AS BIGINT) AS place
+FROM contact WHERE account_id = 9 AND is_deleted = 0 AND f30 <> 'MACHINERY'""")
+def q_parse_query_ordered(spark, sf_dir):
+    df = lake_contact_df(spark, sf_dir)
+    rows, _ = parse_query(df, {"account_id": 9, "select": ["id", "f31"], "order_by": "f31", "order_dir": "desc",
+                               "filter": {"op": "neq", "field": "f30", "value": "MACHINERY"}}, sftp_catalog_for(df))
+    # the order of the answer itself is what is shown
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+# -- K1: a saved segment for each part, evaluated as bit programs -----------------------------------------------------------------------
+SEGMENTS_SQL = f"""{WITH_CONTACT},
+seg AS (SELECT CAST(p_partkey % 25 AS BIGINT) AS account_id, 'part' || CAST(p_partkey AS VARCHAR) AS id, 25 + p_size % 46 AS age,
+               ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][1 + p_partkey % 5] AS market,
+               p_partkey % 3 = 0 AS negated, p_partkey % 7 AS status FROM part),
+hit AS (SELECT s.account_id, s.id AS segment_id, c.id,
+               (c.f31 >= s.age OR c.f30 = s.market) AND (c.email_status <> s.status OR c.f6 IS NULL) AS inner_test, s.negated
+        FROM seg s JOIN contact c ON CAST(c.account_id AS BIGINT) = s.account_id)"""
+
+
+def _part_segments(spark, sf_dir):
+    """(account, id, tree) for each part."""
+    (part,) = tables(spark, sf_dir, "part")
+    markets = ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"]
+    out = []
+    for r in part.select("p_partkey", "p_size").toLocalIterator():
+        tree = {"op": "and", "children": [
+            {"op": "or", "children": [{"op": "gte", "field": "f31", "value": 25 + r.p_size % 46},
+                                      {"op": "eq", "field": "f30", "value": markets[r.p_partkey % 5]}]},
+            {"op": "or", "children": [{"op": "neq", "field": "email_status", "value": r.p_partkey % 7},
+                                      {"op": "is_null", "field": "f6"}]}]}
+        out.append((r.p_partkey % 25, f"part{r.p_partkey}",
+                    {"op": "not", "children": [tree]} if r.p_partkey % 3 == 0 else tree))
+    return out
+
+
+def _part_books(spark, sf_dir):
+    df = lake_contact_df(spark, sf_dir)
+    return df, books(_part_segments(spark, sf_dir), FilterCompiler(sftp_catalog_for(df), {f.name: f.dataType for f in df.schema.fields}))
+
+
+@register("segments_many", f"""{SEGMENTS_SQL}
+SELECT account_id, segment_id, CAST(count(*) FILTER (CASE WHEN negated THEN NOT inner_test ELSE inner_test END) AS BIGINT) AS cnt
+FROM hit GROUP BY account_id, segment_id""")
+def q_segments_many(spark, sf_dir):
+    df, of = _part_books(spark, sf_dir)
+    return count_segments(df, of).withColumn("account_id", F.col("account_id").cast("bigint"))
+
+
+@register("segments_many_members", f"""{SEGMENTS_SQL}
+SELECT account_id, id, segment_id FROM hit WHERE CASE WHEN negated THEN NOT inner_test ELSE inner_test END""")
+def q_segments_many_members(spark, sf_dir):
+    df, of = _part_books(spark, sf_dir)
+    return segment_members(df, of).withColumn("account_id", F.col("account_id").cast("bigint"))
+
+
+# -- S1: quoted line breaks ---------------------------------------------------------------------------------------------------------
+@register("import_line_breaks", """SELECT c_custkey AS id, 'line one' || chr(10) || c_name || ', "' || c_mktsegment || '"' || chr(10) || chr(10) AS address,
+'x' || CAST(c_custkey AS VARCHAR) AS city FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, c_name, 'x' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0""")
+def q_import_line_breaks(spark, sf_dir):
+    (customer,) = tables(spark, sf_dir, "customer")
+    root = scratch_dir(spark, "line-breaks")
+    k = F.col("c_custkey")
+    note = F.when(k % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("line one\n"), F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"),
+                                                                   F.lit('"\n\n')))
+    customer.select(k.cast("string").alias("id"), note.alias("address"), F.concat(F.lit("x"), k.cast("string")).alias("city")) \
+        .coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"') \
+        .option("ignoreTrailingWhiteSpace", False).csv(f"{root}/src/contacts.csv")
+    rows = read_source(spark, f"{root}/src/contacts.csv")
+    return rows.select(F.col("id").cast(customer.schema["c_custkey"].dataType).alias("id"), "address", "city")
+
+
+# -- S2, S3: a Parquet file and a folder of Parquet files as import sources ------------------------------------------------------------
+@register("import_parquet", """SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS first_name, CAST(11 AS BIGINT) AS account_id FROM customer
+UNION ALL SELECT CAST(c_custkey AS BIGINT), 'folder ' || c_name, CAST(12 AS BIGINT) FROM customer""")
+def q_import_parquet(spark, sf_dir):
+    (customer,) = tables(spark, sf_dir, "customer")
+    root = scratch_dir(spark, "import-parquet")
+    src = customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("folder "), F.col("c_name")).alias("first_name"))
+    src.repartition(3).write.mode("overwrite").parquet(f"{root}/folder/below")
+    src.withColumn("first_name", F.substring("first_name", 8, 200)).write.mode("overwrite").parquet(f"{root}/one.parquet")
+    wh = Warehouse(spark, f"{root}/wh")
+    import_contacts(wh, f"{root}/one.parquet", 11, mode="snapshot", now=AS_OF)
+    import_contacts(wh, f"{root}/folder", 12, mode="snapshot", now=AS_OF)
+    return wh.contact().select("id", "first_name", "account_id")
+
+
+# -- J4, T5: rows by message id ---------------------------------------------------------------------------------------------------------
+@register("lookup_messages", f"""WITH {CAMPAIGN_SUB_SQL}
+SELECT campaign_id, message_id, recipient FROM campaign_sub
+WHERE message_id IN (SELECT 'email-' || CAST(s_suppkey % 20 + 1 AS VARCHAR) || '-' || CAST(s_suppkey AS VARCHAR) FROM supplier)""")
+def q_lookup_messages(spark, sf_dir):
+    wh = Warehouse(spark, scratch_dir(spark, "lookup"))
+    wh.write_snapshot("campaign_sub", _sub_snapshot(spark, sf_dir))
+    (supplier,) = tables(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    keys = supplier.select(F.concat(F.lit("email-"), (k % 20 + 1).cast("string"), F.lit("-"), k.cast("string")).alias("message_id"))
+    return wh.lookup("campaign_sub", keys).select("campaign_id", "message_id", "recipient")

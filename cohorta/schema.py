@@ -248,9 +248,9 @@ API_LOGS = _simple(
 RECEIPT = _simple(
     "message_id varchar, campaign_id bigint, channel varchar, status integer, code varchar, reason varchar, "
     "received_at timestamp, seq bigint, dt date")
-#: Receipts and import rows that could not be applied, kept with their reason.
+#: Receipts that could not be applied, whole, with their identity and the reason.
 DLR_REJECT = _simple(
-    "message_id varchar, campaign_id bigint, status integer, code varchar, reason varchar, "
+    "id varchar, message_id varchar, campaign_id bigint, channel varchar, status integer, code varchar, reason varchar, "
     "received_at timestamp, seq bigint, error varchar, dt date")
 IMPORT_REJECT = _simple(
     "table_name varchar, source varchar, row varchar, error varchar, rejected_at timestamp, dt date")
@@ -261,6 +261,10 @@ def with_change_columns(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + CHANGE_FIELDS)
 
 
+#: Log rows as stored, with the receipt that each stands for: two receipts may log the same.
+API_LOGS_STORED = T.StructType([*with_change_columns(API_LOGS).fields, T.StructField("_receipt", T.StringType(), True)])
+
+
 def stored_layout(schema: T.StructType) -> T.StructType:
     """Change rows as the warehouse stores them, with the tie value."""
     return T.StructType([*with_change_columns(schema).fields, T.StructField("_tie", T.LongType(), True)])

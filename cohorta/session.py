@@ -27,6 +27,10 @@ RECOMMENDED_CONF = {
     # tasks for a small rebalanced output instead of one task writing every
     # partition value serially (large shuffles are unaffected)
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # looked-up keys are tested one by one against the bloom filters of row groups
+    "spark.sql.parquet.pushdown.inFilterThreshold": "500",
+    # a table of thousands of days is listed by some tasks, not by one task a day
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
 }
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohorta.sources.csvfile import read_csv
+
 
 def _jvm_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -31,20 +36,44 @@ def has_parquet(spark: SparkSession, path: str) -> bool:
     return False
 
 
-def read_source(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def data_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, partition) of the Parquet files below ``path``; only names are read."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*.parquet").option("recursiveFileLookup", True)
+             .load(path).select("path", F.col("length").alias("bytes")))
+    return files.withColumn("partition", F.regexp_extract("path", r"((?:/[^/=]+=[^/]*)*)/[^/]*$", 1))
+
+
+def footer_rows(files: DataFrame) -> DataFrame:
+    """``files`` (with ``path``) and the ``rows`` that each file's footer states."""
+    fields = files.schema
+
+    def read(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+        for batch in batches:
+            rows = []
+            for name in batch.column("path").to_pylist():
+                uri = "file:///" + name[5:].lstrip("/") if name.startswith("file:") else name
+                system, at = fs.FileSystem.from_uri(unquote(uri) if uri.startswith("file:") else uri)
+                with system.open_input_file(at) as file:
+                    rows.append(pq.read_metadata(file).num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], [*batch.schema.names, "rows"])
+
+    return files.mapInArrow(read, T.StructType([*fields.fields, T.StructField("rows", T.LongType())]))
+
+
+def read_source(spark: SparkSession, path: str) -> DataFrame:
     """Import source by extension.  CSV is read as all-string columns (no
     inference pass over the data); types come from the target schema.  Quoted
-    text doubles its quotes.  ``multi_line`` admits line breaks inside quotes;
-    a file is then read by one task, so it is off unless asked for."""
+    text doubles its quotes and may hold line breaks (``sources.csvfile``)."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"file not found: {path}")
     low = path.lower()
-    text = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-            .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
     if low.endswith((".csv", ".csv.gz")):
-        return text.csv(path)
+        return read_csv(spark, path)
     if low.endswith(".tsv"):
-        return text.option("sep", "\t").csv(path)
+        return read_csv(spark, path, "\t")
     if low.endswith(".gz"):
         raise ValueError(f"unsupported gzipped type: {path}")
     if low.endswith(".parquet"):
@@ -85,7 +114,6 @@ def scan_lake(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: same-named columns cast to the target
     type, missing columns as typed NULLs, extra columns dropped."""
-    from pyspark.sql import functions as F
     have = set(df.columns)
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
                        .alias(f.name) for f in schema.fields])

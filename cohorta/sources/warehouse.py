@@ -20,7 +20,9 @@ typed relation.
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,25 +30,39 @@ from pyspark.sql import types as T
 
 from cohorta import schema as S
 from cohorta.operators.merge import TIE, merge_with_spec, payload_tie, union_by_name
-from cohorta.sources.readers import empty_table, has_parquet
+from cohorta.sources.readers import data_files, empty_table, footer_rows, has_parquet
 from cohorta.sources.writers import delete_files, write_parquet
 
 DELTA_DATE = T.StructField("delta_date", T.DateType(), True)
 FILE = "_file"
+#: Days that a partition filter names one by one.
+LISTED_DAYS = 200
+
+
+def not_in(rows: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose ``on`` columns (NULL is a value) ``held`` does not have."""
+    n, h = rows.alias("n"), held.alias("h")
+    same = reduce(lambda a, b: a & b, (F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}")) for c in on))
+    return n.join(h, same, "left_anti")
 
 
 @dataclass
 class MutableTable:
+    """``lookup``: key columns by which rows are looked up.  Files are sorted by them and carry their bloom filters."""
+
     name: str
     schema: T.StructType
     spec: S.MergeSpec
+    lookup: tuple[str, ...] = ()
 
 
 TABLES = {
-    "contact": MutableTable("contact", S.CONTACT, S.CONTACT_SPEC),
-    "campaign_sub": MutableTable("campaign_sub", S.CAMPAIGN_SUB, S.CAMPAIGN_SUB_SPEC),
+    "contact": MutableTable("contact", S.CONTACT, S.CONTACT_SPEC, lookup=("id",)),
+    "campaign_sub": MutableTable("campaign_sub", S.CAMPAIGN_SUB, S.CAMPAIGN_SUB_SPEC, lookup=("message_id",)),
     "campaign": MutableTable("campaign", S.CAMPAIGN, S.CAMPAIGN_SPEC),
 }
+#: Keys that a lookup names in the plan, where Parquet tests them against row groups; more keys are joined.
+LISTED_KEYS = 500
 APPEND_TABLES = {
     "segment": (S.SEGMENT, ("account_id",)),
     "campaign_activity": (S.CAMPAIGN_ACTIVITY, ("dt",)),
@@ -54,7 +70,7 @@ APPEND_TABLES = {
     "receipt": (S.RECEIPT, ("dt",)),
     "dlr_reject": (S.DLR_REJECT, ("dt",)),
     "import_reject": (S.IMPORT_REJECT, ("dt",)),
-    "api_logs": (S.with_change_columns(S.API_LOGS), ("dt",)),
+    "api_logs": (S.API_LOGS_STORED, ("dt",)),
     "block_file_data": (S.BLOCK_FILE_DATA, ()),
 }
 
@@ -94,13 +110,17 @@ class Warehouse:
         return df if key_filter is None else df.filter(key_filter)
 
     def table(self, table: str, key_filter: Column | None = None, keep_change_columns: bool = False,
-              method: str = "window") -> DataFrame:
+              method: str = "window", keys: DataFrame | None = None) -> DataFrame:
         """Merged view: latest row per key, tombstones removed.
 
         ``key_filter`` on partition columns (account_id / campaign_id) is
-        applied below the merge, so it prunes partitions."""
+        applied below the merge, so it prunes partitions; ``keys`` (distinct
+        values of some key columns) selects by a semi-join there."""
         t = TABLES[table]
-        return merge_with_spec(self.changes(table, key_filter), t.spec, keep_change_columns, method)
+        rows = self.changes(table, key_filter)
+        if keys is not None:
+            rows = rows.join(keys, keys.columns, "left_semi")
+        return merge_with_spec(rows, t.spec, keep_change_columns, method)
 
     def contact(self, account_id: int | None = None) -> DataFrame:
         kf = F.col("account_id") == F.lit(int(account_id)) if account_id is not None else None
@@ -114,21 +134,36 @@ class Warehouse:
         kf = F.col("account_id") == F.lit(int(account_id)) if account_id is not None else None
         return self.table("campaign", kf)
 
+    def lookup(self, table: str, keys: DataFrame) -> DataFrame:
+        """Merged rows of ``table`` by values of its lookup column.
+
+        Up to ``LISTED_KEYS`` values go into the plan as a pushed filter, which
+        Parquet tests against the bloom filter and the value range of each row
+        group and page before it reads them; more are a semi-join.  Either way
+        whole keys are selected before the merge."""
+        (column,) = TABLES[table].lookup
+        return merge_with_spec(self._by_keys(self.changes(table), keys.select(column), column), TABLES[table].spec)
+
+    def _by_keys(self, rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+        few = keys.filter(F.col(column).isNotNull()).distinct().limit(LISTED_KEYS + 1).collect()
+        if len(few) <= LISTED_KEYS:
+            return rows.filter(F.col(column).isin([r[0] for r in few]) if few else F.lit(False))
+        return rows.join(keys.distinct(), column, "left_semi")
+
     def subscribers_for(self, receipts: DataFrame) -> DataFrame:
         """Merged subscriber rows that ``receipts`` (message_id, campaign_id) can mean.
 
         ``message_id`` and ``campaign_id`` are the merge key, so whole keys are
         selected before the merge and only those are ranked and shuffled.
-        Receipts that name their campaign reach only its partitions."""
+        Receipts that name their campaign reach only its partitions; message
+        ids without one are looked up (``lookup``)."""
         named = receipts.filter("coalesce(campaign_id, 0) <> 0 and message_id <> ''") \
             .select("campaign_id", "message_id").distinct()
-        bare = receipts.filter("coalesce(campaign_id, 0) = 0 and message_id <> ''").select("message_id").distinct()
+        bare = receipts.filter("coalesce(campaign_id, 0) = 0 and message_id <> ''").select("message_id")
         rows = self.changes("campaign_sub")
-        found = rows.join(named, ["campaign_id", "message_id"], "left_semi")
-        if bare.take(1):
-            by_id = rows.join(bare, "message_id", "left_semi")
-            found = found.join(bare, "message_id", "left_anti").unionByName(by_id)
-        return merge_with_spec(found, TABLES["campaign_sub"].spec)
+        by_id = self._by_keys(rows, bare, "message_id")
+        found = rows.join(named, ["campaign_id", "message_id"], "left_semi").join(bare.distinct(), "message_id", "left_anti")
+        return merge_with_spec(found.unionByName(by_id), TABLES["campaign_sub"].spec)
 
     # -- append tables -----------------------------------------------------------
     def append_table(self, table: str) -> DataFrame:
@@ -136,8 +171,16 @@ class Warehouse:
         df = self._read(self.path(table), schema)
         return df if df is not None else empty_table(self.spark, schema)
 
-    def api_logs(self) -> DataFrame:
-        return merge_with_spec(self.append_table("api_logs"), S.API_LOGS_SPEC)
+    def api_logs(self, day: _dt.date | None = None) -> DataFrame:
+        """Merged logs, the last state of each message; with ``day`` those whose last state is of that day.
+
+        A row of a later time lies in a later day, so a day's last states are
+        decided by the partitions from that day on: earlier ones are not read."""
+        rows = self.append_table("api_logs")
+        if day is None:
+            return merge_with_spec(rows, S.API_LOGS_SPEC)
+        own = F.lit(day)
+        return merge_with_spec(rows.filter(F.col("dt") >= own), S.API_LOGS_SPEC).filter(F.col("dt") == own)
 
     def segments(self, account_id: int | None = None) -> DataFrame:
         """Saved segments, the latest version of each (account_id, id)."""
@@ -158,16 +201,16 @@ class Warehouse:
     def write_delta(self, table: str, df: DataFrame, delta_date) -> None:
         out = self._stored(table, df).withColumn("delta_date", F.lit(delta_date).cast("date"))
         write_parquet(out, self.path(table, "delta"), "append",
-                      partition_by=(*TABLES[table].spec.partition_by, "delta_date"))
+                      partition_by=(*TABLES[table].spec.partition_by, "delta_date"), lookup=TABLES[table].lookup)
 
     def write_snapshot(self, table: str, df: DataFrame) -> None:
         """First load: replace the snapshot partitions present in ``df`` (others untouched)."""
         write_parquet(self._stored(table, df), self.path(table, "snapshot"), "overwrite",
-                      partition_by=TABLES[table].spec.partition_by)
+                      partition_by=TABLES[table].spec.partition_by, lookup=TABLES[table].lookup)
 
     def add_snapshot_rows(self, table: str, df: DataFrame) -> None:
         write_parquet(self._stored(table, df), self.path(table, "snapshot"), "append",
-                      partition_by=TABLES[table].spec.partition_by)
+                      partition_by=TABLES[table].spec.partition_by, lookup=TABLES[table].lookup)
 
     def replace_partition(self, table: str, df: DataFrame, value: int) -> None:
         """Replace the snapshot of one account or campaign by ``df``, which may be
@@ -190,49 +233,57 @@ class Warehouse:
         write_parquet(df.select(*schema.fieldNames()), self.path(table), "append",
                       partition_by=parts)
 
-    def append_new(self, table: str, df: DataFrame, keys: tuple[str, ...]) -> None:
+    def append_new(self, table: str, df: DataFrame, keys: tuple[str, ...], days: list | None = None) -> None:
         """Append rows whose ``keys`` the table does not hold yet in the same day.
 
         Makes a repeated delivery or a replayed batch add nothing, however late
         it comes: no state that could be forgotten, only the days of the rows
-        are read."""
+        are read (``days``, if the caller knows them)."""
         schema, parts = APPEND_TABLES[table]
         on = [*parts, *keys]
         fresh = df.select(*schema.fieldNames()).dropDuplicates(on)
         if has_parquet(self.spark, self.path(table)):
-            n, h = fresh.alias("n"), self.append_table(table).select(*on).alias("h")
-            same = F.lit(True)
-            for c in on:
-                same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"h.{c}"))
-            fresh = n.join(h, same, "left_anti")
+            fresh = not_in(fresh, self.days_of(table, df, days).select(*on), on)
         write_parquet(fresh, self.path(table), "append", partition_by=parts)
 
+    def days_of(self, table: str, df: DataFrame, days: list | None = None) -> DataFrame:
+        """Rows of a daily table of the days that ``df`` has, by a partition filter.
+
+        Up to ``LISTED_DAYS`` days are named (there are never more than a calendar
+        has); a batch over more reads all days between its first and its last."""
+        if days is None:
+            days = [r.dt for r in df.select("dt").distinct().collect()]
+        known = sorted(d for d in days if d is not None)
+        named = ", ".join(f"DATE '{d}'" for d in known) if len(known) <= LISTED_DAYS else None
+        tests = [f"dt IN ({named})" if named else f"dt BETWEEN DATE '{known[0]}' AND DATE '{known[-1]}'"] if known else []
+        tests += ["dt IS NULL"] if len(known) < len(days) else []
+        return self.append_table(table).filter(" OR ".join(tests) or "false")
+
+    # -- receipts ------------------------------------------------------------------
+    def open_rejects(self, messages: DataFrame | None = None) -> DataFrame:
+        """Receipts that were not applied, neither then nor since: reject rows without an event.
+
+        ``messages`` (message_id) keeps only receipts of such messages."""
+        rows = self.append_table("dlr_reject")
+        if messages is not None:
+            rows = rows.join(messages.select("message_id").distinct(), "message_id", "left_semi")
+        events = self.append_table("dlr_event").select("dt", "id")
+        return not_in(rows, events, ["dt", "id"]).select(*S.DLR_REJECT.fieldNames())
+
     # -- inventory -----------------------------------------------------------------
     def inventory(self) -> DataFrame:
-        """Files, partitions and rows of each table part, from one scan of each."""
-        frames = []
-
-        def part(label: str, df: DataFrame, by: tuple[str, ...]) -> None:
-            frames.append(df.select(F.lit(label).alias("table_part"), F.col("_metadata.file_path").alias("file_path"),
-                                    F.concat_ws("/", *[F.col(c).cast("string") for c in by]).alias("partition")))
-
-        for name, t in TABLES.items():
-            full = S.stored_layout(t.schema)
-            by = t.spec.partition_by
-            for label, schema, cols in (("snapshot", full, by),
-                                        ("delta", T.StructType([*full.fields, DELTA_DATE]), (*by, "delta_date"))):
-                df = self._read(self.path(name, label), schema)
-                if df is not None:
-                    part(f"{name}_{label}", df, cols)
-        for name, (schema, by) in APPEND_TABLES.items():
-            df = self._read(self.path(name), schema)
-            if df is not None:
-                part(name, df, by)
-        if not frames:
-            return self.spark.createDataFrame([], "table_part string, files bigint, partitions bigint, rows bigint")
-        # rows are counted per file first, so the distinct counts see files only
-        per_file = union_by_name(*frames).groupBy("table_part", "file_path", "partition") \
-            .agg(F.count(F.lit(1)).alias("n"))
-        return per_file.groupBy("table_part").agg(F.count_distinct("file_path").alias("files"),
-                                                  F.count_distinct("partition").alias("partitions"),
-                                                  F.sum("n").alias("rows"))
+        """Files, partitions, rows and bytes of each table part, from the listing and the files' footers.
+
+        No row or column is read: Spark lists the names, tasks open the footers."""
+        parts = {f"{name}_{label}": self.path(name, label) for name in TABLES for label in ("snapshot", "delta")}
+        parts |= {name: self.path(name) for name in APPEND_TABLES}
+        found = None
+        for label, path in parts.items():
+            if has_parquet(self.spark, path):
+                files = data_files(self.spark, path).withColumn("table_part", F.lit(label))
+                found = files if found is None else found.unionByName(files)
+        if found is None:
+            return self.spark.createDataFrame([], "table_part string, files bigint, partitions bigint, rows bigint, bytes bigint")
+        return footer_rows(found).groupBy("table_part").agg(
+            F.count("*").alias("files"), F.count_distinct("partition").alias("partitions"),
+            F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))

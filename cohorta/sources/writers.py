@@ -11,15 +11,21 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "append", partition_by=(),
-                  max_records_per_file: int | None = None) -> None:
+                  max_records_per_file: int | None = None, lookup=()) -> None:
     """``mode='append'`` adds files; ``mode='overwrite'`` replaces only the
-    partitions present in ``df`` (dynamic partition overwrite)."""
+    partitions present in ``df`` (dynamic partition overwrite).  ``lookup``
+    columns order the rows of each file and get bloom filters, so a reader
+    that knows their values skips row groups and pages."""
     if partition_by:
         # group rows by partition value before writing (one file per value
         # per task otherwise: tasks x values small files); REBALANCE lets AQE
         # split a hot value over several tasks and merge tiny ones
         df = df.hint("rebalance", *partition_by)
+    if lookup:
+        df = df.sortWithinPartitions(*partition_by, *lookup)
     w = df.write.mode(mode).option("compression", "zstd")
+    for column in lookup:
+        w = w.option(f"parquet.bloom.filter.enabled#{column}", "true")
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
     if max_records_per_file:

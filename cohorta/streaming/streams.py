@@ -29,7 +29,10 @@ def _run(stream: DataFrame, work, checkpoint: str) -> None:
 
 
 def run_receipt_stream(spark: SparkSession, wh: Warehouse, source_dir: str, checkpoint: str) -> dict:
-    """Receipt files -> subscriber deltas, dlr events, api logs, rejects (X1/X2)."""
+    """Receipt files -> subscriber deltas, dlr events, api logs, rejects (X1/X2).
+
+    However the files are cut into batches, and in which order, the tables hold
+    the same; receipts that wait for their message are taken up by its launch."""
     stats = {"batches": 0}
 
     def batch(df: DataFrame, batch_id: int) -> None:
