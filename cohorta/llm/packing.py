@@ -164,7 +164,7 @@ def pack_sequences(docs: DataFrame, vocab_path: str, end_id: int = 0, capacity:
                  pa.array(t[k, 3] + nth // t[k, 2]), pa.array(t[k, 4] + nth % t[k, 2] * length)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = (cut.join(first.select("length", "task", "base"), ["length", "task"])
+    ranked = (cut.join(first.select("length", "task", "base").hint("merge"), ["length", "task"])
               .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, "
                                     "sequence_id long, offset long")
