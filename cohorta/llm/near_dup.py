@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohorta.llm.components import components
-from cohorta.llm.scratch import stored
+from cohorta.llm.scratch import counted, stored, tasks_for
 from cohorta.llm.tokens import hash_strings, mix, slices, text_column, windows, words
 
 SHINGLE = 5
@@ -42,8 +42,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
 COMPONENTS = BANDS * ROWS
 #: Candidates agreeing in fewer components are dropped unread: a pair at the
-#: threshold falls below it with a chance of 6e-6, as small as that of sharing no band.
-LEAST_AGREEING = 98
+#: threshold falls below it with a chance of 3e-11, far less than that of sharing no band.
+LEAST_AGREEING = 85
 #: Cells that wanted texts are marked in before they are joined.
 CELLS = 1 << 22
 #: Tokens looked at to tell frequent ones (only the speed depends on it).
@@ -181,11 +181,11 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return both / np.maximum(sizes[0] + sizes[1] - both, 1)
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """Pairs whose sizes and short signatures allow the threshold."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    joined = (pairs.join(a, "a").join(b, "b")
+    joined = (pairs.join(a, "a").coalesce(tasks).join(b, "b").coalesce(tasks)
               .filter(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return joined.mapInArrow(agree, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """Pairs whose whole texts reach the threshold."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -210,13 +210,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 keep = pa.array(overlap(text_column(t, "ta"), text_column(t, "tb")) >= threshold - 1e-12)
                 yield pa.RecordBatch.from_arrays([t.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return pairs.join(tb, "b").join(ta, "a").mapInArrow(check, "a long, b long")
+    return pairs.join(tb, "b").coalesce(tasks).join(ta, "a").coalesce(tasks).mapInArrow(check, "a long, b long")
 
 
-def _spanning(rest: DataFrame) -> DataFrame:
+def _spanning(rest: DataFrame, tasks: int) -> DataFrame:
     """Rows (bucket, node, root, ...) of buckets that hold several roots."""
     spread = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return stored(rest.join(spread.select("bucket"), "bucket"), "dup-open")
+    return stored(rest.join(spread.select("bucket").coalesce(tasks), "bucket").coalesce(tasks), "dup-open")
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(doc, weight), token, size
 
 
-def _prefix_pairs(rows: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+def _prefix_pairs(rows: DataFrame, wanted: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """(a, b): all pairs of (node, root) in ``wanted`` with different roots that may reach the threshold.
 
     Prefix filter: with tokens in one fixed order, texts that overlap enough
@@ -238,7 +238,7 @@ def _prefix_pairs(rows: DataFrame, wanted: DataFrame, threshold: float) -> DataF
     first shared one what remains of both bounds the overlap.  Any order is
     right; frequent tokens last makes it quick, as told by a bounded sample."""
     spark = rows.sparkSession
-    texts = stored(_texts(rows, wanted.select("node")).join(wanted, "node"), "dup-rest")
+    texts = stored(_texts(rows, wanted.select("node"), tasks).join(wanted, "node").coalesce(tasks), "dup-rest")
     total = rows.join(wanted, "node", "left_semi").agg(F.sum("n")).first()[0] or 0
     draw = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE_TOKENS / max(total, 1))))
 
@@ -275,66 +275,69 @@ def _prefix_pairs(rows: DataFrame, wanted: DataFrame, threshold: float) -> DataF
     prefix = stored(texts.select("node", "root", "text").mapInArrow(
         prefixes, "token long, node long, root long, left long, n long"), "dup-prefix")
     # tokens of one root pair nothing
-    spanning = prefix.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    prefix = prefix.join(spanning.select("token"), "token")
+    spanning = prefix.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").coalesce(tasks)
+    prefix = prefix.join(spanning.select("token"), "token").coalesce(tasks)
     a = prefix.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("left").alias("la"),
                       F.col("n").alias("na")).alias("p")
     b = prefix.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("left").alias("lb"),
                       F.col("n").alias("nb")).alias("q")
     most = F.least("la", "lb")
     return a.join(b, (F.col("p.token") == F.col("q.token")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-                  & (most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most))).select("a", "b")
+                  & (most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most))).select("a", "b").coalesce(tasks)
 
 
 def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of every node linked to another, from ``signed`` rows."""
     one = rows.filter("n > 0")
-    nodes = stored(one.select("hi", "node", "n", "bands", "sig").dropDuplicates(["hi", "node"]), "dup-nodes")
+    total = rows.count()
+    tasks = tasks_for(total)
+    nodes = stored(one.select("hi", "node", "n", "bands", "sig").dropDuplicates(["hi", "node"]).coalesce(tasks), "dup-nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = stored(members.join(shared, "bucket"), "dup-members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").coalesce(tasks)
+    members = stored(members.join(shared, "bucket").coalesce(tasks), "dup-members")
 
     # who shares most buckets with most others stands nearest the middle of its group
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    middle = (members.join(weight, "node").groupBy("bucket")
-              .agg(F.max(F.struct("weight", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot")))
-    members = stored(members.select("bucket", "node").join(middle, "bucket"), "dup-buckets")
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight")).coalesce(tasks)
+    middle = (members.join(weight, "node").coalesce(tasks).groupBy("bucket")
+              .agg(F.max(F.struct("weight", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot")).coalesce(tasks))
+    members = stored(members.select("bucket", "node").join(middle, "bucket").coalesce(tasks), "dup-buckets")
     star = members.filter("node <> pivot")
-    linked = _linked(one, nodes, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), threshold)
+    linked = _linked(one, nodes, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), threshold, tasks)
     roots = components(linked)
 
     # pivots are done with their buckets; the others go on where a bucket spans components
     rest = _spanning(star.select("bucket", "node").join(roots, "node", "left")
-                     .select("bucket", "node", F.coalesce("root", "node").alias("root")))
-    wanted = stored(rest.select("node", "root").distinct(), "dup-wanted")
-    if not wanted.take(1):
+                     .select("bucket", "node", F.coalesce("root", "node").alias("root")).coalesce(tasks), tasks)
+    wanted, open_ = counted(rest.select("node", "root").distinct().coalesce(tasks), "dup-wanted")
+    if not open_:
         return roots
-    more = _linked(one, None, _prefix_pairs(one, wanted, threshold), threshold)
-    return components(linked.unionByName(more)) if more.take(1) else roots
+    more = _linked(one, None, _prefix_pairs(one, wanted, threshold, tasks), threshold, tasks)
+    # what is linked already stands for the links it came from
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.take(1) else roots
 
 
-def _linked(rows: DataFrame, nodes: DataFrame | None, pairs: DataFrame, threshold: float) -> DataFrame:
+def _linked(rows: DataFrame, nodes: DataFrame | None, pairs: DataFrame, threshold: float, tasks: int) -> DataFrame:
     """Distinct pairs whose whole texts reach the threshold, written.
 
     With ``nodes``, pairs whose sizes or signatures speak against it are left
     unread; without, every pair's texts are read (exact pairs stay exact)."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = stored(pairs if nodes is None else _plausible(pairs, nodes, threshold), "dup-likely")
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    return stored(_verified(likely, _texts(rows, wanted), threshold), "dup-links")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(tasks)
+    likely = stored(pairs if nodes is None else _plausible(pairs, nodes, threshold, tasks), "dup-likely")
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct().coalesce(tasks)
+    return stored(_verified(likely, _texts(rows, wanted, tasks), threshold, tasks), "dup-links")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(rows: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
     """One text of each wanted node (equal word sequences may differ in white space).
 
     Most texts are not wanted: those whose node falls in no cell of a wanted one
     stay where they are.  There are at most CELLS cells, which bounds the broadcast."""
     cell = F.pmod(F.col("node"), F.lit(CELLS))
-    cells = F.broadcast(wanted.select(cell.alias("cell")).distinct())
+    cells = F.broadcast(wanted.select(cell.alias("cell")).distinct().coalesce(tasks))
     near = rows.select("node", "text", cell.alias("cell")).join(cells, "cell", "left_semi")
     first = (near.join(wanted, "node", "left_semi")
              .groupBy("node").agg(F.min(F.struct(F.length("text"), F.col("text"))).alias("t")))
-    return first.select("node", F.col("t.text").alias("text"))
+    return first.select("node", F.col("t.text").alias("text")).coalesce(tasks)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

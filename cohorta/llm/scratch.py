@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from cohorta.session import apply_conf, scratch_dir
+from cohorta.sources.writers import observed
 
 
 def ready(spark: SparkSession) -> None:
@@ -29,6 +31,25 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``stored`` and the rows written, counted by the writing job itself."""
+    seen = Observation(name)
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, observed(seen, "rows")
+
+
+#: Rows that a task of ``tasks_for`` takes on.
+ROWS_PER_TASK = 10_000
+LEAST_TASKS = 12
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks for a step over so many rows: a small step need not pay for a task per shuffle partition.
+
+    It only ever lowers a step's tasks (``coalesce``); a large step keeps those that the session names."""
+    return max(LEAST_TASKS, -(-rows // ROWS_PER_TASK))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh shared folder for files that tasks write themselves."""
     path = scratch_dir(spark, name)
