@@ -7,6 +7,12 @@ sides, again and again, until none of ``MIN_MATCH`` tokens is left.  Tiles may
 lie in any order, so reordered passages count.  A document is contaminated by
 an item when tiles cover at least ``MIN_COVER`` of the item's tokens.
 
+A document that repeats itself at once (one word, or a few in turn, a million
+times) matches an item at all its places.  Tiles use no more of it than the
+item is long, so such a run is shortened first, by whole periods in its
+middle, to a few lengths of the longest item; and tiling ends when the item
+has no ``MIN_MATCH`` free tokens in a row.
+
 A benchmark of up to ``LOCAL_TOKENS`` tokens (counted, not assumed) goes to
 every task and documents are judged where they are read; a larger one is
 joined on seeds.
@@ -34,6 +40,11 @@ from cohorta.llm.tokens import hash_strings, mix, slices, text_column, words
 MIN_MATCH = 4
 MIN_COVER = 0.5
 LOCAL_TOKENS = 1_000_000
+#: Seed matches expanded at once (one document's at least).
+MATCHES = 1 << 20
+#: A periodic run of a document longer than so many of the longest item is shortened to that.
+RUN_ITEMS = 4
+PERIODS = 8
 _B = np.uint64(0x2545F4914F6CDD1D)
 _B_INV = np.uint64(pow(0x2545F4914F6CDD1D, -1, 2 ** 64))
 
@@ -81,17 +92,25 @@ def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, k: int
         return 0, 0
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(q - p) != 0) | (np.diff(p) != 1)]))
     run = np.diff(np.append(edge, len(p))) + k - 1
-    heap = [(-n, a, b) for n, a, b in zip(run.tolist(), p[edge].tolist(), q[edge].tolist())]
-    heapq.heapify(heap)
+    first = np.lexsort((q[edge], p[edge], -run))         # longest first, then by place in the item and the document
+    whole = iter(zip((-run[first]).tolist(), p[edge][first].tolist(), q[edge][first].tolist()))
+    heap: list[tuple[int, int, int]] = []                # what is left of matches that met a tile
+    following = next(whole, None)
     in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
     count = covered = 0
-    while heap:
-        n, a, b = heapq.heappop(heap)
+    room = True
+    while room and (heap or following):
+        if heap and (following is None or heap[0] < following):
+            n, a, b = heapq.heappop(heap)
+        else:
+            (n, a, b), following = following, next(whole, None)
         n = -n
         taken = in_item[a:a + n] | in_doc[b:b + n]
         if not taken.any():
             in_item[a:a + n] = in_doc[b:b + n] = True
             count, covered = count + 1, covered + n
+            free = np.diff(np.flatnonzero(np.concatenate([[True], in_item, [True]]))) - 1
+            room = bool((free >= k).any())
             continue
         # what is left free goes back as shorter matches
         free = np.flatnonzero(np.diff(np.concatenate([[0], (~taken).astype(np.int8), [0]])))
@@ -101,6 +120,34 @@ def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, k: int
     return count, covered
 
 
+def shorten(code: np.ndarray, off: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens without the middle of long periodic runs; a run keeps ``RUN_ITEMS`` lengths of the longest item."""
+    most = RUN_ITEMS * max(longest, MIN_MATCH)
+    for period in range(1, PERIODS + 1):
+        if not (np.diff(off) > most + period).any():
+            break
+        same = np.zeros(len(code) + 1, np.int8)
+        same[1:len(code) - period + 1] = code[period:] == code[:-period]
+        # a run ends with its document
+        for back in range(period):
+            same[np.maximum(off[1:] - back, 0)] = 0
+        edge = np.flatnonzero(np.diff(same, append=np.int8(0)))
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        long = size + period > most + period
+        if not long.any():
+            continue
+        start, size = start[long], size[long] + period
+        drop = (size - most) // period * period
+        at = start + most // 2
+        edges = np.zeros(len(code) + 1, np.int64)
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + drop, -1)
+        keep = np.cumsum(edges[:-1]) == 0
+        off = np.concatenate([[0], np.cumsum(keep)])[off]
+        code = code[keep]
+    return code, off
+
+
 class Items:
     """Benchmark tokens with a seed lookup."""
 
@@ -116,15 +163,28 @@ class Items:
 
     def matches(self, texts: pa.Array, cover: float) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, tiles, tokens covered) of each contaminated pair of a slice."""
-        k = self.k
-        code, off = tokens(texts)
-        doc, place, key = seeds(code, off, k)
+        code, off = shorten(*tokens(texts), int(self.size.max(initial=0)))
+        doc, place, key = seeds(code, off, self.k)
         maybe = self.some[key >> np.uint64(44)]
         doc, place, key = doc[maybe], place[maybe], key[maybe]
         left = np.searchsorted(self.key, key, side="left")
         n = np.searchsorted(self.key, key, side="right") - left
         hit = np.flatnonzero(n)
         doc, place, left, n = doc[hit], place[hit], left[hit], n[hit]
+        # whole documents, as many as MATCHES allows
+        ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc)) if len(doc) else np.zeros(0, np.int64)
+        upto, begin = np.cumsum(n), 0
+        while begin < len(doc):
+            before = upto[begin - 1] if begin else 0
+            fits = ends[(ends > begin) & (upto[ends - 1] - before <= MATCHES)]
+            stop = int(fits[-1]) if len(fits) else int(ends[ends > begin][0])
+            some = slice(begin, stop)
+            yield from self._judged(code, off, doc[some], place[some], left[some], n[some], cover)
+            begin = stop
+
+    def _judged(self, code: np.ndarray, off: np.ndarray, doc: np.ndarray, place: np.ndarray, left: np.ndarray,
+                n: np.ndarray, cover: float) -> Iterator[tuple[int, int, int, int]]:
+        k = self.k
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
         doc, q = np.repeat(doc, n), np.repeat(place, n)
         item, p = self.owner[at], self.place[at]

@@ -7,8 +7,12 @@ its words.  Piece probabilities are learned by expectation maximisation
 (forward-backward expected counts) on word counts of labelled documents.
 
 Words are runs between white space, lower-cased, letters only, with a word
-start mark; runs beyond ``STRETCH`` letters are learned and scored stretch by
-stretch, the mark before the first one.  Every labelled language is learned.
+start mark.  All pieces of the vocabulary with a letter count, whatever their
+length.  Long words (whole sentences in scripts without spaces) are scored
+block by block: the last nodes of a block's lattice are carried into the next
+one and rescaled, so the sum runs over all segmentations of the whole word
+and does not vanish.  For learning, words beyond ``LEARN_LETTERS`` letters are
+cut there.  Every labelled language is learned.
 
 Rows in, defined results: a null text or one without a letter is ``und`` with
 score 0; ties go to the first language by name; rows with a null lang or
@@ -31,8 +35,10 @@ from cohorta.llm.scratch import stored
 from cohorta.llm.tokens import mix, ragged, slices, text_column, words
 
 START = "▁"
-STRETCH = 40
-MAX_PIECE = 10
+#: Letters after which a word is cut for learning; scoring never cuts one.
+LEARN_LETTERS = 4096
+#: Decimal digits that a block of a lattice may lose before it is rescaled (doubles have 308).
+BLOCK_DIGITS = 180
 #: Learning bound: about this many characters of each language, drawn by a hash
 #: of doc_id.
 TRAIN_CHARS = 3_000_000
@@ -63,12 +69,13 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (sp.id_to_piece(i) for i in range(sp.get_piece_size())
                  if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-        self.pieces = sorted({p for p in found if len(p) <= MAX_PIECE and (p == START or any(c.isalpha() for c in p))})
+        self.pieces = sorted({p for p in found if p == START or any(c.isalpha() for c in p)})
+        self.longest = max(map(len, self.pieces))
         self.other = len(self.pieces)
         points, off = code_points(pa.array(self.pieces, pa.large_string()))
         size = np.diff(off)
         key = np.zeros(len(size), np.uint64)
-        for j in range(MAX_PIECE):
+        for j in range(self.longest):
             on = size > j
             key[on] = step(key[on], points[off[:-1][on] + j])
         order = np.argsort(key)
@@ -86,7 +93,7 @@ class Vocabulary:
         return out
 
     def lattice(self, values: pa.Array) -> Lattice:
-        """All pieces at all places of the words (each at most STRETCH + 1 long)."""
+        """All pieces at all places of the words."""
         points, off = code_points(values)
         size = np.diff(off)
         first = off[:-1] + np.arange(len(size))          # one more node than characters
@@ -97,7 +104,7 @@ class Vocabulary:
         key = np.zeros(len(points), np.uint64)
         starts, ends, pieces, places = [], [], [], []
         at = np.arange(len(points))
-        for j in range(MAX_PIECE):
+        for j in range(self.longest):
             at = at[left[at] > j]
             if not len(at):
                 break
@@ -157,67 +164,114 @@ def forward(lat: Lattice, prob: np.ndarray) -> np.ndarray:
 
 
 def expected(lat: Lattice, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Expected piece counts of words of one language that occur ``count`` times."""
-    p = prob[:, None]
-    alpha = forward(lat, p)[:, 0]
-    beta = np.zeros(len(alpha))
+    """Expected piece counts of words of one language that occur ``count`` times (forward-backward, by logarithms)."""
+    gain = np.log(prob)[lat.piece]
+    alpha = np.full(int(lat.size.sum()) + len(lat.size), -np.inf)
+    beta = alpha.copy()
     last = lat.first + lat.size
-    beta[last] = 1.0
-    for a, b in zip(lat.level[-2::-1], lat.level[:0:-1]):
+    alpha[lat.first], beta[last] = 0.0, 0.0
+    for a, b in zip(lat.level, lat.level[1:]):           # arcs by their end: a node's come together
         if b > a:
-            np.add.at(beta, lat.start[a:b], beta[lat.end[a:b]] * prob[lat.piece[a:b]])
+            _log_sum(alpha, lat.end[a:b], alpha[lat.start[a:b]] + gain[a:b])
     word = np.searchsorted(lat.first, lat.start, side="right") - 1
-    total = np.maximum(alpha[last], 1e-300)
-    mass = alpha[lat.start] * prob[lat.piece] * beta[lat.end] / total[word] * count[word]
+    place = lat.start - lat.first[word]
+    order = np.lexsort((lat.start, -place))              # and backwards by their start
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(edge, edge[1:]):
+        own = order[a:b]
+        _log_sum(beta, lat.start[own], gain[own] + beta[lat.end[own]])
+    mass = np.exp(alpha[lat.start] + gain + beta[lat.end] - alpha[last][word]) * count[word]
     return np.bincount(lat.piece, weights=mass, minlength=len(prob))
 
 
-def clean(vocab: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(distinct words lower-cased to letters only, map from vocab to them).
+def _log_sum(target: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """target[at] = log of the sum of exp(values) for ``at`` sorted."""
+    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    most = np.maximum.reduceat(values, edge)
+    size = np.diff(np.append(edge, len(at)))
+    target[at[edge]] = most + np.log(np.add.reduceat(np.exp(values - np.repeat(most, size)), edge))
+
 
-    """
+def clean(vocab: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(distinct words lower-cased to letters only, map from vocab to them)."""
     bare = pc.replace_substring_regex(pc.utf8_lower(vocab), r"[^\p{L}]+", "")
     coded = bare.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def stretches(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(marked stretches of the cleaned words, word of each)."""
+def stretches(values: pa.Array, letters: int = LEARN_LETTERS) -> tuple[pa.Array, np.ndarray]:
+    """(marked words, cut after so many letters, word of each)."""
     values = values.cast(pa.large_string())
     size = pc.utf8_length(values).to_numpy(zero_copy_only=False)
-    short = np.flatnonzero((size > 0) & (size <= STRETCH))
+    short = np.flatnonzero((size > 0) & (size <= letters))
     marked = pc.binary_join_element_wise(pa.scalar(START, pa.large_string()), values.take(pa.array(short)),
                                          pa.scalar("", pa.large_string()))
     cut, of = [], []
-    for i in np.flatnonzero(size > STRETCH).tolist():
+    for i in np.flatnonzero(size > letters).tolist():
         text = values[i].as_py()
-        cut.extend((START if j == 0 else "") + text[j:j + STRETCH] for j in range(0, len(text), STRETCH))
-        of.append(np.full(-(-len(text) // STRETCH), i))
+        cut.extend((START if j == 0 else "") + text[j:j + letters] for j in range(0, len(text), letters))
+        of.append(np.full(-(-len(text) // letters), i))
     return pa.concat_arrays([marked, pa.array(cut, pa.large_string())]), np.concatenate([short, *of])
 
 
+def block_letters(prob: np.ndarray) -> int:
+    """Letters of a block: even if each is the least likely piece, its probability stays a double."""
+    return max(4, int(BLOCK_DIGITS / -np.log10(min(prob.min(), 0.1))))
+
+
 def word_scores(values: pa.Array, vocab: Vocabulary, prob: np.ndarray, group: int = 40_000) -> np.ndarray:
     """log P of each cleaned word for each language; empty words score 0."""
     out = np.zeros((len(values), prob.shape[1]))
+    values = values.cast(pa.large_string())
     size = pc.utf8_length(values).to_numpy(zero_copy_only=False)
-    short = np.flatnonzero((size > 0) & (size <= STRETCH))
+    block = block_letters(prob)
+    short = np.flatnonzero((size > 0) & (size < block))
     for k in range(0, len(short), group):
         at = short[k:k + group]
         marked = pc.binary_join_element_wise(pa.scalar(START, pa.large_string()),
                                              values.take(pa.array(at)), pa.scalar("", pa.large_string()))
         lat = vocab.lattice(marked)
-        out[at] = np.log(np.maximum(forward(lat, prob)[lat.first + lat.size], 1e-300))
-    for i in np.flatnonzero(size > STRETCH):
-        text = values[int(i)].as_py()
-        for k in range(0, len(text), STRETCH * group):
-            run = text[k:k + STRETCH * group]
-            cut = pa.array([(START if k + j == 0 else "") + run[j:j + STRETCH] for j in range(0, len(run), STRETCH)],
-                           pa.large_string())
-            lat = vocab.lattice(cut)
-            out[i] += np.log(np.maximum(forward(lat, prob)[lat.first + lat.size], 1e-300)).sum(axis=0)
+        out[at] = np.log(forward(lat, prob)[lat.first + lat.size])
+    long = np.flatnonzero(size >= block)
+    # so many words side by side that a block of them is no larger than a group of short ones
+    for k in range(0, len(long), max(1, group // 8)):
+        at = long[k:k + max(1, group // 8)]
+        out[at] = long_scores([START + values[int(i)].as_py() for i in at], vocab, prob, block)
     return out
 
 
+def long_scores(marked: list[str], vocab: Vocabulary, prob: np.ndarray, block: int) -> np.ndarray:
+    """log P of words of any length: blocks of their lattices, each going on from the last nodes of the one before."""
+    total = np.zeros((len(marked), prob.shape[1]))
+    keep = vocab.longest                       # a piece that ends in a block starts at one of so many nodes before it
+    carry = np.zeros((len(marked), keep, prob.shape[1]))
+    carry[:, -1] = 1.0                         # nodes before the word hold nothing, its first node all
+    live, at = np.arange(len(marked)), 0
+    while len(live):
+        before = min(at, keep - 1)
+        parts = [marked[i][at - before:at + block] for i in live]
+        lat = vocab.lattice(pa.array(parts, pa.large_string()))
+        alpha = np.zeros((int(lat.size.sum()) + len(lat.size), prob.shape[1]))
+        for j in range(before + 1):
+            alpha[lat.first + j] = carry[live, keep - 1 - before + j]
+        # pieces that end among the carried nodes are summed already
+        for a, b in zip(lat.level[before:], lat.level[before + 1:]):
+            if b > a:
+                _add(alpha, lat.end[a:b], alpha[lat.start[a:b]] * prob[lat.piece[a:b]])
+        last = lat.first + lat.size
+        done = np.array([at + block >= len(marked[i]) for i in live])
+        total[live[done]] += np.log(alpha[last[done]])
+        live, last, first = live[~done], last[~done], lat.first[~done]
+        at += block
+        for j in range(keep):
+            node = last - (keep - 1 - j)
+            carry[live, j] = np.where((node >= first)[:, None], alpha[np.maximum(node, 0)], 0.0)
+        scale = carry[live].max(axis=1)
+        total[live] += np.log(scale)
+        carry[live] /= scale[:, None]
+    return total
+
+
 def held_out() -> Column:
     """crc32 of the id as text leaves 2 modulo 4 (false for a null id)."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -10,7 +10,7 @@ is the share of its rank that stems from blocked (allowed) pages.  A host is
 blocked if its distrust reaches ``THRESHOLD`` and exceeds its trust.
 
 Host edges are hrefs to another host, counted, and one edge each way between
-a host and its parent domain of two labels or more.
+a host and its parent domain of two labels or more (an IP address has none).
 
 Rows in, defined results: a null url or one without ``://`` has an empty host
 and path and is allowed; null html has no links; repeated rows count each;
@@ -30,6 +30,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 DAMPING = 0.85
 ROUNDS = 8
 THRESHOLD = 0.5
+#: An IP address, which belongs to no domain.
+ADDRESS = r"^[0-9]+(\.[0-9]+){3}(:[0-9]+)?$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#\s<>]+)"""
 
@@ -64,7 +66,7 @@ def ancestors(hosts: DataFrame) -> DataFrame:
     """Distinct (src, dst): from each host and each domain above it to the next one up, at any depth."""
     labels = F.split("src", r"\.")
     empty = F.array_position(labels, "")
-    every = (hosts.filter(parent(F.col("src")).isNotNull())
+    every = (hosts.filter(parent(F.col("src")).isNotNull() & ~F.col("src").rlike(ADDRESS))
              .select(F.col("src").alias("host"), F.size(labels).alias("n"), empty.alias("empty"))
              .select("*", F.explode(F.sequence("n", F.lit(3), F.lit(-1))).alias("left")))
     # an empty label ends the way up
@@ -152,7 +154,7 @@ def verdict_sql(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, thr
     ruled = "case " + " ".join(f"when {c} then '{v}'" for c, _, v in cases) + " end"
     href = HREF.replace("'", "''")
     up = r"nullif(regexp_extract(src, '^[^.]+\.(.+\..+)$', 1), '')"
-    sql = f"""with pg as (select page_id, {host} as host, {path} as path, html from pages),
+    sql = f"""with recursive pg as (select page_id, {host} as host, {path} as path, html from pages),
 judged as (select page_id, host, path, {rule} as rule, {ruled} as ruled from pg),
 seeds as (select host, count(*) as pages, count(*) filter (ruled = 'allow') as allowed,
   count(*) filter (ruled = 'block') as blocked from judged where host <> '' group by host),
@@ -160,10 +162,8 @@ links as (select src, dst, count(*)::double as n from
   (select host as src, translate(unnest(regexp_extract_all(html, '{href}', 1)), '{UPPER}', '{LOWER}') as dst
    from pg where host <> '') where src <> dst group by src, dst),
 h0 as (select host as src from seeds union select dst from links),
-u1 as (select distinct src, {up} as dst from h0 where {up} is not null),
-u2 as (select distinct dst as src, {up.replace('src', 'dst')} as d2 from u1 where {up.replace('src', 'dst')} is not null),
-u3 as (select distinct d2 as src, {up.replace('src', 'd2')} as d3 from u2 where {up.replace('src', 'd2')} is not null),
-ups as (select * from u1 union select * from u2 union select * from u3),
+ups as (select src, {up} as dst from h0 where {up} is not null and not regexp_matches(src, '{ADDRESS}')
+  union select dst, {up.replace('src', 'dst')} from ups where {up.replace('src', 'dst')} is not null),
 edges as (select src, dst, sum(n) as n from (select * from links union all select src, dst, 1.0 from ups
   union all select dst, src, 1.0 from ups) group by src, dst),
 both_ways as (select 0 as way, src, dst, n / sum(n) over (partition by src) as w from edges

@@ -43,6 +43,46 @@ def test_tiling_equals_plain(seed):
     assert D.tile(one, two, p, q, 4)[1] == plain_tiling(item, doc, 4)[1]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_shortened_runs_tile_alike(seed):
+    """Documents with long periodic runs against the plain algorithm on the whole document."""
+    rng = random.Random(seed)
+    unit = [rng.randrange(4) for _ in range(rng.randrange(1, 5))]
+    item = (unit * 9)[:rng.randrange(4, 12)] + [rng.randrange(5) for _ in range(rng.randrange(6))]
+    doc = []
+    for _ in range(3):
+        doc += [rng.randrange(6) for _ in range(rng.randrange(9))] + unit * rng.randrange(20, 45) + item[rng.randrange(3):]
+    one, two = np.array(item, np.uint64), np.array(doc, np.uint64)
+    short, off = D.shorten(two, np.array([0, len(two)]), len(item))
+    assert len(short) <= len(two) and off[-1] == len(short)
+
+    def covered(doc):
+        hits = [(p, q) for p in range(len(item) - 3) for q in range(len(doc) - 3) if item[p:p + 4] == doc[q:q + 4]]
+        p, q = (np.array([h[i] for h in hits], np.int64) for i in (0, 1))
+        return D.tile(one, np.array(doc, np.uint64), p, q, 4)[1]
+
+    assert covered(short.tolist()) == covered(doc) == plain_tiling(item, doc, 4)[1]
+
+
+def test_runs_end_with_their_document():
+    code, off = D.shorten(np.ones(60, np.uint64), np.array([0, 20, 20, 40, 60]), 10)
+    assert len(code) == 60 and off.tolist() == [0, 20, 20, 40, 60]
+    code, off = D.shorten(np.concatenate([np.ones(500, np.uint64), np.arange(30, dtype=np.uint64)]), np.array([0, 500, 530]), 10)
+    assert off.tolist() == [0, 40, 70] and code[-30:].tolist() == list(range(30))
+
+
+def test_a_million_equal_words():
+    import tracemalloc
+    import pyarrow as pa
+    items = D.Items(pa.array([1, 2], pa.int64()), pa.array(["same " * 200, "one two three four " * 40], pa.large_string()), 4)
+    texts = pa.array(["same " * 1_000_000, "x " + "one two three four " * 100_000 + "y"], pa.large_string())
+    tracemalloc.start()
+    got = list(items.matches(texts, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 0, 1, 200), (1, 1, 1, 160)] and peak < 500e6
+
+
 def test_karp_rabin_rolls():
     rng = np.random.default_rng(0)
     code = rng.integers(0, 5, 400).astype(np.uint64)

@@ -159,3 +159,10 @@ def test_propagation_equals_plain_pagerank(spark):
     d, v = plain_rank(bad, back, U.ROUNDS, U.DAMPING), plain_rank(pages, back, U.ROUNDS, U.DAMPING)
     for h in hosts:
         assert abs(got[h].trust - t[h] / u[h]) < 1e-9 and abs(got[h].distrust - d[h] / v[h]) < 1e-9
+
+
+def test_addresses_have_no_domain_and_deep_hosts_reach_theirs(spark):
+    hosts = spark.createDataFrame([("10.0.0.1",), ("8.0.0.1:8080",), ("a.b.c.d.e.net",), ("1.2.3.net",)], "src string")
+    got = {(r.src, r.dst) for r in U.ancestors(hosts).collect()}
+    assert got == {("a.b.c.d.e.net", "b.c.d.e.net"), ("b.c.d.e.net", "c.d.e.net"), ("c.d.e.net", "d.e.net"), ("d.e.net", "e.net"),
+                   ("1.2.3.net", "2.3.net"), ("2.3.net", "3.net")}
