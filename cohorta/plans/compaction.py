@@ -60,11 +60,12 @@ def compact(wh: Warehouse, table: str, part_values: list[int] | None = None, ful
 
     order = [F.col(c).desc_nulls_last() for c in (*spec.order, TIE)]
     window = Window.partitionBy(*spec.key).orderBy(*order)
-    winners = rows.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1")
+    # the two latest rows of a key (cut to these before the shuffle, however many it has) tell whether the
+    # winner stands alone, in the order that they are in already
+    latest = rows.withColumn("_rn", F.row_number().over(window)).filter("_rn <= 2")
     dead = F.coalesce(F.col("_op"), F.lit("upsert" if spec.null_op_is_upsert else "delete")) == "delete"
-    alone = rows.select(*spec.key, dead.alias("_dead")).groupBy(*spec.key) \
-        .agg(F.count("*").alias("_n"), F.max("_dead").alias("_dead")).filter("_n = 1 and _dead").select(*spec.key)
-    out = winners.join(alone, list(spec.key), "left_anti")
+    alone = F.lead("_rn").over(window).isNull()
+    out = latest.withColumn("_alone", alone).filter("_rn = 1").filter(~(F.col("_alone") & dead))
     seen = Observation(f"compact_{table}")
     out = out.observe(seen, F.count_if(~dead).alias("live"), F.count_if(dead).alias("dead"))
     wh.add_snapshot_rows(table, out.select(*S.with_change_columns(TABLES[table].schema).fieldNames()))

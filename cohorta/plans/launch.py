@@ -97,13 +97,13 @@ def _kept(wh: Warehouse, df: DataFrame, name: str) -> DataFrame:
     return wh.spark.read.schema(df.schema).parquet(path)
 
 
-def _apply(wh: Warehouse, r: DataFrame, days: list, day: _dt.date, carry_forward: bool) -> None:
+def _apply(wh: Warehouse, r: DataFrame, day: _dt.date, carry_forward: bool) -> None:
     """Store what resolved receipts do.  Deltas are merge-keyed, logs and events are added only if the table lacks them,
     and events come last, so a batch that failed anywhere may run again."""
     sub_delta, events, logs = receipt_rows(r, carry_forward)
     wh.write_delta("campaign_sub", sub_delta, day)
-    wh.append_new("api_logs", logs, ("_receipt",), days)
-    wh.append_new("dlr_event", events, ("id",), days)
+    wh.append_new("api_logs", logs, ("_receipt",))
+    wh.append_new("dlr_event", events, ("id",))
 
 
 def _days(df: DataFrame) -> list:
@@ -126,8 +126,8 @@ def apply_receipt_batch(wh: Warehouse, receipts: DataFrame, carry_forward: bool
     fresh = not_in(own, wh.days_of("dlr_event", own, days).select("dt", "id"), ["dt", "id"]).select(*RECEIPT_FIELDS)
     r = _kept(wh, resolve_receipts(fresh, wh.subscribers_for(fresh)), "resolved")
     rejects = rejected_receipts(r.filter("not _ok"))
-    wh.append_new("dlr_reject", rejects, ("id",), days)
-    _apply(wh, r.filter("_ok"), days, day or _last(days), carry_forward)
+    wh.append_new("dlr_reject", rejects, ("id",))
+    _apply(wh, r.filter("_ok"), day or _last(days), carry_forward)
     return rejects
 
 
@@ -141,7 +141,7 @@ def settle_receipts(wh: Warehouse, messages: DataFrame | None = None, carry_forw
     known = _kept(wh, resolve_receipts(held, wh.subscribers_for(held)).filter("_ok"), "settled")
     days = _days(known)
     if days:
-        _apply(wh, known, days, day or _last(days), carry_forward)
+        _apply(wh, known, day or _last(days), carry_forward)
 
 
 def save_segments(wh: Warehouse, segments: DataFrame) -> None:

@@ -233,17 +233,17 @@ class Warehouse:
         write_parquet(df.select(*schema.fieldNames()), self.path(table), "append",
                       partition_by=parts)
 
-    def append_new(self, table: str, df: DataFrame, keys: tuple[str, ...], days: list | None = None) -> None:
+    def append_new(self, table: str, df: DataFrame, keys: tuple[str, ...]) -> None:
         """Append rows whose ``keys`` the table does not hold yet in the same day.
 
         Makes a repeated delivery or a replayed batch add nothing, however late
         it comes: no state that could be forgotten, only the days of the rows
-        are read (``days``, if the caller knows them)."""
+        are read."""
         schema, parts = APPEND_TABLES[table]
         on = [*parts, *keys]
         fresh = df.select(*schema.fieldNames()).dropDuplicates(on)
         if has_parquet(self.spark, self.path(table)):
-            fresh = not_in(fresh, self.days_of(table, df, days).select(*on), on)
+            fresh = not_in(fresh, self.days_of(table, df).select(*on), on)
         write_parquet(fresh, self.path(table), "append", partition_by=parts)
 
     def days_of(self, table: str, df: DataFrame, days: list | None = None) -> DataFrame:
