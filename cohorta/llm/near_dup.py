@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohorta.llm.components import components
-from cohorta.llm.scratch import counted, stored, tasks_for
+from cohorta.llm.scratch import LEAST_TASKS, counted, stored, tasks_for
 from cohorta.llm.tokens import hash_strings, mix, slices, text_column, windows, words
 
 SHINGLE = 5
@@ -181,7 +181,7 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return both / np.maximum(sizes[0] + sizes[1] - both, 1)
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, tasks: int) -> DataFrame:
+def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, tasks: int = LEAST_TASKS) -> DataFrame:
     """Pairs whose sizes and short signatures allow the threshold."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
@@ -199,7 +199,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, tasks: int)
     return joined.mapInArrow(agree, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, tasks: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, tasks: int = LEAST_TASKS) -> DataFrame:
     """Pairs whose whole texts reach the threshold."""
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -213,7 +213,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, tasks: int)
     return pairs.join(tb, "b").coalesce(tasks).join(ta, "a").coalesce(tasks).mapInArrow(check, "a long, b long")
 
 
-def _spanning(rest: DataFrame, tasks: int) -> DataFrame:
+def _spanning(rest: DataFrame, tasks: int = LEAST_TASKS) -> DataFrame:
     """Rows (bucket, node, root, ...) of buckets that hold several roots."""
     spread = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     return stored(rest.join(spread.select("bucket").coalesce(tasks), "bucket").coalesce(tasks), "dup-open")
@@ -230,7 +230,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(doc, weight), token, size
 
 
-def _prefix_pairs(rows: DataFrame, wanted: DataFrame, threshold: float, tasks: int) -> DataFrame:
+def _prefix_pairs(rows: DataFrame, wanted: DataFrame, threshold: float, tasks: int = LEAST_TASKS) -> DataFrame:
     """(a, b): all pairs of (node, root) in ``wanted`` with different roots that may reach the threshold.
 
     Prefix filter: with tokens in one fixed order, texts that overlap enough
@@ -302,7 +302,7 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
               .agg(F.max(F.struct("weight", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot")).coalesce(tasks))
     members = stored(members.select("bucket", "node").join(middle, "bucket").coalesce(tasks), "dup-buckets")
     star = members.filter("node <> pivot")
-    linked = _linked(one, nodes, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), threshold, tasks)
+    linked = _linked(one, nodes, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), threshold)
     roots = components(linked)
 
     # pivots are done with their buckets; the others go on where a bucket spans components
@@ -311,23 +311,24 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted, open_ = counted(rest.select("node", "root").distinct().coalesce(tasks), "dup-wanted")
     if not open_:
         return roots
-    more = _linked(one, None, _prefix_pairs(one, wanted, threshold, tasks), threshold, tasks)
+    more = _linked(one, None, _prefix_pairs(one, wanted, threshold, tasks), threshold)
     # what is linked already stands for the links it came from
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)) if more.take(1) else roots
 
 
-def _linked(rows: DataFrame, nodes: DataFrame | None, pairs: DataFrame, threshold: float, tasks: int) -> DataFrame:
+def _linked(rows: DataFrame, nodes: DataFrame | None, pairs: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs whose whole texts reach the threshold, written.
 
     With ``nodes``, pairs whose sizes or signatures speak against it are left
     unread; without, every pair's texts are read (exact pairs stay exact)."""
+    tasks = tasks_for(rows.count())
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(tasks)
     likely = stored(pairs if nodes is None else _plausible(pairs, nodes, threshold, tasks), "dup-likely")
     wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct().coalesce(tasks)
     return stored(_verified(likely, _texts(rows, wanted, tasks), threshold, tasks), "dup-links")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
+def _texts(rows: DataFrame, wanted: DataFrame, tasks: int = LEAST_TASKS) -> DataFrame:
     """One text of each wanted node (equal word sequences may differ in white space).
 
     Most texts are not wanted: those whose node falls in no cell of a wanted one

@@ -25,4 +25,4 @@ def test_stages_follow_their_operators(spark, docs, vocab):
 def test_every_operator_is_registered(spark):
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
