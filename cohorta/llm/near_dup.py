@@ -213,10 +213,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, tasks: int =
     return pairs.join(tb, "b").coalesce(tasks).join(ta, "a").coalesce(tasks).mapInArrow(check, "a long, b long")
 
 
-def _spanning(rest: DataFrame, tasks: int = LEAST_TASKS) -> DataFrame:
+def _spanning(rest: DataFrame) -> DataFrame:
     """Rows (bucket, node, root, ...) of buckets that hold several roots."""
     spread = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return stored(rest.join(spread.select("bucket").coalesce(tasks), "bucket").coalesce(tasks), "dup-open")
+    return stored(rest.join(spread.select("bucket"), "bucket"), "dup-open")
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,7 +307,7 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # pivots are done with their buckets; the others go on where a bucket spans components
     rest = _spanning(star.select("bucket", "node").join(roots, "node", "left")
-                     .select("bucket", "node", F.coalesce("root", "node").alias("root")).coalesce(tasks), tasks)
+                     .select("bucket", "node", F.coalesce("root", "node").alias("root")).coalesce(tasks))
     wanted, open_ = counted(rest.select("node", "root").distinct().coalesce(tasks), "dup-wanted")
     if not open_:
         return roots
