@@ -15,6 +15,7 @@ from cohorta.operators.campaigns import apply_receipts, receipt_id
 from cohorta.operators.filters import FilterCompiler
 from cohorta.operators.paging import deep_page, filter_logs, list_segments
 from cohorta.operators.segments import books, count_segments, segment_members
+from cohorta.plans.audience_book import Audience, AudienceBook
 from cohorta.plans.compaction import compact
 from cohorta.plans.derived import (AS_OF, CAMPAIGN_SUB_SQL, LAKE_CONTACT_SQL, RECEIPTS_SQL, campaign_sub_df,
                                    lake_contact_df, receipts_df, tables)
@@ -392,3 +393,86 @@ def q_lookup_messages(spark, sf_dir):
     k = F.col("s_suppkey")
     keys = supplier.select(F.concat(F.lit("email-"), (k % 20 + 1).cast("string"), F.lit("-"), k.cast("string")).alias("message_id"))
     return wh.lookup("campaign_sub", keys).select("campaign_id", "message_id", "recipient")
+
+
+# -- A3, A4: audiences kept by bitmaps over days of inserts, moves and deletes ------------------------------
+_BOOK_DAYS = [_dt.date(2024, 2, d) for d in (1, 2, 3, 4)]
+
+
+def _book_changes(spark, sf_dir):
+    """A change of its customer's contact per order: e-mails that contacts share and leave, tombstones."""
+    orders, customer = tables(spark, sf_dir, "orders", "customer")
+    j = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    return j.select(
+        F.col("c_nationkey").cast("bigint").alias("account_id"), F.col("o_custkey").cast("bigint").alias("id"),
+        F.concat(F.lit("m"), (F.col("o_orderkey") % 501).cast("string"), F.lit("@orders.test")).alias("email"),
+        (F.col("o_orderkey") % 3).cast("tinyint").alias("email_status"),
+        (F.col("o_orderkey") % 7).cast("tinyint").alias("sms_status"),
+        F.col("o_orderpriority").alias("f6"), F.col("o_orderstatus").alias("f7"),
+        F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"), "delete")
+         .otherwise("upsert").alias("_op"),
+        F.col("o_orderdate").cast("timestamp").alias("_ts"), F.col("o_orderkey").cast("bigint").alias("_seq"),
+        (F.col("o_orderkey") % 3).alias("batch"))
+
+
+_BOOK_SQL = f"""{WITH_CONTACT},
+changes AS (SELECT CAST(account_id AS BIGINT) AS account_id, id, email, email_status, sms_status, f6, f7, 'upsert' AS _op,
+                   TIMESTAMP '1990-01-01 00:00:00' AS _ts, id AS _seq FROM contact
+            UNION ALL
+            SELECT CAST(c_nationkey AS BIGINT), o_custkey, 'm' || CAST(o_orderkey % 501 AS VARCHAR) || '@orders.test',
+                   o_orderkey % 3, o_orderkey % 7, o_orderpriority, o_orderstatus,
+                   CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 'delete' ELSE 'upsert' END,
+                   o_orderdate, o_orderkey
+            FROM orders JOIN customer ON o_custkey = c_custkey),
+now AS (SELECT *, NULLIF(TRIM(email), '') AS k FROM (
+          SELECT *, ROW_NUMBER() OVER (PARTITION BY account_id, id ORDER BY _ts DESC, _seq DESC) AS rn FROM changes)
+        WHERE rn = 1 AND _op <> 'delete'),
+judged AS (
+  SELECT *, 'finished' AS audience, f7 = 'F' AS inc, f6 = '5-LOW' AS exc FROM now
+  UNION ALL SELECT *, 'priority' AS audience, f6 IN ('1-URGENT', '2-HIGH') AS inc, FALSE AS exc FROM now)"""
+
+
+def _book(spark, sf_dir, name):
+    wh = Warehouse(spark, scratch_dir(spark, name))
+    snap = lake_contact_df(spark, sf_dir).withColumns(
+        {"_op": F.lit("upsert"), "_ts": F.lit(_dt.datetime(1990, 1, 1)), "_seq": F.col("id")})
+    wh.write_snapshot("contact", conform(snap, S.with_change_columns(S.CONTACT)))
+    book = AudienceBook(wh, "campaigns", {
+        "finished": Audience(F.col("f7") == "F", F.col("f6") == "5-LOW"),
+        "priority": Audience(F.col("f6").isin("1-URGENT", "2-HIGH"))})
+    book.build(_BOOK_DAYS[0])
+    changes = _book_changes(spark, sf_dir)
+    for batch, day in enumerate(_BOOK_DAYS[1:]):
+        rows = changes.filter(F.col("batch") == batch)        # each day takes its share, all are taken in
+        wh.write_delta("contact", conform(rows.drop("batch"), S.with_change_columns(S.CONTACT)), day)
+        book.advance(day)
+    return book
+
+
+@register("audience_book", f"""{_BOOK_SQL}
+SELECT audience, account_id,
+       COUNT(DISTINCT k) FILTER (email_status = 1 AND inc AND NOT exc) AS cnt,
+       COUNT(k) FILTER (email_status = 1 AND inc AND NOT exc)
+         - COUNT(DISTINCT k) FILTER (email_status = 1 AND inc AND NOT exc) AS duplicate_count,
+       COUNT(*) FILTER (email_status = 1 AND inc) AS include_count,
+       COUNT(*) FILTER (email_status = 1 AND inc AND exc) AS exclude_count,
+       COUNT(*) FILTER (email_status = 1) AS email_active, COUNT(*) FILTER (email_status = 2) AS email_unsubscribed,
+       COUNT(*) FILTER (email_status = 3) AS email_bounced, COUNT(*) FILTER (email_status = 4) AS email_marked_spam,
+       COUNT(*) FILTER (email_status = 5) AS email_manually_suppressed,
+       COUNT(*) FILTER (email_status = 6) AS email_unconfirmed,
+       COUNT(*) FILTER (email_status = 1 AND sms_status = 1) AS sms_active,
+       COUNT(*) FILTER (email_status = 1 AND sms_status = 5) AS sms_manually_suppressed,
+       COUNT(*) FILTER (email_status IN (2, 3, 4, 5) AND inc) AS email_all_suppressed
+FROM judged GROUP BY audience, account_id""")
+def q_audience_book(spark, sf_dir):
+    return _book(spark, sf_dir, "audience-book").report()
+
+
+@register("audience_reach", f"""{_BOOK_SQL},
+held AS (SELECT account_id, k, COUNT(DISTINCT audience) AS n FROM judged
+         WHERE email_status = 1 AND inc AND NOT exc AND k IS NOT NULL GROUP BY account_id, k)
+SELECT account_id, COUNT(*) AS any_audience, COUNT(*) FILTER (n = 2) AS all_audiences FROM held GROUP BY account_id""")
+def q_audience_reach(spark, sf_dir):
+    book = _book(spark, sf_dir, "audience-reach")
+    book.fold()
+    return book.reach(["finished", "priority"])

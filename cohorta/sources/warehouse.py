@@ -100,28 +100,41 @@ class Warehouse:
         df = self._read(self.path(table, part), full)
         return df if df is None else df.withColumn(FILE, F.col("_metadata.file_path"))
 
-    def changes(self, table: str, key_filter: Column | None = None) -> DataFrame:
-        """Snapshot and delta rows with change columns (``UNION ALL BY NAME``)."""
+    def changes(self, table: str, key_filter: Column | None = None, until: _dt.date | None = None) -> DataFrame:
+        """Snapshot and delta rows with change columns (``UNION ALL BY NAME``).
+
+        ``until`` leaves out the deltas of later days."""
         full = S.stored_layout(TABLES[table].schema)
         delta = T.StructType([*full.fields, DELTA_DATE])
-        parts = [self._read(self.path(table, "snapshot"), full), self._read(self.path(table, "delta"), delta)]
-        parts = [p.drop("delta_date") for p in parts if p is not None]
+        snapshot, later = self._read(self.path(table, "snapshot"), full), self._read(self.path(table, "delta"), delta)
+        if later is not None and until is not None:
+            later = later.filter(F.col("delta_date") <= F.lit(until))
+        parts = [p.drop("delta_date") for p in (snapshot, later) if p is not None]
         df = union_by_name(*parts) if parts else empty_table(self.spark, full)
         return df if key_filter is None else df.filter(key_filter)
 
     def table(self, table: str, key_filter: Column | None = None, keep_change_columns: bool = False,
-              method: str = "window", keys: DataFrame | None = None) -> DataFrame:
-        """Merged view: latest row per key, tombstones removed.
+              method: str = "window", keys: DataFrame | None = None, until: _dt.date | None = None) -> DataFrame:
+        """Merged view: latest row per key, tombstones removed; with ``until`` as the deltas up to that day make it.
 
         ``key_filter`` on partition columns (account_id / campaign_id) is
         applied below the merge, so it prunes partitions; ``keys`` (distinct
         values of some key columns) selects by a semi-join there."""
         t = TABLES[table]
-        rows = self.changes(table, key_filter)
+        rows = self.changes(table, key_filter, until)
         if keys is not None:
             rows = rows.join(keys, keys.columns, "left_semi")
         return merge_with_spec(rows, t.spec, keep_change_columns, method)
 
+    def delta_keys(self, table: str, after: _dt.date, until: _dt.date) -> DataFrame:
+        """Distinct keys named by the deltas later than ``after``, up to ``until``."""
+        t = TABLES[table]
+        rows = self._read(self.path(table, "delta"), T.StructType([*S.stored_layout(t.schema).fields, DELTA_DATE]))
+        if rows is None:
+            return empty_table(self.spark, S.stored_layout(t.schema)).select(*t.spec.key)
+        day = F.col("delta_date")
+        return rows.filter((day > F.lit(after)) & (day <= F.lit(until))).select(*t.spec.key).distinct()
+
     def contact(self, account_id: int | None = None) -> DataFrame:
         kf = F.col("account_id") == F.lit(int(account_id)) if account_id is not None else None
         return self.table("contact", kf)
