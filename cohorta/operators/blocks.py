@@ -12,14 +12,20 @@ Plan shape:
   reduced side when its measured bytes allow and shuffles otherwise, splitting
   hot keys;
 * contact rows with a NULL match key never match; they are spread by a hash
-  of the row key instead of all going to one reducer.
+  of the row key instead of all going to one reducer;
+* a semi join first tests each contact against a bitmap of the hashes of the
+  listed identifiers (a scalar subquery of fixed size), so where the sides are
+  shuffled, only contacts that may match move.  The join still decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of the bitmap (512 KB).  With many more identifiers than cells it lets most contacts pass.
+CELLS = 1 << 22
+_WORD_BITS = 64
 _KEY = "_blk_key"
 _KEY_NULL = "_blk_key_null"
 
@@ -36,6 +42,26 @@ def block_keys(blocks: DataFrame, id_sets: list[tuple[int, ...]]) -> DataFrame:
     return b.groupBy(F.col("unique_identifier").alias(_KEY)).agg(*aggs)
 
 
+def _cell(key: Column, cells: int) -> tuple[Column, Column]:
+    """(word, bit) of a key's cell."""
+    cell = F.pmod(F.xxhash64(key), F.lit(cells))
+    return F.floor(cell / _WORD_BITS).cast("int"), (cell % _WORD_BITS).cast("int")
+
+
+def may_be_listed(match: Column, keys: DataFrame, cells: int = CELLS) -> Column:
+    """Is ``match`` perhaps among ``keys`` (one column)?  Never false for one that is.
+
+    The bitmap is an array of ``cells / 64`` longs, computed once when the query runs."""
+    word, bit = _cell(F.col(keys.columns[0]), cells)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    words = keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
+    every = keys.sparkSession.range(cells // _WORD_BITS).select(F.col("id").cast("int").alias("word"))
+    pairs = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    bitmap = every.join(words, "word", "left").agg(pairs.alias("p")).select(F.col("p.bits")).scalar()
+    word, bit = _cell(match, cells)
+    return F.call_function("shiftright", F.get(bitmap, word), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def _probe(df: DataFrame, match_field: str) -> DataFrame:
     """Join keys of the contact side: (is_null, key or hash of the row key)."""
     row_key = [c for c in ("account_id", "id") if c in df.columns] or df.columns[:1]
@@ -63,7 +89,7 @@ def add_block_flags(df: DataFrame, blocks: DataFrame, id_sets: list[tuple[int, .
 def block_semi(df: DataFrame, blocks: DataFrame, ids, match_field: str = "f2") -> DataFrame:
     """Rows whose match key is listed in any of the block files (EXISTS)."""
     keys = block_keys(blocks, [tuple(sorted(set(ids)))]).select(_KEY)
-    return _join(df, keys, match_field, "left_semi")
+    return _join(df.filter(may_be_listed(F.col(match_field).cast("string"), keys)), keys, match_field, "left_semi")
 
 
 def block_anti(df: DataFrame, blocks: DataFrame, ids, match_field: str = "f2") -> DataFrame:

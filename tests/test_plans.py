@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cohorta.operators.blocks import add_block_flags, block_anti, block_semi, flag_name
+from cohorta.operators.blocks import add_block_flags, block_anti, block_semi, flag_name, may_be_listed
 from cohorta.operators.campaigns import evaluate_segments, segment_membership
 from cohorta.operators.merge import merge_latest
 from cohorta.operators.paging import page
@@ -42,6 +42,49 @@ def test_block_join_reads_what_it_needs(spark, tmpdir_path):
     assert all("email" not in line and "mobile" not in line for line in plan.splitlines() if "ReadSchema" in line)
 
 
+def _shuffled_rows(df):
+    """Rows written to the exchanges of the executed plan, most first."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind == "ShuffleExchangeExec":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return sorted(out, reverse=True)
+
+
+def test_block_semi_moves_contacts_that_may_match(spark, tmpdir_path):
+    spark.range(30000).select(F.lit(5).alias("account_id"), "id",
+                              F.when(F.col("id") % 4 > 0, F.concat(F.lit("k"), "id")).alias("f2")).write.parquet(tmpdir_path + "/c")
+    spark.range(400).select(F.lit(21).cast("long").alias("block_file_id"),
+                            F.concat(F.lit("k"), F.col("id") % 200 * 7).alias("unique_identifier")).write.parquet(tmpdir_path + "/b")
+    c, b = spark.read.parquet(tmpdir_path + "/c"), spark.read.parquet(tmpdir_path + "/b")
+    broadcast = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in broadcast}
+    try:
+        for k in broadcast:
+            spark.conf.set(k, "-1")
+        listed = block_semi(c, b, [21]).select("id")
+        assert {r.id for r in listed.collect()} == {i * 7 for i in range(200) if i * 7 % 4}
+        moved = _shuffled_rows(listed)
+        assert moved and moved[0] < 1000                 # of 22,500 contacts with a key; without the bitmap all of them
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert block_semi(c, b, [99]).count() == 0
+    # a bitmap smaller than the list lets others pass, the join decides
+    keys = b.select("unique_identifier")
+    assert c.filter(may_be_listed(F.col("f2"), keys, cells=64)).count() >= 150
+
+
 def test_merge_plans_limit_before_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 10).alias("k"), F.col("id").alias("_seq"),
                                   F.lit("upsert").alias("_op"), F.current_timestamp().alias("_ts"))
