@@ -400,6 +400,13 @@ def contact_changes_df(spark, sf_dir):
     return conform(rows, S.with_change_columns(S.CONTACT))
 
 
+def _first_contacts(spark, sf_dir):
+    """The lake's contacts as a first load."""
+    snap = lake_contact_df(spark, sf_dir).withColumns(
+        {"_op": F.lit("upsert"), "_ts": F.lit(_dt.datetime(1990, 1, 1)), "_seq": F.col("id")})
+    return conform(snap, S.with_change_columns(S.CONTACT))
+
+
 @register("compact_contacts", f"""{WITH_CONTACT},
 snap AS (SELECT CAST(account_id AS BIGINT) AS account_id, id, CAST(email_status AS INTEGER) AS email_status, email,
                 'upsert' AS _op, TIMESTAMP '1990-01-01 00:00:00' AS _ts, id AS _seq FROM contact),
@@ -414,9 +421,7 @@ ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY account_id, id ORDER BY _ts
 SELECT account_id, id, email_status, email FROM ranked WHERE rn = 1 AND _op <> 'delete'""")
 def q_compact_contacts(spark, sf_dir):
     wh = Warehouse(spark, scratch_dir(spark, "compact-contacts"))
-    snap = lake_contact_df(spark, sf_dir).withColumns(
-        {"_op": F.lit("upsert"), "_ts": F.lit(_dt.datetime(1990, 1, 1)), "_seq": F.col("id")})
-    wh.write_snapshot("contact", conform(snap, S.with_change_columns(S.CONTACT)))
+    wh.write_snapshot("contact", _first_contacts(spark, sf_dir))
     wh.write_delta("contact", contact_changes_df(spark, sf_dir), _dt.date(2024, 1, 5))
     compact(wh, "contact")
     return wh.contact().select("account_id", "id", F.col("email_status").cast("int"), "email")

@@ -22,7 +22,7 @@ from cohorta.plans.derived import (AS_OF, CAMPAIGN_SUB_SQL, LAKE_CONTACT_SQL, RE
 from cohorta.plans.importer import import_contacts
 from cohorta.plans.launch import apply_receipt_batch, launch_campaigns, save_segments, settle_receipts
 from cohorta.plans.q_jobs import (COMPACT_SQL, RAW_CONTACTS_SQL, SEC, SEC_SQL, _imported_contacts, _receipt_warehouse,
-                                  _sub_snapshot)
+                                  _first_contacts, _sub_snapshot, contact_changes_df)
 from cohorta.plans.registry import register
 from cohorta.schema import sftp_catalog_for
 from cohorta.session import scratch_dir
@@ -65,6 +65,28 @@ def q_compact_twice(spark, sf_dir):
     return wh.changes("campaign_sub").select("campaign_id", "message_id", F.col("status").cast("int"), "dlr_code")
 
 
+# -- S10: one replacement whose old files are still there, one that stopped before its switch -------------
+@register("replace_at_once", f"""{WITH_CONTACT},
+ranked AS (SELECT CAST(c_nationkey AS BIGINT) AS account_id, o_custkey AS id,
+                  CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS email_status,
+                  'o' || CAST(o_orderkey AS VARCHAR) || '@orders.test' AS email,
+                  o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AS gone,
+                  ROW_NUMBER() OVER (PARTITION BY c_nationkey, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+           FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7)
+SELECT CAST(account_id AS BIGINT) AS account_id, id, CAST(email_status AS INTEGER) AS email_status, email
+FROM contact WHERE account_id <> 7
+UNION ALL
+SELECT account_id, id, CAST(email_status AS INTEGER), email FROM ranked WHERE rn = 1 AND NOT gone""")
+def q_replace_at_once(spark, sf_dir):
+    wh = Warehouse(spark, scratch_dir(spark, "replace-at-once"))
+    wh.write_snapshot("contact", _first_contacts(spark, sf_dir))
+    changes = contact_changes_df(spark, sf_dir)
+    wh.replace_partition("contact", changes, 7, keep_old=True)
+    stopped = wh.replacements("contact").begin(3)
+    wh.add_replacement_rows("contact", changes, stopped)
+    return wh.contact().select("account_id", "id", F.col("email_status").cast("int"), "email")
+
+
 # -- J4, K4: one message id in two campaigns ---------------------------------------------------------------
 def _shared_ids(df, receipts: bool):
     """Message ids without their campaign, so that campaigns share them."""

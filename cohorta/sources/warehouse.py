@@ -10,8 +10,10 @@ Layout under one root (all Parquet, ZSTD)::
 
 A mutable table is the merge of whatever files it has, so adding rows that
 already are the latest and then removing older files never changes what is
-read.  Compaction and partition replacement rest on that: new files are
-committed first, old ones are removed afterwards, in any order.
+read.  Compaction rests on that: new files are committed first, old ones are
+removed afterwards, in any order.  Replacing a partition does change what is
+read; marks in ``<table>/replacements/`` make it change at once
+(``sources.replacements``).
 
 Reads give an explicit schema (partition columns keep their declared
 types) and let Spark prune partitions; a missing table reads as an empty
@@ -31,7 +33,8 @@ from pyspark.sql import types as T
 from cohorta import schema as S
 from cohorta.operators.merge import TIE, merge_with_spec, payload_tie, union_by_name
 from cohorta.sources.readers import data_files, empty_table, footer_rows, has_parquet
-from cohorta.sources.writers import delete_files, write_parquet
+from cohorta.sources.replacements import Mark, Replacements, file_prefix
+from cohorta.sources.writers import write_parquet
 
 DELTA_DATE = T.StructField("delta_date", T.DateType(), True)
 FILE = "_file"
@@ -90,14 +93,23 @@ class Warehouse:
             return None
         return self.spark.read.schema(schema).parquet(path)
 
+    def _part(self, table: str, part: str) -> DataFrame | None:
+        """Stored rows of ``part`` (snapshot, delta).  A reader of both asks for the delta first: a compaction
+        in between then shows its winners beside what they beat, never neither."""
+        full = S.stored_layout(TABLES[table].schema)
+        if part == "delta":
+            return self._read(self.path(table, part), T.StructType([*full.fields, DELTA_DATE]))
+        return self.replacements(table).read(lambda: self._read(self.path(table, part), full))
+
+    def replacements(self, table: str) -> Replacements:
+        return Replacements(self.spark, self.path(table, "replacements"), self.path(table, "snapshot"),
+                            TABLES[table].spec.partition_by[0])
+
     def files(self, table: str, part: str) -> DataFrame | None:
         """Stored rows of ``part`` (snapshot, delta) with the name of their file.
 
         The files are listed once, here: what is added later is not read."""
-        full = S.stored_layout(TABLES[table].schema)
-        if part == "delta":
-            full = T.StructType([*full.fields, DELTA_DATE])
-        df = self._read(self.path(table, part), full)
+        df = self._part(table, part)
         return df if df is None else df.withColumn(FILE, F.col("_metadata.file_path"))
 
     def changes(self, table: str, key_filter: Column | None = None, until: _dt.date | None = None) -> DataFrame:
@@ -105,8 +117,8 @@ class Warehouse:
 
         ``until`` leaves out the deltas of later days."""
         full = S.stored_layout(TABLES[table].schema)
-        delta = T.StructType([*full.fields, DELTA_DATE])
-        snapshot, later = self._read(self.path(table, "snapshot"), full), self._read(self.path(table, "delta"), delta)
+        later = self._part(table, "delta")
+        snapshot = self._part(table, "snapshot")
         if later is not None and until is not None:
             later = later.filter(F.col("delta_date") <= F.lit(until))
         parts = [p.drop("delta_date") for p in (snapshot, later) if p is not None]
@@ -129,7 +141,7 @@ class Warehouse:
     def delta_keys(self, table: str, after: _dt.date, until: _dt.date) -> DataFrame:
         """Distinct keys named by the deltas later than ``after``, up to ``until``."""
         t = TABLES[table]
-        rows = self._read(self.path(table, "delta"), T.StructType([*S.stored_layout(t.schema).fields, DELTA_DATE]))
+        rows = self._part(table, "delta")
         if rows is None:
             return empty_table(self.spark, S.stored_layout(t.schema)).select(*t.spec.key)
         day = F.col("delta_date")
@@ -218,28 +230,41 @@ class Warehouse:
 
     def write_snapshot(self, table: str, df: DataFrame) -> None:
         """First load: replace the snapshot partitions present in ``df`` (others untouched)."""
+        self.finish_replacements(table)
         write_parquet(self._stored(table, df), self.path(table, "snapshot"), "overwrite",
                       partition_by=TABLES[table].spec.partition_by, lookup=TABLES[table].lookup)
 
     def add_snapshot_rows(self, table: str, df: DataFrame) -> None:
-        write_parquet(self._stored(table, df), self.path(table, "snapshot"), "append",
+        self.finish_replacements(table)
+        self._add(table, df)
+
+    def _add(self, table: str, df: DataFrame, prefix: str | None = None) -> None:
+        write_parquet(self._stored(table, df), self.path(table, "snapshot"), "append", file_prefix=prefix,
                       partition_by=TABLES[table].spec.partition_by, lookup=TABLES[table].lookup)
 
-    def replace_partition(self, table: str, df: DataFrame, value: int) -> None:
-        """Replace the snapshot of one account or campaign by ``df``, which may be
-        empty.  The new files are committed before the old ones go; a run that
-        stops in between is finished by running it again."""
-        col = TABLES[table].spec.partition_by[0]
-        old = self.files(table, "snapshot")
-        if old is not None:
-            # an own listing of the files, held outside the folder that is written
-            from cohorta.session import scratch_dir
-            names = scratch_dir(self.spark, "replaced")
-            old.filter(F.col(col) == F.lit(int(value))).select(F.col(FILE).alias("path")).distinct() \
-               .write.mode("overwrite").parquet(names)
-        self.add_snapshot_rows(table, df.filter(F.col(col) == F.lit(int(value))))
-        if old is not None:
-            delete_files(self.spark.read.schema("path string").parquet(names))
+    def replace_partition(self, table: str, df: DataFrame, value: int, keep_old: bool = False) -> None:
+        """Replace the snapshot of one account or campaign by ``df``, which may be empty.
+
+        Readers see the old rows until all new ones are stored, and from then on
+        only these, whenever a run stops.  ``keep_old`` leaves the old files, so
+        that reads planned before go on, until ``finish_replacements`` or the
+        next write of a snapshot."""
+        self.finish_replacements(table)
+        log = self.replacements(table)
+        mark = log.begin(value)
+        self.add_replacement_rows(table, df, mark)
+        log.switch(mark)
+        if not keep_old:
+            self.finish_replacements(table)
+
+    def add_replacement_rows(self, table: str, df: DataFrame, mark: Mark) -> None:
+        """Store the rows of ``df`` that belong to a replacement's partition; its switch shows them."""
+        own = F.col(TABLES[table].spec.partition_by[0]) == F.lit(mark.value)
+        self._add(table, df.filter(own), file_prefix(mark.number))
+
+    def finish_replacements(self, table: str) -> int:
+        """Undo replacements that stopped before their switch, remove what the others replaced."""
+        return self.replacements(table).finish()
 
     def append(self, table: str, df: DataFrame) -> None:
         schema, parts = APPEND_TABLES[table]
@@ -287,7 +312,7 @@ class Warehouse:
     def inventory(self) -> DataFrame:
         """Files, partitions, rows and bytes of each table part, from the listing and the files' footers.
 
-        No row or column is read: Spark lists the names, tasks open the footers."""
+        It tells what is stored: files of an unfinished replacement are counted.  No row or column is read: Spark lists the names, tasks open the footers."""
         parts = {f"{name}_{label}": self.path(name, label) for name in TABLES for label in ("snapshot", "delta")}
         parts |= {name: self.path(name) for name in APPEND_TABLES}
         found = None

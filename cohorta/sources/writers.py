@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "append", partition_by=(),
-                  max_records_per_file: int | None = None, lookup=()) -> None:
+                  max_records_per_file: int | None = None, lookup=(), file_prefix: str | None = None) -> None:
     """``mode='append'`` adds files; ``mode='overwrite'`` replaces only the
     partitions present in ``df`` (dynamic partition overwrite).  ``lookup``
     columns order the rows of each file and get bloom filters, so a reader
-    that knows their values skips row groups and pages."""
+    that knows their values skips row groups and pages.  ``file_prefix`` begins
+    the names of the files (``part`` otherwise)."""
     if partition_by:
         # group rows by partition value before writing (one file per value
         # per task otherwise: tasks x values small files); REBALANCE lets AQE
@@ -30,6 +31,8 @@ def write_parquet(df: DataFrame, path: str, mode: str = "append", partition_by=(
         w = w.option("partitionOverwriteMode", "dynamic")
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
+    if file_prefix:
+        w = w.option("mapreduce.output.basename", file_prefix)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
