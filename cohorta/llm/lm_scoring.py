@@ -40,7 +40,7 @@ CHUNK_BYTES = 8 << 20
 BUCKET_TOKENS = 2_500_000
 #: A count from here on is this mark in the 31 bits of an answer, and whole in the list beside it.
 LARGE = 2**31 - 1
-ORDER = 2
+ORDER = 3
 MU = 400.0
 SEGMENT = 256
 _END = np.uint64(0x5D3C1A9E77B24F01)
@@ -140,11 +140,12 @@ class Chunk:
         return level
 
     def asks(self, level: Level) -> np.ndarray:
-        """Which n-grams may occur in another chunk too (in training or held-out texts)."""
+        """Which n-grams may occur in another chunk too (in training or held-out texts), by hash above the words."""
         if level is self.levels[0]:
             return np.arange(len(level.hashes))
         below = self.levels[self.levels.index(level) - 1]
-        return np.flatnonzero(below.shared[level.context] & below.shared[level.suffix])
+        ask = np.flatnonzero(below.shared[level.context] & below.shared[level.suffix])
+        return ask[np.argsort(level.hashes[ask], kind="stable")]
 
     def answer(self, level: Level, replies: list[dict], buckets: int) -> None:
         """Set corpus counts from the replies of the buckets."""
@@ -167,7 +168,8 @@ def _known(row: dict, upto: int, buckets: int) -> Chunk:
     c = Chunk(row)
     for k in range(1, upto + 1):
         level = c.levels[0] if k == 1 else c.grow()
-        c.answer(level, [r for r in row["replies"] or [] if r["order"] == k], buckets)
+        c.answer(level, [{**r, "counts": expanded(r["counts"], "<u4")} for r in row["replies"] or [] if r["order"] == k],
+                 buckets)
     return c
 
 
@@ -180,6 +182,36 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                        "doc_ids": b.column("doc_ids")[i].values if "doc_ids" in b.schema.names else None}
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed; as they are where that is shorter."""
+    raw = values.tobytes()
+    planes = np.frombuffer(raw, np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    small = pa.Codec("zstd").compress(planes, asbytes=True)
+    if len(small) + 8 >= len(raw):
+        return b"\0" + raw
+    return b"\1" + len(raw).to_bytes(8, "little") + small
+
+
+def expanded(blob: bytes, kind: str) -> np.ndarray:
+    if blob[:1] == b"\0":
+        return np.frombuffer(blob, kind, offset=1)
+    planes = pa.Codec("zstd").decompress(blob[9:], int.from_bytes(blob[1:9], "little"), asbytes=True)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def pack_hashes(h: np.ndarray, buckets: int) -> bytes:
+    """Hashes of one bucket: the bucket tells their remainder, and sorted ones lie close together."""
+    q = h // np.uint64(buckets)
+    return squeezed(np.diff(q, prepend=np.uint64(0)).astype("<u8"))
+
+
+def unpack_hashes(blob: bytes, bucket: int, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        q = np.cumsum(expanded(blob, "<u8"), dtype=np.uint64)
+        return q * np.uint64(buckets) + np.uint64(bucket)
+
+
 GRAMS = "bucket long, chunk long, hashes binary, counts binary"
 REPLIES = "chunk long, bucket long, counts binary, large binary, n_distinct long, n_total long"
 
@@ -200,8 +232,8 @@ def _sender(order: int, buckets: int):
                 some = used[k:k + 256]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some), pa.array(np.full(len(some), row["chunk"])),
-                     pa.array([h[edge[b]:edge[b + 1]].tobytes() for b in some], pa.binary()),
-                     pa.array([n[edge[b]:edge[b + 1]].tobytes() for b in some], pa.binary())],
+                     pa.array([pack_hashes(h[edge[b]:edge[b + 1]], buckets) for b in some], pa.binary()),
+                     pa.array([squeezed(n[edge[b]:edge[b + 1]]) for b in some], pa.binary())],
                     ["bucket", "chunk", "hashes", "counts"])
     return send
 
@@ -236,6 +268,19 @@ def _merge(table: pa.Table) -> pa.Table:
                     names=["chunk", "bucket", "counts", "large", "n_distinct", "n_total"])
 
 
+def _merger(buckets: int):
+    def merge(table: pa.Table) -> pa.Table:
+        hashes = [unpack_hashes(h, b, buckets).tobytes()
+                  for h, b in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist())]
+        counts = [expanded(n, "<u4").tobytes() for n in table.column("counts").to_pylist()]
+        out = _merge(pa.table([table.column("chunk"), table.column("bucket"), pa.array(hashes, pa.binary()),
+                               pa.array(counts, pa.binary())], names=["chunk", "bucket", "hashes", "counts"]))
+        del hashes, counts
+        back = [squeezed(np.frombuffer(c, "<u4")) for c in out.column("counts").to_pylist()]
+        return out.set_column(out.schema.get_field_index("counts"), "counts", pa.array(back, pa.binary()))
+    return merge
+
+
 class Arcs:
     """Lookup of arc numbers by (state, word): a directory over sorted scrambled keys."""
 
@@ -371,7 +416,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU) -> DataFra
         n_train = n_distinct = 0
         for k in range(1, order + 1):
             asked = _with_replies(chunks, answers).mapInArrow(_sender(k, buckets), GRAMS)
-            got = stored(asked.groupBy("bucket").applyInArrow(_merge, REPLIES)
+            got = stored(asked.groupBy("bucket").applyInArrow(_merger(buckets), REPLIES)
                          .withColumn("order", F.lit(k)), f"lm-counts-{k}")
             if k == 1:
                 total = got.agg(F.sum("n_total"), F.sum("n_distinct")).first()

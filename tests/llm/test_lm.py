@@ -35,7 +35,8 @@ def direct(rows, order, mu):
     return out
 
 
-@pytest.mark.parametrize("order,mu,chunk", [(2, 400.0, 60_000), (3, 30.0, 20_000), (2, 5.0, 12 << 20)])
+@pytest.mark.parametrize("order,mu,chunk", [(2, 400.0, 60_000), (3, 30.0, 20_000), (2, 5.0, 12 << 20),
+                                            (M.ORDER, M.MU, 40_000)])
 def test_scores_equal_the_formula(spark, docs, order, mu, chunk, monkeypatch):
     monkeypatch.setattr(M, "CHUNK_BYTES", chunk)       # several chunks: counts must travel
     monkeypatch.setattr(M, "BUCKET_TOKENS", 20_000)
@@ -68,6 +69,19 @@ def test_counts_beyond_32_bits_are_exact():
     assert replies[0]["n_total"] == 12_000_000_000 + 5 + 2**31 - 2 + 2**31 - 1
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 3, 5000):
+        h = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for buckets in (1, 4, 51):
+            for own in (h, np.sort(h)):
+                own = own[own % np.uint64(buckets) == buckets - 1]
+                assert (M.unpack_hashes(M.pack_hashes(own, buckets), buckets - 1, buckets) == own).all()
+        few = rng.integers(0, 5, n).astype("<u4")
+        assert (M.expanded(M.squeezed(few), "<u4") == few).all()
+    assert len(M.squeezed(few)) < 0.2 * few.nbytes
+
+
 def test_odd_rows(odd, none):
     rows = M.score_corpus(odd).collect()
     assert len(rows) == odd.count()
