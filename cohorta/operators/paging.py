@@ -15,6 +15,8 @@ from collections.abc import Container, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohorta.session import kept
+
 #: Largest page and projection unless the caller names another; asking for more raises.
 MAX_LIMIT = 10000
 MAX_KEYSET = 100
@@ -85,27 +87,42 @@ def deep_page(df: DataFrame, order_by: str, order_dir: str = "ASC", limit: int =
     """The rows of ``page`` for offsets of any depth, with their ``page_rank``.
 
     ``page`` keeps offset + limit rows of a group and ranks them in one task.
-    Here ``ranges`` rows of each group, chosen by a hash, mark ranges of the
-    order; one pass counts the rows of each range, so it is known which ranges
-    hold the page and how many rows lie before them, and only those are
-    sorted, each in a task of its own."""
+    Here up to ``ranges`` rows of each group, chosen by a hash, mark ranges of
+    the order; a binary search among the marks finds the range of a row.  One
+    pass counts the rows of each range, so it is known which ranges hold the
+    page and how many rows lie before them, and only those are sorted, each in
+    a task of its own.  Marks and counts are stored, so Spark knows how small
+    they are and sends them to the rows, not the rows to them."""
     limit, offset, desc = page_size(limit, max_limit), max(0, int(offset)), descending(order_dir)
-    by = [by] if isinstance(by, str) else list(by)
+    by, spark = [by] if isinstance(by, str) else list(by), df.sparkSession
     key, last = F.col(order_by), F.col(tie) if tie and tie != order_by else None
-    group = by or [F.lit(0)]
-    mark = F.struct(key.alias("k"), (F.lit(0) if last is None else last).alias("t")).alias("_mark")
-    chosen = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("_mark")))
-    marks = (df.select(*by, mark).withColumn("_n", chosen).filter(F.col("_n") <= ranges).groupBy(*by)
-             .agg(F.collect_list("_mark").alias("_marks")).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], "_marks"))
-    joined = (df.join(marks, _all([F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]), "left")
+    names = [f"_g{i}" for i, _ in enumerate(by)]
+    mark = F.struct(key.alias("k"), (F.lit(0) if last is None else last).alias("t"))
+    rows = df.select(*[F.col(c).alias(g) for c, g in zip(by, names, strict=True)], mark.alias("_mark"), F.xxhash64(mark).alias("_hash"))
+    least = kept(spark, rows.groupBy(*names, F.pmod("_hash", F.lit(ranges)).alias("_slot")).agg(F.min("_hash").alias("_least")), "page-slots")
+    slots = least.select(*[F.col(g).alias(f"_s{g}") for g in names], "_least")
+    chosen = rows.join(slots, _all([F.col(g).eqNullSafe(F.col(f"_s{g}")) for g in names] + [F.col("_hash") == F.col("_least")]),
+                       "left_semi").select(*names, "_mark").distinct()
+    place = F.row_number().over(Window.partitionBy(*(names or [F.lit(0)])).orderBy(*sort_keys("_mark.k", order_dir, "_mark.t")))
+    marks = kept(spark, chosen.withColumn("_place", place).groupBy(*names).agg(
+        F.sort_array(F.collect_list(F.struct("_place", "_mark"))).alias("_marks")), "page-marks")
+    ranged = (df.join(marks, _all([F.col(c).eqNullSafe(F.col(g)) for c, g in zip(by, names, strict=True)]), "left")
               if by else df.join(F.broadcast(marks)))         # without groups it is one row
-    ahead = F.filter("_marks", lambda m: _at_or_before(m, key, last, desc))
-    ranged = joined.select(*df.columns, F.size(ahead).alias("_range"))
-    order = Window.partitionBy(*group).orderBy("_range")
+    # two rows of one hash may both be marks: a search over twice the ranges reaches them all
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((2 * ranges).bit_length()))])
+
+    def search(at: Column, step: Column) -> Column:
+        tested = F.get("_marks", at + step - 1)["_mark"]
+        return F.when((at + step <= F.size("_marks")) & _at_or_before(tested, key, last, desc), at + step).otherwise(at)
+
+    ranged = ranged.withColumn("_range", F.aggregate(steps, F.lit(0), search))
+    ranged = ranged.select(*df.columns, "_range")
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range")
     counted = (ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
                .withColumn("_before", F.sum("_rows").over(order) - F.col("_rows"))
                .filter((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_rows") > offset)))
-    wanted = counted.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(by)], F.col("_range").alias("_wr"), "_before")
+    wanted = kept(spark, counted.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(by)], F.col("_range").alias("_wr"), "_before"),
+                  "page-ranges")
     mine = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(by)] + [F.col("_range") == F.col("_wr")]
     inside = Window.partitionBy(*by, "_range").orderBy(*sort_keys(order_by, order_dir, tie))
     found = ranged.join(wanted, _all(mine)).withColumn("_rn", F.col("_before") + F.row_number().over(inside))
