@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 
 from cohorta import schema as S
 from cohorta.operators.merge import TIE, union_by_name
-from cohorta.session import scratch_dir
-from cohorta.sources.warehouse import FILE, TABLES, Warehouse
-from cohorta.sources.writers import delete_files, observed
+from cohorta.session import scratch_dir, settings
+from cohorta.sources.warehouse import FILE, FILE_BYTES, TABLES, Warehouse
+from cohorta.sources.writers import delete_files, observed, sorted_tasks
+
+#: Whole rows that a task of a compaction ranks, about, and the smallest piece of a file that it reads for them.
+TASK_ROWS = 150_000
+LEAST_BYTES = 256 << 10
 
 
 def _listed(wh: Warehouse, table: str, part_values: list[int] | None, full: bool) -> DataFrame | None:
@@ -44,6 +48,20 @@ def _listed(wh: Warehouse, table: str, part_values: list[int] | None, full: bool
     return rows if part_values is None else rows.filter(F.col(column).isin([int(v) for v in part_values]))
 
 
+def _small_tasks(wh: Warehouse, names: str, columns: int) -> dict[str, str]:
+    """Settings by which a task ranks about ``TASK_ROWS`` whole rows, before and after the shuffle.
+
+    Files of rows that are mostly NULL are small and their rows are not, so the pieces that tasks read are cut by
+    the rows a byte holds in the densest file."""
+    files = wh.spark.read.schema("path string, rows long, bytes long").parquet(names)
+    n, densest = files.agg(F.sum("rows"), F.max(F.col("rows") / F.col("bytes"))).first()
+    if not n:
+        return {}
+    piece = min(128 << 20, max(LEAST_BYTES, int(TASK_ROWS / densest)))
+    tasks = max(int(wh.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+    return {**sorted_tasks(columns), "spark.sql.files.maxPartitionBytes": str(piece), "spark.sql.shuffle.partitions": str(tasks)}
+
+
 def compact(wh: Warehouse, table: str, part_values: list[int] | None = None, full: bool = False,
             remove=delete_files) -> dict:
     """Compact ``table`` (contact / campaign_sub / campaign).
@@ -56,7 +74,8 @@ def compact(wh: Warehouse, table: str, part_values: list[int] | None = None, ful
     if rows is None:
         return {"rows_written": 0, "tombstones_kept": 0, "files_removed": 0}
     names = scratch_dir(wh.spark, "compacted")
-    rows.select(F.col(FILE).alias("path")).distinct().write.mode("overwrite").parquet(names)
+    rows.groupBy(F.col(FILE).alias("path")).agg(F.count(F.lit(1)).alias("rows"), F.max(FILE_BYTES).alias("bytes")) \
+        .write.mode("overwrite").parquet(names)
 
     order = [F.col(c).desc_nulls_last() for c in (*spec.order, TIE)]
     window = Window.partitionBy(*spec.key).orderBy(*order)
@@ -68,7 +87,8 @@ def compact(wh: Warehouse, table: str, part_values: list[int] | None = None, ful
     out = latest.withColumn("_alone", alone).filter("_rn = 1").filter(~(F.col("_alone") & dead))
     seen = Observation(f"compact_{table}")
     out = out.observe(seen, F.count_if(~dead).alias("live"), F.count_if(dead).alias("dead"))
-    wh.add_snapshot_rows(table, out.select(*S.with_change_columns(TABLES[table].schema).fieldNames()))
+    with settings(wh.spark, _small_tasks(wh, names, len(rows.columns))):
+        wh.add_snapshot_rows(table, out.select(*S.with_change_columns(TABLES[table].schema).fieldNames()))
     removed = remove(wh.spark.read.schema("path string").parquet(names))
     return {"rows_written": observed(seen, "live"), "tombstones_kept": observed(seen, "dead"),
             "files_removed": int(removed or 0)}
