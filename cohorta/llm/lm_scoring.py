@@ -85,15 +85,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Level:
-    """Distinct n-grams of one order in a chunk."""
+    """Distinct n-grams of one order in a chunk.  Numbers of n-grams and words take 32 bits: a chunk has fewer tokens."""
 
     def __init__(self, count: np.ndarray, hashes: np.ndarray, context: np.ndarray, suffix: np.ndarray,
                  word: np.ndarray) -> None:
         self.count, self.hashes = count, hashes          # local training count, identity
         self.context, self.suffix, self.word = context, suffix, word
-        self.total = count.astype(np.int64)              # corpus count once known
+        self.total = count                               # corpus count once known
         self.shared = np.zeros(len(count), bool)         # found in another chunk too
 
+    def settle(self) -> None:
+        """Let go of what only the next order and the buckets need."""
+        self.count = self.hashes = None
+
 
 class Chunk:
     """Token runs of a chunk with its n-grams, level by level (level 1 ends with the begin mark)."""
@@ -101,18 +105,19 @@ class Chunk:
     def __init__(self, row: dict) -> None:
         self.sizes = np.asarray(row["sizes"], np.int64)
         self.held = np.asarray(row["held"], bool)
-        tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+        tokens = np.frombuffer(row["tokens"], "<i4")
         self.hash1 = np.append(np.frombuffer(row["hashes"], np.uint64), _BEGIN)
         self.width = len(self.hash1)
         n = len(self.sizes)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes + 1)])
         first = np.cumsum(self.sizes) - self.sizes
         self.run = np.insert(tokens, first, self.width - 1)   # begin mark before each document
-        self.place = np.arange(len(self.run)) - np.repeat(self.offsets[:-1], self.sizes + 1)
+        self.place = np.arange(len(self.run), dtype=np.int32)
+        self.place -= np.repeat(self.offsets[:-1].astype(np.int32), self.sizes + 1)
         self.train = np.repeat(~self.held, self.sizes + 1)
         count = np.bincount(self.run[self.train], minlength=self.width)
-        none = np.zeros(0, np.int64)
-        self.levels = [Level(count, self.hash1, none, none, np.arange(self.width))]
+        none = np.zeros(0, np.int32)
+        self.levels = [Level(count, self.hash1, none, none, np.arange(self.width, dtype=np.int32))]
         self.at = self.run                                     # n-gram of the last level ending at each place
 
     def grow(self) -> Level:
@@ -120,23 +125,34 @@ class Chunk:
         k = len(self.levels)
         below = self.levels[-1]
         here = np.flatnonzero(self.place >= k)
-        key = self.at[here - 1] * self.width + self.run[here]
+        key = self.at[here - 1].astype(np.int64)
+        key *= self.width
+        key += self.run[here]
         order = np.argsort(key)
-        s = key[order]
-        edge = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        ident = np.cumsum(edge) - 1
-        unique = s[edge]
-        inverse = np.empty(len(key), np.int64)
+        key = key[order]
+        edge = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=edge[1:])
+        unique = key[edge]
+        del key
+        ident = np.cumsum(edge, dtype=np.int32)
+        ident -= 1
+        inverse = np.empty(len(order), np.int32)
         inverse[order] = ident
         suffix = self.at[here[order[edge]]]
-        context, word = unique // self.width, unique % self.width
+        del ident, order, edge
+        context, word = (unique // self.width).astype(np.int32), (unique % self.width).astype(np.int32)
+        del unique
         with np.errstate(over="ignore"):
-            h = mix(below.hashes[context] * np.uint64(0x9E3779B97F4A7C15) + self.hash1[word] + np.uint64(k))
-        level = Level(np.bincount(inverse[self.train[here]], minlength=len(unique)), h, context, suffix, word)
-        at = np.full(len(self.run), -1, np.int64)
-        at[here] = inverse
+            h = below.hashes[context]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += self.hash1[word]
+            h += np.uint64(k)
+        h = mix(h)
+        level = Level(np.bincount(inverse[self.train[here]], minlength=len(h)), h, context, suffix, word)
+        self.at = np.full(len(self.run), -1, np.int32)
+        self.at[here] = inverse
         self.levels.append(level)
-        self.at = at
+        below.settle()                                         # its answer is here
         return level
 
     def asks(self, level: Level) -> np.ndarray:
@@ -150,17 +166,21 @@ class Chunk:
     def answer(self, level: Level, replies: list[dict], buckets: int) -> None:
         """Set corpus counts from the replies of the buckets."""
         asked = self.asks(level)
-        bucket = (level.hashes[asked] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        replies = sorted(replies, key=lambda r: r["bucket"])
-        got = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in replies] or [np.zeros(0, np.uint32)])
-        if len(got) != len(asked):
+        bucket = (level.hashes[asked] % np.uint64(buckets)).astype(np.int32)
+        asked = asked[np.argsort(bucket, kind="stable")]
+        del bucket
+        replies = [(np.frombuffer(r["counts"], "<u4"), r["large"]) for r in sorted(replies, key=lambda r: r["bucket"])]
+        if sum(len(got) for got, _ in replies) != len(asked):
             raise ValueError("a bucket's answer is missing")
-        total = (got >> 1).astype(np.int64)
-        total[total == LARGE] = np.concatenate([np.frombuffer(r["large"], "<i8") for r in replies]
-                                               or [np.zeros(0, np.int64)])
-        level.total[asked[order]] = total
-        level.shared[asked[order]] = got & 1
+        level.total = level.count.astype(np.int64)
+        at = 0
+        for got, large in replies:
+            total = (got >> 1).astype(np.int64)
+            total[total == LARGE] = np.frombuffer(large, "<i8")
+            some = asked[at:at + len(got)]
+            level.total[some] = total
+            level.shared[some] = got & 1
+            at += len(got)
 
 
 def _known(row: dict, upto: int, buckets: int) -> Chunk:
@@ -222,11 +242,12 @@ def _sender(order: int, buckets: int):
             c = _known(row, order - 1, buckets)
             level = c.levels[0] if order == 1 else c.grow()
             ask = c.asks(level)
-            h, n = level.hashes[ask], level.count[ask]
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            bucket = (level.hashes[ask] % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            h, n = h[by], n[by].astype("<u4")
+            ask = ask[by]
+            h, n = level.hashes[ask], level.count[ask].astype("<u4")
+            del c, level, ask, bucket, by      # only what is sent stays while it is taken
             used = np.flatnonzero(np.diff(edge))
             for k in range(0, len(used), 256):
                 some = used[k:k + 256]
@@ -235,34 +256,43 @@ def _sender(order: int, buckets: int):
                      pa.array([pack_hashes(h[edge[b]:edge[b + 1]], buckets) for b in some], pa.binary()),
                      pa.array([squeezed(n[edge[b]:edge[b + 1]]) for b in some], pa.binary())],
                     ["bucket", "chunk", "hashes", "counts"])
+            del row, h, n                      # before the next chunk is built
     return send
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, hashes=lambda blob, bucket: np.frombuffer(blob, np.uint64),
+           counts=lambda blob: np.frombuffer(blob, "<u4"), pack=np.ndarray.tobytes) -> pa.Table:
     """Corpus counts of one bucket's n-grams, handed back to the chunks that asked."""
-    blobs = table.column("hashes").to_pylist()
-    sizes = np.array([len(b) // 8 for b in blobs], np.int64)
-    h = np.frombuffer(b"".join(blobs), np.uint64)
-    del blobs
-    n = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4").astype(np.int64)
+    parts = [hashes(h.as_py(), b.as_py()) for h, b in zip(table.column("hashes"), table.column("bucket"))]
+    sizes = np.array([len(h) for h in parts], np.int64)
+    h = np.concatenate(parts)
+    del parts
     order = np.argsort(h)
-    s = h[order]
-    edge = np.concatenate([[True], s[1:] != s[:-1]])
-    total = np.add.reduceat(n[order], np.flatnonzero(edge))
-    own = s[edge] != _BEGIN                       # the begin mark is no token
+    h = h[order]
+    edge = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=edge[1:])
+    first = np.flatnonzero(edge)
+    own = h[first] != _BEGIN                      # the begin mark is no token
+    del h
+    n = np.concatenate([counts(n.as_py()) for n in table.column("counts")])
+    total = np.add.reduceat(n[order], first, dtype=np.int64)
+    del n
     # a chunk sends an n-gram once, so several senders mean that several chunks have it
-    several = np.diff(np.append(np.flatnonzero(edge), len(s))) > 1
-    gram = np.empty(len(h), np.int64)
-    gram[order] = np.cumsum(edge) - 1
-    back = (np.minimum(total, LARGE) << 1 | several).astype("<u4")[gram]
-    ends = np.cumsum(sizes)
+    several = np.diff(np.append(first, len(edge))) > 1
+    gram = np.cumsum(edge, dtype=np.int32)
+    gram -= 1
+    back = np.empty(len(order), "<u4")
+    back[order] = (np.minimum(total, LARGE) << 1 | several).astype("<u4")[gram]
     over = np.flatnonzero((total >= LARGE)[gram])
-    whole, cut = total[gram[over]].astype("<i8"), np.searchsorted(over, np.append(0, ends))
+    over = over[np.argsort(order[over])]
+    ends = np.cumsum(sizes)
+    whole, cut = total[gram[over]].astype("<i8"), np.searchsorted(order[over], np.append(0, ends))
+    del gram, order
     rows = len(sizes)
     distinct, tokens = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     distinct[0], tokens[0] = int((total[own] > 0).sum()), int(total[own].sum())
     return pa.table([table.column("chunk"), table.column("bucket"),
-                     pa.array([back[e - k:e].tobytes() for e, k in zip(ends, sizes)], pa.binary()),
+                     pa.array([pack(back[e - k:e]) for e, k in zip(ends, sizes)], pa.binary()),
                      pa.array([whole[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                      pa.array(distinct), pa.array(tokens)],
                     names=["chunk", "bucket", "counts", "large", "n_distinct", "n_total"])
@@ -270,42 +300,36 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def _merger(buckets: int):
     def merge(table: pa.Table) -> pa.Table:
-        hashes = [unpack_hashes(h, b, buckets).tobytes()
-                  for h, b in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist())]
-        counts = [expanded(n, "<u4").tobytes() for n in table.column("counts").to_pylist()]
-        out = _merge(pa.table([table.column("chunk"), table.column("bucket"), pa.array(hashes, pa.binary()),
-                               pa.array(counts, pa.binary())], names=["chunk", "bucket", "hashes", "counts"]))
-        del hashes, counts
-        back = [squeezed(np.frombuffer(c, "<u4")) for c in out.column("counts").to_pylist()]
-        return out.set_column(out.schema.get_field_index("counts"), "counts", pa.array(back, pa.binary()))
+        return _merge(table, lambda blob, bucket: unpack_hashes(blob, bucket, buckets),
+                      lambda blob: expanded(blob, "<u4"), squeezed)
     return merge
 
 
 class Arcs:
-    """Lookup of arc numbers by (state, word): a directory over sorted scrambled keys."""
+    """Lookup of arcs by (state, word): a directory over sorted scrambled keys; ``order`` is theirs."""
 
     def __init__(self, key: np.ndarray) -> None:
-        scrambled = mix(key.astype(np.uint64))
+        scrambled = mix(key.astype(np.uint64, copy=False))
         self.order = np.argsort(scrambled)
         self.keys = np.append(scrambled[self.order], np.uint64(2**64 - 1))
+        del scrambled
         bits = max(1, len(key).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        """Arc of each key or -1."""
+        """Place of each key among the sorted ones or -1."""
         q = mix(key.astype(np.uint64))
         at = self.first[(q >> self.shift).astype(np.int64)]
         live = np.flatnonzero(self.keys[at] < q)
         while len(live):
             at[live] += 1
             live = live[self.keys[at[live]] < q[live]]
-        hit = (self.keys[at] == q) & (at < len(self.order))
-        return np.where(hit, self.order[np.minimum(at, max(len(self.order) - 1, 0))] if len(self.order) else -1, -1)
+        return np.where((self.keys[at] == q) & (at < len(self.keys) - 1), at, -1)
 
 
 class Automaton:
-    """States, arcs and failure arcs of the n-grams of a chunk.
+    """States, arcs and failure arcs of the n-grams of a chunk, whose orders above the first it uses up.
 
     State 0 is the root; the states of context length k follow those of k - 1.
     The root has an arc for every word.
@@ -315,40 +339,55 @@ class Automaton:
         self.root = np.log10((c.levels[0].total + 0.5) / (n_train + 0.5 * (n_distinct + 1)))
         self.top = len(c.levels)
         self.width = c.width
-        prob = 10.0 ** self.root
-        base, state = 1, []
-        self.fail, self.back = [np.zeros(1, np.int64)], [np.zeros(1)]
-        for k, level in enumerate(c.levels[:-1], 1):
-            ids = np.full(len(level.total), -1, np.int64)
+        arcs = sum(np.count_nonzero(level.total > 0) for level in c.levels[1:])
+        key, self.weight, self.target = np.empty(arcs, np.int64), np.empty(arcs), np.empty(arcs, np.int32)
+        self.fail, self.back = [np.zeros(1, np.int32)], [np.zeros(1)]
+        prob, base, put = 10.0 ** self.root, 1, 0
+        below = below_ids = None
+        self.start = np.zeros(self.width, np.int32)         # where the root's arcs lead
+        for k in range(1, self.top + 1):
+            level = c.levels[k - 1]
             seen = np.flatnonzero(level.total > 0)
-            ids[seen] = base + np.arange(len(seen))
-            base += len(seen)
-            state.append(ids)
-            # a context with a suffix that was seen; every seen one's is
-            self.fail.append(np.zeros(len(seen), np.int64) if k == 1 else state[-2][level.suffix[seen]])
-            self.back.append(np.log10(mu / (level.total[seen] + mu)))
+            ids = None
+            if k < self.top:
+                ids = np.full(len(level.total), -1, np.int32)
+                ids[seen] = np.arange(base, base + len(seen), dtype=np.int32)
+                base += len(seen)
+                # a context with a suffix that was seen; every seen one's is
+                self.fail.append(np.zeros(len(seen), np.int32) if k == 1 else below_ids[level.suffix[seen]])
+                self.back.append(np.log10(mu / (level.total[seen] + mu)))
+                if k == 1:
+                    self.start = np.maximum(ids, 0)
+            if k > 1:
+                some = slice(put, put + len(seen))
+                put += len(seen)
+                context, suffix = level.context[seen], level.suffix[seen]
+                key[some] = below_ids[context]
+                key[some] *= self.width
+                key[some] += level.word[seen]
+                self.target[some] = ids[seen] if k < self.top else below_ids[suffix]
+                p = (level.total[seen] + mu * prob[suffix]) / (below.total[context] + mu)
+                del context, suffix
+                self.weight[some] = np.log10(p)
+                if k < self.top:
+                    prob = np.zeros(len(level.total))
+                    prob[seen] = p
+                del p
+            below, below_ids = level, ids
+            if k > 2:
+                c.levels[k - 2] = None
+        del prob, seen, below, below_ids, ids, level
+        del c.levels[1:]
         self.fail, self.back = np.concatenate(self.fail), np.concatenate(self.back)
-        keys, weight, target = [], [], []
-        for k, level in enumerate(c.levels[1:], 2):
-            below = c.levels[k - 2]
-            seen = np.flatnonzero(level.total > 0)
-            lower = prob[level.suffix[seen]]
-            p = (level.total[seen] + mu * lower) / (below.total[level.context[seen]] + mu)
-            prob = np.zeros(len(level.total))
-            prob[seen] = p
-            keys.append(state[k - 2][level.context[seen]] * self.width + level.word[seen])
-            weight.append(np.log10(p))
-            target.append((state[k - 1] if k < self.top else state[k - 2])[seen if k < self.top else level.suffix[seen]])
-        one = state[0] if state else np.full(self.width, -1, np.int64)
-        self.start = np.maximum(one, 0)                     # where the root's arcs lead
-        self.weight = np.concatenate(weight) if weight else np.zeros(0)
-        self.target = np.concatenate(target) if target else np.zeros(0, np.int64)
-        self.arcs = Arcs(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        self.arcs = Arcs(key)
+        del key
+        self.weight, self.target = self.weight[self.arcs.order], self.target[self.arcs.order]
+        self.arcs.order = None                              # weights and targets lie in it now
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Read one word from each state: (next states, log10 probabilities)."""
         gain = np.zeros(len(state))
-        after = np.zeros(len(state), np.int64)
+        after = np.zeros(len(state), np.int32)
         live = np.arange(len(state))
         s = state.copy()
         while len(live):
@@ -356,7 +395,7 @@ class Automaton:
             gain[root] += self.root[word[root]]
             after[root] = self.start[word[root]]
             live = live[s[live] != 0]
-            arc = self.arcs.find(s[live] * self.width + word[live])
+            arc = self.arcs.find(s[live].astype(np.int64) * self.width + word[live])
             hit = arc >= 0
             gain[live[hit]] += self.weight[arc[hit]]
             after[live[hit]] = self.target[arc[hit]]
@@ -381,7 +420,7 @@ def traverse(a: Automaton, run: np.ndarray, offsets: np.ndarray, segment: int =
     length = np.minimum(sizes[doc] - nth * segment, segment)
     order = np.argsort(-length, kind="stable")
     doc, first, length = doc[order], first[order], length[order]
-    state = np.zeros(len(doc), np.int64)
+    state = np.zeros(len(doc), np.int32)
     for j in range(-warm, 0):
         ok = np.flatnonzero(first + j >= offsets[doc])
         state[ok] = a.step(state[ok], run[first[ok] + j])[0]
@@ -395,6 +434,31 @@ def traverse(a: Automaton, run: np.ndarray, offsets: np.ndarray, segment: int =
     return out
 
 
+def _scorer(order: int, buckets: int, n_train: int, n_distinct: int, mu: float):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            c = _known(row, order, buckets)
+            doc_ids = row["doc_ids"]
+            del row
+            c.levels[-1].settle()
+            known = c.levels[0].total > 0
+            c.at = c.train = None
+            a = Automaton(c, n_train, n_distinct, mu)
+            inside = c.place > 0
+            c.place = None
+            base = per_doc(np.where(inside, a.root[c.run], 0.0), c.offsets)
+            known = per_doc(inside & known[c.run], c.offsets)
+            del inside
+            out = pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array(c.held), pa.array(c.sizes), pa.array(known),
+                 pa.array(np.full(len(c.sizes), n_train)), pa.array(base),
+                 pa.array(traverse(a, c.run, c.offsets))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            del c, a                           # before the next chunk is built
+            yield out
+    return score
+
+
 def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -424,22 +488,10 @@ def score_corpus(docs: DataFrame, order: int = ORDER, mu: float = MU) -> DataFra
             got = got.select("chunk", "order", "bucket", "counts", "large")
             answers = got if answers is None else answers.unionByName(got)
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in _rows(batches):
-                c = _known(row, order, buckets)
-                a = Automaton(c, n_train, n_distinct, mu)
-                inside = c.place > 0
-                base = per_doc(np.where(inside, a.root[c.run], 0.0), c.offsets)
-                known = per_doc((inside & (c.levels[0].total[c.run] > 0)).astype(np.int64), c.offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [row["doc_ids"], pa.array(c.held), pa.array(c.sizes), pa.array(known),
-                     pa.array(np.full(len(c.sizes), n_train)), pa.array(base),
-                     pa.array(traverse(a, c.run, c.offsets))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
         return stored(_with_replies(chunks, answers).mapInArrow(
-            score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                   "base_score double, score double"), "lm-scores")
+            _scorer(order, buckets, n_train, n_distinct, mu),
+            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+            "base_score double, score double"), "lm-scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
