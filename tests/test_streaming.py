@@ -1,6 +1,7 @@
 """Streams equal the batch result; replays, repeats and late rows are neither lost nor doubled."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,61 @@ def test_message_ids_in_two_campaigns_and_receipts_without_one(spark):
                                            ("", 2, None, False)], key=str)
 
 
+def _shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in found.split("\n") if "/shuffle_" in f and f.endswith(".data")}
+
+
+def test_a_batch_leaves_neither_its_steps_nor_its_shuffles(spark, tmpdir_path):
+    """Only the rejects that the caller gets stay in the shared folder; no shuffle file outlasts the step that made it."""
+    import os
+
+    from cohorta.plans.launch import apply_receipt_batch, settle_receipts
+    from cohorta.session import checkpoint_root
+    wh = _stored(spark, tmpdir_path)
+    shared = os.path.join(checkpoint_root(spark).replace("file:", ""), "cohorta")
+    kept, shuffles = set(os.listdir(shared)) if os.path.isdir(shared) else set(), _shuffle_files(spark)
+    receipts = _receipts(spark).repartition(3).union(_receipts(spark))
+    first = apply_receipt_batch(wh, receipts)
+    again = apply_receipt_batch(wh, receipts)
+    settle_receipts(wh)
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(shared)) - kept} == {"rejects"}
+    deadline = time.time() + 20         # Spark removes them in the background
+    while _shuffle_files(spark) - shuffles and time.time() < deadline:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - shuffles
+    assert sorted(r.seq for r in first.collect()) == sorted(r.seq for r in again.collect()) == [100, 101]
+    _check(wh)
+
+
+def test_receipts_move_without_what_follows_from_them(spark, tmpdir_path, monkeypatch):
+    """A sink's constants and derived columns are made where its rows have arrived."""
+    from cohorta.plans import launch
+    from cohorta.sources import warehouse
+    wh, real, moved = _stored(spark, tmpdir_path), warehouse.write_parquet, {}
+
+    def seen(df, path, *a, shape=None, **k):
+        moved[path.split("/wh/")[1].split("/")[0]] = (set(df.columns), shape and set(shape(df).columns))
+        return real(df, path, *a, shape=shape, **k)
+
+    monkeypatch.setattr(warehouse, "write_parquet", seen)
+    launch.apply_receipt_batch(wh, _receipts(spark))
+    for table, made in (("campaign_sub", "soft_bounce_retry"), ("api_logs", "sent_ip"), ("dlr_event", "created_at")):
+        assert made not in moved[table][0] and made in moved[table][1]
+    monkeypatch.undo()
+    _check(wh)
+
+
+def test_waiting_receipts_stored_twice_are_applied_once(spark, tmpdir_path):
+    from cohorta.plans.launch import apply_receipt_batch, settle_receipts
+    wh = Warehouse(spark, f"{tmpdir_path}/wh")
+    apply_receipt_batch(wh, _receipts(spark))
+    wh.append("dlr_reject", wh.append_table("dlr_reject"))
+    wh.write_snapshot("campaign_sub", _subs(spark))
+    settle_receipts(wh)
+    assert wh.append_table("dlr_event").count() == 6 and wh.append_table("api_logs").count() == 6
+
+
 def test_stream_inputs_are_cut_by_size(spark, tmpdir_path, monkeypatch):
     """No fixed number of tasks writes the input of a stream, whatever its size."""
     import inspect
