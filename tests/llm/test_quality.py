@@ -132,6 +132,55 @@ def test_bradley_terry_orders_pairs():
     assert np.mean(s < C.CUT_SCORE) == pytest.approx(np.mean(~good), abs=0.02)
 
 
+def pairs_fit(x, good, times, rounds=60):
+    """Bradley-Terry weights by plain Newton steps over every single pair."""
+    mean = np.average(x, axis=0, weights=times)
+    z = (x - mean) / np.sqrt(np.average((x - mean) ** 2, axis=0, weights=times))
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, x.shape[1])
+    w = (times[good][:, None] * times[~good][None]).ravel().astype(float)
+    w, b = w / w.sum(), np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(d @ b)))
+        hess = (d * (w * p * (1 - p))[:, None]).T @ d + C.RIDGE * np.eye(len(b))
+        b += np.linalg.solve(hess, d.T @ (w * (1 - p)) - C.RIDGE * b)
+    return b
+
+
+def test_fit_covers_every_pair():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=500), rng.exponential(size=500), rng.normal(size=500) * 9 + 40])
+    good = x @ [3.0, -2, 0.02] + rng.logistic(size=500) > 0
+    times = rng.integers(1, 9, size=500)
+    n1, n0 = int(times[good].sum()), int(times[~good].sum())
+    m = C.fit(x, good, n1, n0, times)
+    assert np.allclose(m.weight, pairs_fit(x, good, times), rtol=1e-6, atol=1e-7)
+    s = ((x - m.mean) / m.scale) @ m.weight
+    order = np.argsort(s)
+    below = np.cumsum(times[order]) / times.sum()
+    assert m.cut == pytest.approx(s[order[np.searchsorted(below, n0 / (n1 + n0) - 1e-12)]], abs=1e-9)
+
+
+def test_query_learns_from_every_labelled_text(spark, monkeypatch):
+    """Not from a sample of some thousands a class; ids and texts may repeat, and so may labels."""
+    rng = np.random.default_rng(3)
+    n = 18_000
+    clean = rng.random(n) < 0.6
+    texts = [" ".join(("word" if c else "#x9") + ("" if rng.random() < 0.5 else ".") for _ in range(3 + i % 4)) for i, c in enumerate(clean)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    label = {i // 2: int(rng.random() < (0.9 if c else 0.2)) for i, c in enumerate(clean)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in label.items() for _ in range(1 + i % 3)], "doc_id long, quality int, toxic int")
+    model = C.learn(docs, labels)
+    used = [i for i in range(n) if zlib.crc32(str(i // 2).encode()) % 5]
+    x = C.features(pa.array([texts[i] for i in used], pa.large_string()))
+    good, times = np.array([label[i // 2] == 1 for i in used]), np.array([1 + i // 2 % 3 for i in used])
+    assert good.sum() > 8000
+    n1 = sum(1 + i % 3 for i, q in label.items() if q and zlib.crc32(str(i).encode()) % 5)
+    n0 = sum(1 + i % 3 for i, q in label.items() if not q and zlib.crc32(str(i).encode()) % 5)
+    whole = C.fit(x, good, n1, n0, times)
+    assert np.allclose(model.mean, np.average(x, axis=0, weights=times), rtol=1e-8, atol=1e-12)
+    assert np.allclose(model.score(x), whole.score(x), atol=1e-6)
+
+
 def test_classifier_sample_is_bounded_and_weighted(spark, monkeypatch):
     got = {}
     monkeypatch.setattr(C, "fit", lambda x, good, n1, n0, times=None: got.update(x=x, good=good, n=(n1, n0), times=times))
