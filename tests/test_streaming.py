@@ -187,6 +187,29 @@ def test_waiting_receipts_stored_twice_are_applied_once(spark, tmpdir_path):
     assert wh.append_table("dlr_event").count() == 6 and wh.append_table("api_logs").count() == 6
 
 
+def test_receipts_before_their_launch_leave_no_steps(spark, tmpdir_path):
+    import os
+
+    from cohorta.plans.launch import apply_receipt_batch, settle_receipts
+    from cohorta.session import checkpoint_root
+    wh = Warehouse(spark, f"{tmpdir_path}/wh")
+    shared = os.path.join(checkpoint_root(spark).replace("file:", ""), "cohorta")
+    os.makedirs(shared, exist_ok=True)
+    kept = set(os.listdir(shared))
+    early = _receipts(spark).filter("campaign_id = 0")
+    assert apply_receipt_batch(wh, early).count() == 7
+    wh.write_snapshot("campaign_sub", _subs(spark))
+    settle_receipts(wh, _subs(spark))
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(shared)) - kept} == {"rejects"}
+    apply_receipt_batch(wh, _receipts(spark))
+    _check_applied(wh)
+
+
+def _check_applied(wh):
+    assert wh.append_table("dlr_event").count() == wh.api_logs().count() == 6
+    assert sorted(r.seq for r in wh.open_rejects().collect()) == [100, 101]
+
+
 def test_stream_inputs_are_cut_by_size(spark, tmpdir_path, monkeypatch):
     """No fixed number of tasks writes the input of a stream, whatever its size."""
     import inspect
